@@ -29,6 +29,9 @@ BASE_UNITS = {
 PIECE_WORDS = ("stuk", "bos", "bosje", "paar", "set", "rol", "pakket")
 UNMEASURED_WORDS = ("wasbeurten", "rollen", "meter", "tabletten", "capsules", "cups")
 
+_WORDS = ("stuk", "bos", "bosje", "paar", "set", "rol", "pakket")
+UNMEASURED_WORDS = ("wasbeurten", "rollen", "meter", "tabletten", "capsules", "cups")
+
 _UNIT_TYPE = "struct<qty: double, type: string>"
 _WORDS = "|".join(word for words in UNIT_SPELLINGS.values() for word in words)
 _NUMBER = r"[\d.,]+"
@@ -42,14 +45,21 @@ _PIECES_NOTE = r"(?is)^(.*?)\s*\(ca\.\s*\d+\s*stuks?\)"
 
 _PIECE = rf"(?i)^per\s+(?:{'|'.join(PIECE_WORDS)})\z"
 _UNMEASURED = rf"(?i){'|'.join(UNMEASURED_WORDS)}"
-# "6 x 330 ml", "4 x 6 x 330 ml": pack counts, then a size; text may follow.
-_PACKS = rf"(?i)^(\d+)\s*x\s*(?:(\d+)\s*x\s*)?({_NUMBER})\s*({_WORDS})(?!\w)"
-# "500 g", "ca. 1,5 l.": one size and nothing after it.
-_SIZE = rf"(?i)^(?:ca\.?\s*)?({_NUMBER})\s*({_WORDS})(?!\w)\.?\z"
-# "per 1,5 kilo"
-_PER_KILO = rf"(?i)^per\s+({_NUMBER})\s*kilo\z"
-# "los per 500 g": loose goods; text may follow.
-_LOOSE = rf"(?i)^los\s+per\s+({_NUMBER})\s*(g|kg|ml|l)(?!\w)"
+_SIZES = "|".join(
+    (
+        # "6 x 330 ml", "4 x 6 x 330 ml": pack counts, then a size; text may follow.
+        rf"(\d+)\s*x\s*(?:(\d+)\s*x\s*)?({_NUMBER})\s*({_WORDS})(?!\w)",
+        # "500 g", "ca. 1,5 l.": one size and nothing after it.
+        rf"(?:ca\.?\s*)?({_NUMBER})\s*({_WORDS})(?!\w)\.?\z",
+        rf"per\s+({_NUMBER})\s*(kilo)\z",
+        # "los per 500 g": loose goods; text may follow.
+        rf"los\s+per\s+({_NUMBER})\s*(g|kg|ml|l)(?!\w)",
+    )
+)
+# A size as count, inner count, number and unit; groups of the other forms are empty.
+_SIZE_PATTERN = rf"(?is)^(?:{_SIZES}).*\z"
+_SEPARATOR = "\u0001"
+_SIZE_PARTS = _SEPARATOR.join(("$1", "$2", "$3$5$7$9", "$4$6$8$10"))
 
 
 def parse_decimal(text: Column) -> Column:
@@ -59,22 +69,28 @@ def parse_decimal(text: Column) -> Column:
     return F.when(number > 0, number)
 
 
+def _lookup(values: dict[str, Column]) -> Column:
+    return F.create_map(*(entry for key, value in values.items() for entry in (F.lit(key), value)))
+
+
 def unit_name(text: Column) -> Column:
     """Unit behind a spelling ("liter" -> "l"), NULL if unknown."""
     word = F.regexp_replace(F.lower(text), r"\.\z", "")
-    name = F.lit(None).cast("string")
-    for unit, spellings in UNIT_SPELLINGS.items():
-        name = F.when(word.isin(*spellings), F.lit(unit)).otherwise(name)
-    return name
+    names = {
+        spelling: F.lit(unit) for unit, words in UNIT_SPELLINGS.items() for spelling in words
+    }
+    return F.try_element_at(_lookup(names), word)
 
 
 def to_base_unit(qty: Column, unit: Column) -> Column:
     """Quantity of a unit as struct<qty, type> in g, ml or stuk; NULL if either is unknown."""
-    base = F.lit(None).cast(_UNIT_TYPE)
-    for name, (kind, factor) in BASE_UNITS.items():
-        size = F.struct((qty * factor).alias("qty"), F.lit(kind).alias("type"))
-        base = F.when(qty.isNotNull() & (unit == name), size).otherwise(base)
-    return base
+    bases = {
+        name: F.struct(F.lit(kind).alias("type"), F.lit(factor).alias("factor"))
+        for name, (kind, factor) in BASE_UNITS.items()
+    }
+    base = F.try_element_at(_lookup(bases), unit)
+    size = F.struct((qty * base["factor"]).alias("qty"), base["type"].alias("type"))
+    return F.when(qty.isNotNull() & base.isNotNull(), size)
 
 
 def clean_unit(text: Column) -> Column:
@@ -85,50 +101,31 @@ def clean_unit(text: Column) -> Column:
     return F.trim(F.regexp_replace(without_notes, _PIECES_NOTE, "$1"))
 
 
-def size_of(text: Column) -> Column:
+def size_parts(text: Column) -> Column:
+    """Array of count, inner count, number and unit; a single element where there is no size."""
+    return F.split(F.regexp_replace(text, _SIZE_PATTERN, _SIZE_PARTS), _SEPARATOR)
+
+
+def size_of(text: Column, parts: Column) -> Column:
     """struct<qty, type> of a cleaned size text; a size that is present but invalid is NULL."""
 
-    def part(pattern: str, group: int) -> Column:
-        return F.regexp_extract(text, pattern, group)
+    def times(index: int) -> Column:
+        return F.coalesce(F.get(parts, F.lit(index)).try_cast("double"), F.lit(1.0))
 
-    count, inner_count = part(_PACKS, 1), part(_PACKS, 2)
-    pack_unit = unit_name(part(_PACKS, 4))
+    base = to_base_unit(parse_decimal(F.get(parts, F.lit(2))), unit_name(F.get(parts, F.lit(3))))
     # Packs of packs hold weights or volumes, never pieces.
-    nested = inner_count != ""
-    packs = to_base_unit(
-        parse_decimal(part(_PACKS, 3)),
-        F.when(~(nested & (pack_unit == "stuk")), pack_unit),
-    )
-    times = count.cast("double") * F.when(nested, inner_count.cast("double")).otherwise(1.0)
+    counted_pieces = (F.get(parts, F.lit(1)) != "") & (base["type"] == "stuk")
+    total = F.struct((times(0) * times(1) * base["qty"]).alias("qty"), base["type"].alias("type"))
     piece = F.struct(F.lit(1.0).alias("qty"), F.lit("stuk").alias("type"))
-    return (
-        F.when(text.rlike(_PIECE), piece)
-        .when(text.rlike(_UNMEASURED), F.lit(None).cast(_UNIT_TYPE))
-        .when(
-            text.rlike(_PACKS),
-            F.when(
-                packs.isNotNull(),
-                F.struct((times * packs["qty"]).alias("qty"), packs["type"].alias("type")),
-            ),
-        )
-        .when(
-            text.rlike(_SIZE),
-            to_base_unit(parse_decimal(part(_SIZE, 1)), unit_name(part(_SIZE, 2))),
-        )
-        .when(
-            text.rlike(_PER_KILO),
-            to_base_unit(parse_decimal(part(_PER_KILO, 1)), F.lit("kg")),
-        )
-        .when(
-            text.rlike(_LOOSE),
-            to_base_unit(parse_decimal(part(_LOOSE, 1)), unit_name(part(_LOOSE, 2))),
-        )
+    return F.when(text.rlike(_PIECE), piece).when(
+        ~text.rlike(_UNMEASURED) & base.isNotNull() & ~counted_pieces, total
     )
 
 
 def parse_unit(text: Column) -> Column:
     """struct<qty double, type string> of a free-text pack size, NULL when not measurable."""
-    return size_of(clean_unit(text))
+    cleaned = clean_unit(text)
+    return size_of(cleaned, size_parts(cleaned))
 
 
 def price_per_unit(price: Column, qty: Column, kind: Column) -> Column:

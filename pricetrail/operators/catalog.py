@@ -184,8 +184,10 @@ def product_with_history(products: DataFrame, prices: DataFrame, product_id: int
     return all_products_with_history(product, prices.filter(F.col("product_id") == product_id))
 
 
-def price_series(prices: DataFrame, part_rows: int = HISTORY_PART_ROWS) -> DataFrame:
-    """Ordered price array per product.
+def price_series(
+    prices: DataFrame, part_rows: int = HISTORY_PART_ROWS, min_entries: int = 1
+) -> DataFrame:
+    """Ordered price array per product with at least `min_entries` prices.
 
     A product with more than `part_rows` entries gets several rows, numbered by `part`, so that
     no array outgrows a task. Stored prices hold one entry per product and day, hence one part.
@@ -194,8 +196,10 @@ def price_series(prices: DataFrame, part_rows: int = HISTORY_PART_ROWS) -> DataF
     moment = F.unix_micros(F.col("scraped_at").cast("timestamp"))
     return (
         add_slices(prices, ["product_id"], moment, part_rows)
-        .groupBy("product_id", F.coalesce("_slice", F.lit(0)).alias("part"))
+        .groupBy("product_id", "_slice")
         .agg(F.sort_array(F.collect_list(entry)).alias("price_history"))
+        .filter(F.col("_slice").isNotNull() | (F.size("price_history") >= min_entries))
+        .select("product_id", F.coalesce("_slice", F.lit(0)).alias("part"), "price_history")
     )
 
 
