@@ -5,7 +5,9 @@ Observations carry `seq`, their arrival number, unique over all runs. It decides
 the same ids without a global sort.
 """
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterable
+
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from pricetrail.functions import missing
@@ -287,11 +289,12 @@ def ingest_summary(resolved: DataFrame, new_prices: DataFrame) -> DataFrame:
     )
 
 
-def require_observations(summary: DataFrame) -> None:
-    """Fail a run in which nothing was observed, so that no empty data is published."""
-    total = summary.filter(F.col("supermarket").isNull()).head()
-    if total is None or total["scraped"] == 0:
+def require_observations(summary: Iterable[Row]) -> int:
+    """Observations saved in all; fails a run without any, so that no empty data is published."""
+    total = sum(row["scraped"] for row in summary if row["supermarket"] is None)
+    if total == 0:
         raise RuntimeError("no product was observed in this run")
+    return total
 
 
 def day_stats(prices: DataFrame, day: Column | str) -> DataFrame:

@@ -23,9 +23,12 @@ def with_pack_size(products: DataFrame) -> DataFrame:
 
 def normalize_units(products: DataFrame, prices: DataFrame) -> DataFrame:
     """Pack size of every product and the unit price at its newest price."""
-    newest = latest_price(prices).select(
-        F.col("product_id").alias("id"), F.col("price").alias("_latest")
-    )
+    return normalize_units_at(products, latest_price(prices))
+
+
+def normalize_units_at(products: DataFrame, latest: DataFrame) -> DataFrame:
+    """The same, from a stored table of newest prices."""
+    newest = latest.select(F.col("product_id").alias("id"), F.col("price").alias("_latest"))
     unit_price = price_per_unit(F.col("_latest"), F.col("unit_quantity"), F.col("unit_type"))
     return (
         with_pack_size(products)
