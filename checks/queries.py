@@ -11,6 +11,7 @@ from checks import supplied as sup
 from pricetrail.functions import parse_unit, slugify, strip_trailing_unit
 from pricetrail.functions.units import parse_decimal, to_base_unit, unit_name
 from pricetrail.operators import catalog, changes, ingest, matching, normalize, publish
+from pricetrail.plans.lineage import cut_lineage
 from pricetrail.sources import pages as pg
 from pricetrail.sources.reference_data import category_paths
 
@@ -477,7 +478,7 @@ def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     candidates = _candidates(spark, sf_dir)
     exact = matching.match_exact(candidates)
-    return matching.fuzzy_pool(candidates, exact, sup.category_map(spark, sf_dir))
+    return cut_lineage(matching.fuzzy_pool(candidates, exact, sup.category_map(spark, sf_dir)))
 
 
 def _groups(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

@@ -12,6 +12,7 @@ from pyspark.sql import SparkSession
 
 from checks.oracle import ORACLE
 from checks.queries import QUERIES
+from pricetrail.session import session
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
@@ -31,13 +32,12 @@ def rows_of(columns: list[str], rows: list) -> list[tuple]:
 
 
 def main(sf_dir: str, names: list[str]) -> int:
-    spark = (
+    spark = session(
         SparkSession.builder.master("local[8]")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
-        .config("spark.sql.session.timeZone", "UTC")
-        .getOrCreate()
+        .config("spark.ui.showConsoleProgress", "false")
     )
     spark.sparkContext.setLogLevel("ERROR")
     db = duckdb.connect()

@@ -65,7 +65,8 @@ _SIZE_PARTS = _SEPARATOR.join(("$1", "$2", "$3$5$7$9", "$4$6$8$10"))
 def parse_decimal(text: Column) -> Column:
     """Leading positive number of a text; its first comma counts as a decimal point."""
     dotted = F.regexp_replace(text, r"^([^,]*),", "$1.")
-    number = F.regexp_extract(dotted, r"^(\d+\.?\d*|\.\d+)", 1).try_cast("double")
+    digits = F.nullif(F.regexp_extract(dotted, r"^(\d+\.?\d*|\.\d+)", 1), F.lit(""))
+    number = digits.cast("double")
     return F.when(number > 0, number)
 
 
@@ -82,15 +83,18 @@ def unit_name(text: Column) -> Column:
     return F.try_element_at(_lookup(names), word)
 
 
+def base_kind(unit: Column) -> Column:
+    return F.try_element_at(_lookup({u: F.lit(kind) for u, (kind, _) in BASE_UNITS.items()}), unit)
+
+
+def base_factor(unit: Column) -> Column:
+    return F.try_element_at(_lookup({u: F.lit(by) for u, (_, by) in BASE_UNITS.items()}), unit)
+
+
 def to_base_unit(qty: Column, unit: Column) -> Column:
     """Quantity of a unit as struct<qty, type> in g, ml or stuk; NULL if either is unknown."""
-    bases = {
-        name: F.struct(F.lit(kind).alias("type"), F.lit(factor).alias("factor"))
-        for name, (kind, factor) in BASE_UNITS.items()
-    }
-    base = F.try_element_at(_lookup(bases), unit)
-    size = F.struct((qty * base["factor"]).alias("qty"), base["type"].alias("type"))
-    return F.when(qty.isNotNull() & base.isNotNull(), size)
+    size = F.struct((qty * base_factor(unit)).alias("qty"), base_kind(unit).alias("type"))
+    return F.when(qty.isNotNull() & base_kind(unit).isNotNull(), size)
 
 
 def clean_unit(text: Column) -> Column:
@@ -102,30 +106,45 @@ def clean_unit(text: Column) -> Column:
 
 
 def size_parts(text: Column) -> Column:
-    """Array of count, inner count, number and unit; a single element where there is no size."""
-    return F.split(F.regexp_replace(text, _SIZE_PATTERN, _SIZE_PARTS), _SEPARATOR)
+    """Array of count, inner count, number and unit; NULL where there is no size."""
+    parts = F.split(F.regexp_replace(text, _SIZE_PATTERN, _SIZE_PARTS), _SEPARATOR)
+    return F.when(text.rlike(_SIZE_PATTERN), parts)
 
 
-def size_of(text: Column, parts: Column) -> Column:
-    """struct<qty, type> of a cleaned size text; a size that is present but invalid is NULL."""
+def part(parts: Column, index: int) -> Column:
+    """One of the size parts, NULL where it is absent."""
+    return F.nullif(F.get(parts, F.lit(index)), F.lit(""))
+
+
+def is_piece(text: Column) -> Column:
+    return text.rlike(_PIECE)
 
-    def times(index: int) -> Column:
-        return F.coalesce(F.get(parts, F.lit(index)).try_cast("double"), F.lit(1.0))
 
-    base = to_base_unit(parse_decimal(F.get(parts, F.lit(2))), unit_name(F.get(parts, F.lit(3))))
+def is_measured(text: Column, parts: Column, number: Column, unit: Column) -> Column:
+    """A valid number and unit, unless the text names goods that are not sold by measure."""
     # Packs of packs hold weights or volumes, never pieces.
-    counted_pieces = (F.get(parts, F.lit(1)) != "") & (base["type"] == "stuk")
-    total = F.struct((times(0) * times(1) * base["qty"]).alias("qty"), base["type"].alias("type"))
-    piece = F.struct(F.lit(1.0).alias("qty"), F.lit("stuk").alias("type"))
-    return F.when(text.rlike(_PIECE), piece).when(
-        ~text.rlike(_UNMEASURED) & base.isNotNull() & ~counted_pieces, total
-    )
+    counted_pieces = part(parts, 1).isNotNull() & (unit == "stuk")
+    known = number.isNotNull() & unit.isNotNull()
+    return known & ~counted_pieces & ~text.rlike(_UNMEASURED)
+
+
+def pack_quantity(parts: Column, number: Column, unit: Column) -> Column:
+    def times(index: int) -> Column:
+        return F.coalesce(part(parts, index).cast("double"), F.lit(1.0))
+
+    return times(0) * times(1) * (number * base_factor(unit))
 
 
 def parse_unit(text: Column) -> Column:
     """struct<qty double, type string> of a free-text pack size, NULL when not measurable."""
     cleaned = clean_unit(text)
-    return size_of(cleaned, size_parts(cleaned))
+    parts = size_parts(cleaned)
+    number, unit = parse_decimal(part(parts, 2)), unit_name(part(parts, 3))
+    size = F.struct(
+        pack_quantity(parts, number, unit).alias("qty"), base_kind(unit).alias("type")
+    )
+    piece = F.struct(F.lit(1.0).alias("qty"), F.lit("stuk").alias("type"))
+    return F.when(is_piece(cleaned), piece).when(is_measured(cleaned, parts, number, unit), size)
 
 
 def price_per_unit(price: Column, qty: Column, kind: Column) -> Column:

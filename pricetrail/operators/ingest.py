@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from pricetrail.functions import missing
+from pricetrail.plans.lineage import cut_lineage
 from pricetrail.plans.skew import SLICE_ROWS, with_previous
 from pricetrail.schemas import DERIVED_PRODUCT_COLUMNS, MAX_JUMP, MAX_PRICE, PRODUCTS
 
@@ -37,7 +38,8 @@ def price_reject_reason(price: Column) -> Column:
 
 
 def valid_prices(observations: DataFrame) -> DataFrame:
-    return observations.filter(price_reject_reason(F.col("price")).isNull())
+    """Rows with a price to store. NaN sorts above all numbers, so it fails the upper bound."""
+    return observations.filter((F.col("price") > 0) & (F.col("price") <= MAX_PRICE))
 
 
 def rejected_prices(observations: DataFrame) -> DataFrame:
@@ -70,7 +72,8 @@ def resolve_products(observations: DataFrame, products: DataFrame) -> DataFrame:
     first row with that url; the first row of a (name, store) creates the product; a later row
     joins it if its unit is equal or the creator has no url, and is a duplicate otherwise.
     """
-    return _resolve_in_batch(_resolve_in_catalog(observations, products))
+    # The second step reads this result several times.
+    return _resolve_in_batch(cut_lineage(_resolve_in_catalog(observations, products)))
 
 
 def _resolve_in_catalog(observations: DataFrame, products: DataFrame) -> DataFrame:

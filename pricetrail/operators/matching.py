@@ -12,7 +12,6 @@ from pricetrail.functions import (
     slugify,
     strip_trailing_unit,
     units_compatible,
-    within_distance,
 )
 from pricetrail.operators.catalog import in_category, latest_price, with_canonical_category
 from pricetrail.plans.lineage import cut_lineage
@@ -129,47 +128,49 @@ def allowed_edits(longest: Column) -> Column:
     return F.least(F.lit(MAX_EDITS), F.floor((longest - 1) / (1 / MAX_EDIT_SHARE))).cast("int")
 
 
-def _piece_start(length: Column, edits: Column, number: Column) -> Column:
-    size = F.floor(length / (edits + 1))
-    short = edits + 1 - length % (edits + 1)
-    return (number * size + F.greatest(F.lit(0), number - short)).cast("int")
+def _piece_bounds(length: Column, edits: Column) -> Column:
+    """Array of piece, start, size: a text of that length cut evenly into edits + 1 pieces."""
+    pieces = edits + 1
+    size = F.floor(length / pieces)
+    short = pieces - length % pieces  # this many pieces have the smaller size
 
+    def bounds(number: Column) -> Column:
+        start = number * size + F.greatest(F.lit(0), number - short)
+        return F.struct(
+            number.alias("piece"),
+            start.cast("int").alias("start"),
+            (size + (number >= short).cast("int")).cast("int").alias("size"),
+        )
 
-def _piece_size(length: Column, edits: Column, number: Column) -> Column:
-    size = F.floor(length / (edits + 1))
-    short = edits + 1 - length % (edits + 1)
-    return (size + (number >= short).cast("int")).cast("int")
+    return F.transform(F.sequence(F.lit(0), edits), bounds)
 
 
-def _cut(rows: DataFrame, text: str, start: str, size: str, edits: str) -> DataFrame:
+def _cut(text: str, start: Column, edits: str) -> list[Column]:
     """Take a piece out of `text`; what follows it (or, at the end, precedes it) is `rest`.
 
     With the piece unchanged and taken as the leftmost such piece, at most `edits - piece` edits
     fall after it; after the last piece there are none, so there the text before it is kept, with
     at most `edits` edits.
     """
-    last = F.col("piece") == F.col(edits)
-    after = F.substring(text, F.col(start) + F.col(size) + 1, F.length(text))
-    before = F.substring(text, F.lit(1), F.col(start))
-    return (
-        rows.withColumn("piece_text", F.substring(text, F.col(start) + 1, F.col(size)))
-        .withColumn("rest", F.when(last, before).otherwise(after))
-        .withColumn(
-            "rest_edits", F.when(last, F.col(edits)).otherwise(F.col(edits) - F.col("piece"))
-        )
-    )
+    piece, size = F.col("p.piece"), F.col("p.size")
+    last = piece == F.col(edits)
+    after = F.substring(text, start + size + 1, F.length(text))
+    before = F.substring(text, F.lit(1), start)
+    return [
+        piece.alias("piece"),
+        F.substring(text, start + 1, size).alias("piece_text"),
+        F.when(last, before).otherwise(after).alias("rest"),
+        F.when(last, F.col(edits)).otherwise(F.col(edits) - piece).alias("rest_edits"),
+    ]
 
 
 def _cut_base(rows: DataFrame, text: str, edits: str) -> DataFrame:
     """Cut `text` into edits + 1 pieces of even size, one row per piece."""
-    length, number = F.length(text), F.col("piece")
-    pieces = (
-        rows.withColumn("base_length", length)
-        .withColumn("piece", F.explode(F.sequence(F.lit(0), F.col(edits))))
-        .withColumn("_start", _piece_start(length, F.col(edits), number))
-        .withColumn("_size", _piece_size(length, F.col(edits), number))
+    length = F.length(text)
+    pieces = rows.withColumn("p", F.explode(_piece_bounds(length, F.col(edits))))
+    return pieces.select(
+        *rows.columns, length.alias("base_length"), *_cut(text, F.col("p.start"), edits)
     )
-    return _cut(pieces, text, "_start", "_size", edits).drop("_start", "_size")
 
 
 def _cut_probe(rows: DataFrame, text: str, edits: str) -> DataFrame:
@@ -179,22 +180,15 @@ def _cut_probe(rows: DataFrame, text: str, edits: str) -> DataFrame:
     such piece at most `piece` edits come before it and at most `edits - piece` after it, which
     bounds how far it can have moved from either end.
     """
-    length, number, tau = F.length(text), F.col("piece"), F.col(edits)
-    shift = length - F.col("base_length")
-    starts = (
-        rows.withColumn("piece", F.explode(F.sequence(F.lit(0), tau)))
-        .withColumn("_from", _piece_start(F.col("base_length"), tau, number))
-        .withColumn("_size", _piece_size(F.col("base_length"), tau, number))
-        .withColumn("_low", F.greatest(F.lit(0), F.col("_from") - number,
-                                       F.col("_from") + shift - (tau - number)))
-        .withColumn("_high", F.least(length - F.col("_size"), F.col("_from") + number,
-                                     F.col("_from") + shift + (tau - number)))
-        .filter(F.col("_low") <= F.col("_high"))
-        .withColumn("_start", F.explode(F.sequence("_low", "_high")))
-    )
-    return _cut(starts, text, "_start", "_size", edits).drop(
-        "_from", "_size", "_low", "_high", "_start"
+    before, after = F.col("p.piece"), F.col(edits) - F.col("p.piece")
+    start, longer = F.col("p.start"), F.length(text) - F.col("base_length")
+    low = F.greatest(F.lit(0), start - before, start + longer - after)
+    high = F.least(F.length(text) - F.col("p.size"), start + before, start + longer + after)
+    pieces = rows.withColumn("p", F.explode(_piece_bounds(F.col("base_length"), F.col(edits))))
+    starts = pieces.withColumn(
+        "_start", F.explode(F.when(low <= high, F.sequence(low, high)))
     )
+    return starts.select(*rows.columns, *_cut(text, F.col("_start"), edits))
 
 
 def _base_pieces(base: DataFrame) -> DataFrame:
@@ -242,24 +236,20 @@ def _dense_signatures(base: DataFrame, probes: DataFrame, limit: int) -> DataFra
 
 def _refined(base: DataFrame, probes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Cut the rest of dense pieces once more, so that pairs must share a second piece."""
-    b = base.withColumn("_first", F.col("signature")).drop("base_length", "piece", "piece_text")
-    b = _cut_base(
-        b.withColumnsRenamed({"rest": "_rest", "rest_edits": "_edits"}), "_rest", "_edits"
-    )
-    length = F.length("_rest")
-    o = probes.withColumn("_first", F.col("signature")).drop("base_length", "piece", "piece_text")
-    o = o.withColumnsRenamed({"rest": "_rest", "rest_edits": "_edits"})
-    o = o.withColumn(
-        "base_length",
-        F.explode(
-            F.sequence(F.greatest(F.lit(0), length - F.col("_edits")), length + F.col("_edits"))
-        ),
-    )
-    o = _cut_probe(o, "_rest", "_edits")
-    key = F.xxhash64("_first", "base_length", "_edits", "piece", "piece_text")
+    carried = [*_NAME_FIELDS, F.col("signature").alias("first"), F.col("rest").alias("text"),
+               F.col("rest_edits").alias("edits")]
+    b = _cut_base(base.select(*carried), "text", "edits")
+    length, edits = F.length("text"), F.col("edits")
+    lengths = F.sequence(F.greatest(F.lit(0), length - edits), length + edits)
+    o = probes.select(*carried).withColumn("base_length", F.explode(lengths))
+    o = _cut_probe(o, "text", "edits")
+    key = F.xxhash64("first", "base_length", "edits", "piece", "piece_text")
     return b.withColumn("signature", key), o.withColumn("signature", key)
 
 
+_NAME_FIELDS = ["block", "match_key", "product_id", "unit_type", "place", "store_rank"]
+
+
 def similar_pairs(base: DataFrame, others: DataFrame, dense_pairs: int = DENSE_PAIRS) -> DataFrame:
     """Pairs of names of one block within the allowed edit distance.
 
@@ -269,22 +259,22 @@ def similar_pairs(base: DataFrame, others: DataFrame, dense_pairs: int = DENSE_P
     shared by very many names are joined on a second piece too, by the same argument applied to
     the rest of the name. A pair may appear more than once.
     """
-    fields = ["block", "match_key", "product_id", "unit_type", "place", "store_rank"]
-    b, o = _base_pieces(base.select(*fields)), _probe_pieces(others.select(*fields))
-    dense = _dense_signatures(b, o, dense_pairs)
-    sparse_pair = _joined(
+    b = _base_pieces(base.select(*_NAME_FIELDS))
+    o = _probe_pieces(others.select(*_NAME_FIELDS))
+    dense = cut_lineage(_dense_signatures(b, o, dense_pairs))
+    if dense.isEmpty():
+        return _joined(b, o)
+    sparse_pairs = _joined(
         b.join(dense, "signature", "left_anti"), o.join(dense, "signature", "left_anti")
     )
-    dense_pair = _joined(
-        *_refined(b.join(dense, "signature", "left_semi"), o.join(dense, "signature", "left_semi"))
-    )
-    return sparse_pair.unionByName(dense_pair)
+    in_dense = [side.join(dense, "signature", "left_semi") for side in (b, o)]
+    return sparse_pairs.unionByName(_joined(*_refined(*in_dense)))
 
 
 def _joined(base: DataFrame, probes: DataFrame) -> DataFrame:
     b = base.select(
         "signature",
-        F.col("block").alias("block"),
+        "block",
         F.col("match_key").alias("base_key"),
         F.col("product_id").alias("base_id"),
         F.col("unit_type").alias("base_unit"),
@@ -299,13 +289,13 @@ def _joined(base: DataFrame, probes: DataFrame) -> DataFrame:
         F.struct("store_rank", "place").alias("other_place"),
     )
     longest = F.greatest(F.length("base_key"), F.length("other_key"))
-    distance = within_distance(F.col("base_key"), F.col("other_key"), allowed_edits(longest))
+    distance = F.levenshtein("base_key", "other_key", MAX_EDITS)
     return (
         b.join(o, "signature")
         .filter(F.col("block") == F.col("other_block"))
         .filter(units_compatible(F.col("base_unit"), F.col("other_unit")))
+        .filter(distance.between(0, allowed_edits(longest)))
         .withColumn("distance", distance)
-        .filter(F.col("distance").isNotNull())
         .drop("signature", "other_block", "base_unit", "other_unit")
     )
 

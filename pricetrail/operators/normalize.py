@@ -3,22 +3,32 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pricetrail.functions import normalize_name, price_per_unit
-from pricetrail.functions.units import clean_unit, size_of, size_parts
+from pricetrail.functions import normalize_name, price_per_unit, units
 from pricetrail.operators.catalog import latest_price
 
 
 def with_pack_size(products: DataFrame) -> DataFrame:
     """Set unit_quantity and unit_type from the unit text, NULL when it is not measurable."""
     # Successive projections, so that each step is computed once per row.
-    parsed = products.withColumn("_text", clean_unit(F.col("unit")))
-    parsed = parsed.withColumn("_parts", size_parts(F.col("_text")))
-    parsed = parsed.withColumn("_size", size_of(F.col("_text"), F.col("_parts")))
-    return (
-        parsed.withColumn("unit_quantity", F.col("_size.qty"))
-        .withColumn("unit_type", F.col("_size.type"))
-        .drop("_text", "_parts", "_size")
+    staged = products.withColumn("_text", units.clean_unit(F.col("unit")))
+    text, parts, number, unit = map(F.col, ("_text", "_parts", "_number", "_unit"))
+    staged = staged.withColumn("_parts", units.size_parts(text))
+    staged = staged.withColumns(
+        {
+            "_number": units.parse_decimal(units.part(parts, 2)),
+            "_unit": units.unit_name(units.part(parts, 3)),
+            "_piece": units.is_piece(text),
+        }
+    )
+    staged = staged.withColumn("_measured", units.is_measured(text, parts, number, unit))
+    quantity = F.when(F.col("_piece"), 1.0).when(
+        F.col("_measured"), units.pack_quantity(parts, number, unit)
     )
+    kind = F.when(F.col("_piece"), "stuk").when(F.col("_measured"), units.base_kind(unit))
+    return (
+        staged.withColumns({"unit_quantity": quantity, "unit_type": kind})
+        .drop("_text", "_parts", "_number", "_unit", "_piece", "_measured")
+    )
 
 
 def normalize_units(products: DataFrame, prices: DataFrame) -> DataFrame:

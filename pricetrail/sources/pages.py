@@ -8,7 +8,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pricetrail.functions import clean_text, missing
+from pricetrail.functions import clean_text
 from pricetrail.schemas import STORE_SITES
 
 # The attribute that marks a product card, by store layout. None: any article.
@@ -57,44 +57,52 @@ def _element(condition: str, tag: str = r"\w+") -> str:
     return rf"(?s)<({tag})\b[^>]*?{condition}[^>]*>(.*?)</\1>"
 
 
-def _exists(html: Column, condition: str, tag: str = r"\w+") -> Column:
-    return html.rlike(rf"<{tag}\b[^>]*?{condition}")
+def _inner(html: Column, condition: str, tag: str = r"\w+") -> Column:
+    """Inner HTML of the first element that fits, empty if there is none."""
+    return F.regexp_extract(html, _element(condition, tag), 2)
 
 
-def _inner(html: Column, condition: str, tag: str = r"\w+") -> Column:
-    """Inner HTML of the first element that fits, NULL if there is none."""
-    return F.when(
-        _exists(html, condition, tag), F.regexp_extract(html, _element(condition, tag), 2)
-    )
+def _without_tags(html: Column) -> Column:
+    return F.regexp_replace(html, "<[^>]+>", "")
 
 
-def _text_of(html: Column) -> Column:
-    text = F.regexp_replace(html, "<[^>]+>", "")
+def _decoded(text: Column) -> Column:
     for entity, character in ENTITIES.items():
         text = F.replace(text, F.lit(entity), F.lit(character))
     return clean_text(text)
 
 
 def _text(html: Column, condition: str, tag: str = r"\w+") -> Column:
-    return _text_of(_inner(html, condition, tag))
+    """Text of the first element that fits, empty if there is none."""
+    return _decoded(_without_tags(_inner(html, condition, tag)))
+
+
+def _digits(html: Column, condition: str, tag: str = "span") -> Column:
+    """Text of an element that holds a number."""
+    return F.trim(_without_tags(_inner(html, condition, tag)))
 
 
 def _start_tag(html: Column, condition: str, tag: str) -> Column:
-    found = F.regexp_extract(html, rf"<{tag}\b[^>]*?{condition}[^>]*>", 0)
-    return F.when(found != "", found)
+    """Start tag of the first element that fits, empty if there is none."""
+    return F.regexp_extract(html, rf"<{tag}\b[^>]*?{condition}[^>]*>", 0)
 
 
 def _attribute(start_tag: Column, name: str) -> Column:
-    return _text_of(F.regexp_extract(start_tag, rf'\s{name}="([^"]*)"', 1))
+    return _decoded(F.regexp_extract(start_tag, rf'\s{name}="([^"]*)"', 1))
 
 
 def _leading_number(text: Column) -> Column:
-    return F.regexp_extract(text, _LEADING_NUMBER, 1).try_cast("double")
+    return _nonempty(F.regexp_extract(text, _LEADING_NUMBER, 1)).cast("double")
 
 
 def _amount(whole: Column, fraction: Column) -> Column:
-    """Price from its whole and fractional text; NULL if a part is absent or it is zero."""
-    return F.nullif(_leading_number(F.concat(whole, F.lit("."), fraction)), F.lit(0.0))
+    """Price from its whole and fractional text; NULL unless both are there."""
+    number = _leading_number(F.concat(whole, F.lit("."), fraction))
+    return F.when((whole != "") & (fraction != ""), number)
+
+
+def _nonempty(text: Column) -> Column:
+    return F.nullif(text, F.lit(""))
 
 
 # ---- shared rules ---------------------------------------------------------------------------
@@ -162,7 +170,7 @@ def infer_sale(offers: DataFrame, store: str) -> DataFrame:
 
 def _complete(offers: DataFrame) -> DataFrame:
     """Cards without a name or a price are no offers."""
-    return offers.filter(~missing(F.col("name")) & F.col("price").isNotNull())
+    return offers.filter((F.col("name") != "") & (F.col("price") != 0))
 
 
 # ---- layouts --------------------------------------------------------------------------------
@@ -172,15 +180,15 @@ def extract_offers_ah(cards: DataFrame) -> DataFrame:
     card = F.col("card")
     link = _start_tag(card, _contains("href", "/producten/product/"), "a")
     price = _inner(card, _has("data-testid", "price-amount"))
-    old = F.regexp_replace(_text(card, _has("data-testid", "price-was")), r"[^\d.,]", "")
+    old = F.regexp_replace(_digits(card, _has("data-testid", "price-was"), r"\w+"), r"[^\d.,]", "")
     offers = cards.withColumns({"_link": link, "_price": price}).select(
         *_page_columns(cards),
         clean_text(F.regexp_replace(_attribute(F.col("_link"), "title"), r"^Bekijk\s+", ""))
         .alias("name"),
         absolute_url(_attribute(F.col("_link"), "href"), "ah").alias("link"),
         _amount(
-            _text(F.col("_price"), _contains("class", "integer"), "span"),
-            _text(F.col("_price"), _contains("class", "fractional"), "span"),
+            _digits(F.col("_price"), _contains("class", "integer")),
+            _digits(F.col("_price"), _contains("class", "fractional")),
         ).alias("price"),
         _leading_number(F.regexp_replace(old, r"^([^,]*),", "$1.")).alias("old_price"),
         _text(card, _has("data-testid", "product-shield")).alias("badge"),
@@ -211,8 +219,8 @@ def extract_offers_jumbo(cards: DataFrame) -> DataFrame:
 
     def amount(box: str) -> Column:
         return _amount(
-            _text(F.col(box), _has_class("whole"), "span"),
-            _text(F.col(box), _has_class("fractional"), "span"),
+            _digits(F.col(box), _has_class("whole")),
+            _digits(F.col(box), _has_class("fractional")),
         )
 
     offers = staged.select(
@@ -234,24 +242,27 @@ def extract_offers_jumbo(cards: DataFrame) -> DataFrame:
 def extract_offers_dirk(cards: DataFrame) -> DataFrame:
     card = F.col("card")
     link = F.coalesce(
-        _start_tag(card, _has_class("bottom"), "a"), _start_tag(card, _has_class("top"), "a")
+        _nonempty(_start_tag(card, _has_class("bottom"), "a")),
+        _start_tag(card, _has_class("top"), "a"),
+    )
+    old = F.coalesce(
+        _nonempty(_inner(card, _has_class("old-price"))), _inner(card, _has_class("from-price"))
     )
-    old = F.coalesce(_inner(card, _has_class("old-price")), _inner(card, _has_class("from-price")))
     box = _inner(_after(card, _has_class("price-container")), _has_class("price"))
     staged = cards.withColumns({"_link": link, "_price": box, "_old": old})
     staged = staged.withColumns(
         {
             "_large_tag": _start_tag(F.col("_price"), _has_class("price-large"), "span"),
-            "_large": _text(F.col("_price"), _has_class("price-large"), "span"),
-            "_small": _text(F.col("_price"), _has_class("price-small"), "span"),
+            "_large": _digits(F.col("_price"), _has_class("price-large")),
+            "_small": _digits(F.col("_price"), _has_class("price-small")),
         }
     )
     euros = _amount(F.col("_large"), F.col("_small"))
-    cents = F.regexp_extract("_large", r"^\s*([+-]?\d+)", 1).try_cast("double") / 100.0
+    cents = _nonempty(F.regexp_extract("_large", r"^([+-]?\d+)", 1)).cast("double") / 100.0
     has_euros = F.col("_large_tag").rlike(_has_class("hasEuros"))
     old_euros = F.coalesce(
-        _text(F.col("_old"), _has_class("price-large"), "span"),
-        _text(F.col("_old"), _has_class("hasEuros"), "span"),
+        _nonempty(_digits(F.col("_old"), _has_class("price-large"))),
+        _digits(F.col("_old"), _has_class("hasEuros")),
     )
     logo = _start_tag(_after(card, _has_class("logos")), r'\salt="[^"]*"', "img")
     offers = staged.select(
@@ -259,8 +270,8 @@ def extract_offers_dirk(cards: DataFrame) -> DataFrame:
         _text(card, _has_class("title"), "p").alias("name"),
         absolute_url(_attribute(F.col("_link"), "href"), "dirk").alias("link"),
         # Below one euro a store shows cents only, and marks larger prices as having euros.
-        F.when(has_euros, euros).otherwise(F.nullif(cents, F.lit(0.0))).alias("price"),
-        _amount(old_euros, _text(F.col("_old"), _has_class("price-small"), "span"))
+        F.when(has_euros, euros).otherwise(cents).alias("price"),
+        _amount(old_euros, _digits(F.col("_old"), _has_class("price-small")))
         .alias("old_price"),
         _nonempty(_text(card, _has_class("subtitle"), "span")).alias("unit"),
         _attribute(logo, "alt").alias("_logo"),
@@ -276,10 +287,6 @@ def _after(html: Column, condition: str) -> Column:
     return F.regexp_extract(html, rf"(?s)<\w+\b[^>]*?{condition}[^>]*>(.*)\z", 1)
 
 
-def _nonempty(text: Column) -> Column:
-    return F.nullif(text, F.lit(""))
-
-
 def _page_columns(cards: DataFrame) -> list[str]:
     return [c for c in cards.columns if c != "card"]
 

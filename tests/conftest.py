@@ -6,21 +6,22 @@ from pyspark.sql import SparkSession
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
+from pricetrail.session import session  # noqa: E402
+
 SF_DIR = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
-    session = (
+    spark_session = session(
         SparkSession.builder.master("local[8]")
         .appName("pricetrail-tests")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
-        .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("checkpoints")))
-        .getOrCreate()
     )
-    session.sparkContext.setLogLevel("ERROR")
-    yield session
-    session.stop()
+    spark_session.sparkContext.setLogLevel("ERROR")
+    yield spark_session
+    spark_session.stop()
