@@ -33,6 +33,9 @@ def main() -> None:
         .config("spark.driver.memory", "16g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        # One machine, small files: spread the reading and the work over all cores.
+        .config("spark.sql.files.openCostInBytes", "65536")
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64KB")
     )
     spark.sparkContext.setLogLevel("ERROR")
     QUERIES["latest_price"](spark, sf_dir).write.format("noop").mode("overwrite").save()  # warm-up
