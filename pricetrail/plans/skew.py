@@ -37,15 +37,32 @@ def hot_groups(
     )
 
 
+def _found_hot_groups(
+    df: DataFrame, keys: Sequence[str], position: Column, slice_rows: int
+) -> DataFrame | None:
+    """The large groups as a local table of at most MAX_HOT_GROUPS rows, None if there are none.
+
+    Counting first costs one narrow aggregate, and leaves the usual case, without any large group,
+    a plain plan with one shuffle.
+    """
+    hot = hot_groups(df, keys, position, slice_rows)
+    rows = hot.collect()
+    return F.broadcast(df.sparkSession.createDataFrame(rows, hot.schema)) if rows else None
+
+
+def _sliced(df: DataFrame, hot: DataFrame, keys: Sequence[str], position: Column) -> DataFrame:
+    number = F.floor((position - F.col("_low")) / F.col("_width"))
+    return df.join(hot, list(keys), "left").withColumn("_slice", number).drop("_low", "_width")
+
+
 def add_slices(
     df: DataFrame, keys: Sequence[str], position: Column, slice_rows: int = SLICE_ROWS
 ) -> DataFrame:
     """Add `_slice`: NULL in ordinary groups, else a number that grows with `position`."""
-    hot = F.broadcast(hot_groups(df, keys, position, slice_rows))
-    number = F.floor((position - F.col("_low")) / F.col("_width"))
-    return (
-        df.join(hot, list(keys), "left").withColumn("_slice", number).drop("_low", "_width")
-    )
+    hot = _found_hot_groups(df, keys, position, slice_rows)
+    if hot is None:
+        return df.withColumn("_slice", F.lit(None).cast("long"))
+    return _sliced(df, hot, keys, position)
 
 
 def with_previous(
@@ -62,9 +79,12 @@ def with_previous(
     The struct is NULL on a group's first row only. `position` is a whole number that never
     decreases along `order`.
     """
-    keys = list(keys)
-    sliced = add_slices(df, keys, position, slice_rows)
-    value = F.struct(*values)
+    keys, value = list(keys), F.struct(*values)
+    hot = _found_hot_groups(df, keys, position, slice_rows)
+    if hot is None:
+        in_group = Window.partitionBy(*keys).orderBy(*order)
+        return df.withColumn(name, F.lag(value).over(in_group))
+    sliced = _sliced(df, hot, keys, position)
     in_slice = Window.partitionBy(*keys, "_slice").orderBy(*order)
 
     # One row per slice of the large groups: the last value of the slice before it.

@@ -8,7 +8,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pricetrail.functions import clean_text
+from pricetrail.functions.text import SPACES, trim_spaces
 from pricetrail.schemas import STORE_SITES
 
 # The attribute that marks a product card, by store layout. None: any article.
@@ -22,12 +22,8 @@ CARD_MARKS = {
 # Texts on a badge that stand for a sale.
 SALE_BADGES = ("bonus", "korting", "actie", "% lager", "2e halve prijs", "1+1")
 
-# Named characters that occur in page text.
-ENTITIES = {
-    "&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'",
-    "&euro;": "€", "&eacute;": "é", "&egrave;": "è", "&euml;": "ë", "&iuml;": "ï", "&ouml;": "ö",
-    "&amp;": "&",
-}
+# The only characters a browser writes by name when it serializes a page.
+ENTITIES = {"&nbsp;": "\u00a0", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&amp;": "&"}
 
 # Size texts in a product title.
 _TITLE_PACKS = r"(?i)(\d+)\s*x\s*(\d+(?:[.,]\d+)?)\s*(kg|g|gr|ml|cl|l)(?!\w)"
@@ -69,7 +65,7 @@ def _without_tags(html: Column) -> Column:
 def _decoded(text: Column) -> Column:
     for entity, character in ENTITIES.items():
         text = F.replace(text, F.lit(entity), F.lit(character))
-    return clean_text(text)
+    return trim_spaces(text)
 
 
 def _text(html: Column, condition: str, tag: str = r"\w+") -> Column:
@@ -183,7 +179,7 @@ def extract_offers_ah(cards: DataFrame) -> DataFrame:
     old = F.regexp_replace(_digits(card, _has("data-testid", "price-was"), r"\w+"), r"[^\d.,]", "")
     offers = cards.withColumns({"_link": link, "_price": price}).select(
         *_page_columns(cards),
-        clean_text(F.regexp_replace(_attribute(F.col("_link"), "title"), r"^Bekijk\s+", ""))
+        F.regexp_replace(_attribute(F.col("_link"), "title"), f"^Bekijk[{SPACES}]+", "")
         .alias("name"),
         absolute_url(_attribute(F.col("_link"), "href"), "ah").alias("link"),
         _amount(
