@@ -25,8 +25,10 @@ MAX_EDITS = 3
 MAX_EDIT_SHARE = 0.2
 UNKNOWN_CATEGORY = "_unknown"
 
-# Piece groups with more name pairs than this are joined on a second piece as well.
+# Piece groups with more name pairs than this are joined on a further piece as well, until pairs
+# share this many pieces.
 DENSE_PAIRS = 1_000_000
+MAX_SHARED_PIECES = 4
 
 
 # ---- candidates and exact matches -----------------------------------------------------------
@@ -255,20 +257,28 @@ def similar_pairs(base: DataFrame, others: DataFrame, dense_pairs: int = DENSE_P
 
     Both frames have `block`, `match_key`, `product_id`, `unit_type`, `place`, `store_rank`.
     A name is cut into one piece more than edits are allowed, so two similar names share a piece:
-    an equi-join on pieces finds every pair, without comparing all names of a block. Pieces
-    shared by very many names are joined on a second piece too, by the same argument applied to
-    the rest of the name. A pair may appear more than once.
+    an equi-join on pieces finds every pair, without comparing all names of a block. Where very
+    many names share a piece, they must share one more piece, by the same argument applied to the
+    rest of the name, and so on. A pair may appear more than once.
     """
-    b = _base_pieces(base.select(*_NAME_FIELDS))
-    o = _probe_pieces(others.select(*_NAME_FIELDS))
-    dense = cut_lineage(_dense_signatures(b, o, dense_pairs))
-    if dense.isEmpty():
-        return _joined(b, o)
-    sparse_pairs = _joined(
-        b.join(dense, "signature", "left_anti"), o.join(dense, "signature", "left_anti")
+    return _pairs(
+        _base_pieces(base.select(*_NAME_FIELDS)),
+        _probe_pieces(others.select(*_NAME_FIELDS)),
+        dense_pairs,
+        MAX_SHARED_PIECES,
     )
-    in_dense = [side.join(dense, "signature", "left_semi") for side in (b, o)]
-    return sparse_pairs.unionByName(_joined(*_refined(*in_dense)))
+
+
+def _pairs(base: DataFrame, probes: DataFrame, dense_pairs: int, rounds: int) -> DataFrame:
+    """Join on signatures; dense ones are refined first, for up to `rounds` rounds."""
+    if rounds == 1:
+        return _joined(base, probes)
+    dense = cut_lineage(_dense_signatures(base, probes, dense_pairs))
+    if dense.isEmpty():
+        return _joined(base, probes)
+    sparse = [side.join(dense, "signature", "left_anti") for side in (base, probes)]
+    common = [side.join(dense, "signature", "left_semi") for side in (base, probes)]
+    return _joined(*sparse).unionByName(_pairs(*_refined(*common), dense_pairs, rounds - 1))
 
 
 def _joined(base: DataFrame, probes: DataFrame) -> DataFrame:
