@@ -1,36 +1,66 @@
-"""A training-data pipeline: each stage works on all that the stage before it kept."""
+"""A training-data pipeline: each stage works on all that the stage before it kept.
+
+Toxic documents go, one document of each group of near-duplicates stays, documents that contain a benchmark
+item go, secrets are blanked out, and what is left is encoded. Every stage but the last returns the columns
+of its input. Rows with null id go through the stages like others; they belong to no group that could name
+them, so near-duplicate removal and decontamination leave them in. Repeated rows of an id are copies: one
+of them stays after near-duplicate removal. Empty tables pass through as empty tables.
+"""
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from pricetrail.llm import byte_bpe, simhash
+from pricetrail.llm import byte_bpe, containment, secret_scan, simhash, toxicity
 from pricetrail.llm.common import WorkFolder, table
 from pricetrail.llm.queries import PATTERN, RANK_FILE, SIMHASH_DISTANCE, SIMHASH_WIDTH
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
-def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier chain rejects go."""
+    labels = table(spark, sf_dir, "labels")
+    chain = toxicity.fit(docs, labels, WorkFolder(spark, "toxicity"))
+    return toxicity.without_toxic(docs, chain)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of SimHash near-duplicates, the document with the smallest id stays."""
     groups = simhash.near_duplicates(docs, SIMHASH_WIDTH, SIMHASH_DISTANCE)
-    kept = groups.where("doc_id = component_id").select("doc_id")
-    # Repeated rows of the kept document are copies of it: one of them stays.
-    return docs.dropDuplicates(["doc_id"]).join(kept.distinct(), "doc_id", "left_semi")
+    kept = groups.where("doc_id = component_id").select("doc_id").distinct()
+    named = docs.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
+    return named.join(kept, "doc_id", "left_semi").select(docs.columns).union(
+        docs.where("doc_id IS NULL")
+    )
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain a benchmark item go."""
+    return containment.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every secret found is replaced by a mark; all documents stay."""
+    work = WorkFolder(spark, "secret-scan")
+    scanned = work.write(secret_scan.scan(docs), "scanned")
+    return secret_scan.redact(docs, secret_scan.fit(scanned))
 
 
-def byte_bpe_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of each document's ids and of the bytes they decode to."""
     return byte_bpe.round_trip(docs, RANK_FILE, PATTERN)
 
 
 STAGES: list[tuple[str, Stage]] = [
-    ("simhash_near_dedup", near_dedup),
-    ("byte_bpe", byte_bpe_tokens),
+    ("toxicity", drop_toxic),
+    ("simhash_near_dedup", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("secret_scan", redact_secrets),
+    ("byte_bpe", encode),
 ]
 
-#: The stages hold models and fingerprints that SQL cannot express; see tests/llm/.
+#: Models, fingerprints and merges are beyond SQL; tests/llm/ compares with a brute-force version.
 ORACLE_SQL = None
 
 

@@ -5,7 +5,18 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pricetrail.llm import byte_bpe, containment, html_text, rules, secret_scan, simhash, token_files, toxicity, warc
+from pricetrail.llm import (
+    byte_bpe,
+    containment,
+    html_text,
+    repeats,
+    rules,
+    secret_scan,
+    simhash,
+    token_files,
+    toxicity,
+    warc,
+)
 from pricetrail.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,6 +74,11 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality(table(spark, sf_dir, "documents"))
 
 
+@query
+def op5_repeated_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.without_repeats(table(spark, sf_dir, "documents"))
+
+
 @query
 def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
