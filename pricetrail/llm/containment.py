@@ -248,7 +248,7 @@ def document_hits(
             for each in (bands, shared)
         ]
         return pa.RecordBatch.from_arrays(
-            [pa.array(keys[rows].astype(np.int64)),
+            [pa.array(keys[np.array(rows, np.int64)].astype(np.int64)),
              *(pa.array(each, pa.list_(pa.int64())) for each in lists)],
             names=[key, "bands", "shingles"],
         )

@@ -74,6 +74,48 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality(table(spark, sf_dir, "documents"))
 
 
+ORACLE["op4_quality_rules"] = r"""
+WITH d AS (
+    SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t,
+           regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
+    FROM documents
+), m AS (
+    SELECT r, doc_id, w, len(w)::BIGINT AS n_words,
+           coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+           len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+           len(regexp_extract_all(t, '\p{Lu}'))::BIGINT AS n_capitals,
+           list_filter(string_split(t, chr(10)),
+                       lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+    FROM d
+), p AS (
+    SELECT r, w, unnest(range(1, len(w) - 6)) AS i FROM m WHERE len(w) >= 8
+), g AS (
+    SELECT r, i, count(*) OVER (PARTITION BY r, array_to_string(w[i:i + 7], ' ')) AS n FROM p
+), c AS (
+    SELECT r, least(8, coalesce(lead(i) OVER (PARTITION BY r ORDER BY i) - i, 8)) AS own
+    FROM g WHERE n > 1
+), s AS (
+    SELECT r, sum(own)::BIGINT AS n_repeat_words FROM c GROUP BY r
+), l AS (
+    SELECT doc_id, n_words, word_chars, n_symbols, len(lines)::BIGINT AS n_lines,
+           (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, n_capitals,
+           coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words
+    FROM m LEFT JOIN s USING (r)
+), b AS (
+    SELECT *,
+           (CASE WHEN n_words < 20 THEN 1 ELSE 0 END
+            + CASE WHEN 100 * n_repeat_words > 30 * n_words THEN 2 ELSE 0 END
+            + CASE WHEN 10 * n_symbols > n_words THEN 4 ELSE 0 END
+            + CASE WHEN 2 * n_dup_lines > n_lines THEN 8 ELSE 0 END
+            + CASE WHEN word_chars < 2 * n_words THEN 16 ELSE 0 END
+            + CASE WHEN word_chars > 15 * n_words THEN 32 ELSE 0 END
+            + CASE WHEN 2 * n_capitals > word_chars THEN 64 ELSE 0 END)::BIGINT AS failures
+    FROM l
+)
+SELECT *, failures & 3 <> 0 AS base_failed, failures = 0 AS kept FROM b
+"""
+
+
 @query
 def op5_repeated_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.without_repeats(table(spark, sf_dir, "documents"))
@@ -91,6 +133,36 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+ORACLE["op7_decontamination"] = r"""
+WITH i AS (
+    SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM benchmark
+    WHERE item_id IS NOT NULL AND text IS NOT NULL
+), k AS (
+    SELECT item_id, w, least(5, len(w)) AS k FROM i WHERE len(w) > 0
+), s AS (
+    SELECT DISTINCT item_id, k, array_to_string(w[j:j + k - 1], ' ') AS g
+    FROM (SELECT *, unnest(range(1, len(w) - k + 2)) AS j FROM k)
+), n AS (
+    SELECT item_id, count(*) AS n_shingles FROM s GROUP BY item_id
+), d AS (
+    SELECT row_number() OVER () AS r, doc_id,
+           regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w
+    FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL
+), x AS (
+    SELECT DISTINCT r, doc_id, k, array_to_string(w[j:j + k - 1], ' ') AS g
+    FROM (SELECT r, doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS j
+          FROM d, (SELECT DISTINCT k FROM k) WHERE len(w) >= k)
+), f AS (
+    SELECT r, doc_id, item_id, count(*) AS n_shared
+    FROM x JOIN s USING (k, g) GROUP BY r, doc_id, item_id
+)
+SELECT doc_id, item_id, max(n_shared)::BIGINT AS n_shared, n_shingles::BIGINT AS n_shingles,
+       max(n_shared)::DOUBLE / n_shingles AS containment
+FROM f JOIN n USING (item_id) GROUP BY doc_id, item_id, n_shingles
+HAVING max(n_shared)::DOUBLE / n_shingles >= 0.8
+"""
+
+
 @query
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.find_secrets(table(spark, sf_dir, "documents"))

@@ -148,7 +148,7 @@ def fails(policy: Policy) -> Column:
 
 def apply_policies(entries: DataFrame, policies: tuple[Policy, ...] = POLICIES) -> DataFrame:
     """One verdict column `kept_<version>` per policy."""
-    return entries.select("*", *(~fails(p).alias(f"kept_{p.version}") for p in policies))
+    return entries.select("*", *((~fails(p)).alias(f"kept_{p.version}") for p in policies))
 
 
 def ablation(entries: DataFrame, policy: Policy = CURRENT) -> DataFrame:
