@@ -4,7 +4,7 @@ from odd import check_shapes, clashing, documents, sentence
 from pricetrail.llm import toxicity
 from pricetrail.llm.common import WorkFolder, table
 
-SF = "/root/testdata/sf0.01"
+SF = "/root/testdata/sf0.1"
 
 
 def test_held_out_labels(spark):
@@ -15,7 +15,7 @@ def test_held_out_labels(spark):
     rows = scored.join(labels, "doc_id").where("doc_id % 2 = 1").collect()
     toxic = np.array([r.toxic for r in rows], bool)
     called = np.array([r.called for r in rows], bool)
-    assert called[toxic].mean() >= 0.7
+    assert called[toxic].mean() >= 0.85
     assert called[~toxic].mean() <= 0.02
 
 
@@ -51,13 +51,10 @@ def rows_and_labels():
 def test_odd_documents(spark):
     rows, labels = rows_and_labels()
     given = spark.createDataFrame(labels, "doc_id long, toxic int")
-    for table_of_labels in (given, clashing(given)):
-        got = check_shapes(
-            documents(spark, rows), lambda df: toxicity.toxicity(df, table_of_labels)
-        ) if table_of_labels is given else None
+    got = check_shapes(documents(spark, rows), lambda df: toxicity.toxicity(df, clashing(given)))
     called = {r[0]: r[-1] for r in got}
-    want = {k: "idiot" in (t or "").lower().split() or k in (202, 203, 204) for k, t in rows}
-    want[205] = False
+    want = {k: "idiot" in (t or "").lower() for k, t in rows} | {205: False}
+    want[None] = True
     assert called == want
     kept = toxicity.without_toxic(
         documents(spark, rows), toxicity.fit(documents(spark, rows), given, WorkFolder(spark, "t"))
