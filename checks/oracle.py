@@ -8,6 +8,8 @@ ORACLE: dict[str, str] = {}
 
 # Named building blocks, in order of use; a statement takes those it mentions.
 BLOCKS: dict[str, str] = {}
+# Blocks that compare all names, or follow from that: evaluated once per statement.
+ONCE = ("v_pool", "v_pairs", "v_fuzzy", "v_exact", "v_matches", "v_members")
 
 
 def block(name: str, text: str) -> None:
@@ -23,7 +25,11 @@ def check(name: str, body: str) -> None:
             if other not in needed and _mentions(text, other):
                 needed.add(other)
                 todo.append(BLOCKS[other])
-    parts = [f"{other} AS ({BLOCKS[other]})" for other in BLOCKS if other in needed]
+    parts = [
+        f"{other} AS {'MATERIALIZED ' if other in ONCE else ''}({BLOCKS[other]})"
+        for other in BLOCKS
+        if other in needed
+    ]
     ORACLE[name] = ("WITH " + ",\n".join(parts) + "\n" if parts else "") + body
 
 
@@ -433,10 +439,12 @@ check("product_history", """
 SELECT product_id, price, original_price, is_sale, CAST(scraped_at AS DATE) AS date, id
 FROM v_prices""")
 block("v_series", """
-SELECT *, CAST(row_number() OVER (PARTITION BY product_id ORDER BY scraped_at, id) - 1 AS INT) AS pos,
+SELECT *, year(scraped_at) AS part,
+  CAST(row_number() OVER (PARTITION BY product_id, year(scraped_at) ORDER BY scraped_at, id) - 1 AS INT)
+    AS pos,
   count(*) OVER (PARTITION BY product_id) AS entries FROM v_prices""")
 check("products_with_history", """
-SELECT p.id, p.supermarket, p.name, CAST(0 AS BIGINT) AS part, v.pos, v.price, v.scraped_at, v.is_sale
+SELECT p.id, p.supermarket, p.name, CAST(v.part AS INT) AS part, v.pos, v.price, v.scraped_at, v.is_sale
 FROM v_products p LEFT JOIN v_series v ON v.product_id = p.id""")
 check("store_counts", """
 SELECT p.supermarket, count(*) AS products, count(z.type) AS with_units
@@ -589,9 +597,9 @@ check("match_members", "SELECT * FROM v_members")
 check("unconfirmed_matches", """
 SELECT m.match_id, t.canonical_name, t.confidence, m.product_id, c.supermarket,
   l.price AS latest_price
-FROM (SELECT * FROM v_matches x WHERE confirmed = 0 AND EXISTS (
-        SELECT 1 FROM v_members y JOIN v_canonical c ON c.id = y.product_id
-        WHERE y.match_id = x.id AND (c.mapped = 'budget' OR c.category LIKE '%budget%'))
+FROM (SELECT * FROM v_matches WHERE confirmed = 0 AND id IN (
+        SELECT y.match_id FROM v_members y JOIN v_canonical c ON c.id = y.product_id
+        WHERE c.mapped = 'budget' OR c.category LIKE '%budget%')
       ORDER BY confidence DESC, id LIMIT 100) t
 JOIN v_members m ON m.match_id = t.id JOIN v_canonical c ON c.id = m.product_id
 LEFT JOIN v_latest l ON l.product_id = m.product_id""")

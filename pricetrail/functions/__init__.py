@@ -1,6 +1,12 @@
 """Column functions. All are built from Spark SQL expressions; none runs Python per row."""
 
-from pricetrail.functions.numeric import exact_mean, pct_change, round_half, round_up_half
+from pricetrail.functions.numeric import (
+    exact_mean,
+    moment_key,
+    pct_change,
+    round_half,
+    round_up_half,
+)
 from pricetrail.functions.text import (
     ascii_lower,
     clean_text,
@@ -26,6 +32,7 @@ __all__ = [
     "contains_term",
     "exact_mean",
     "missing",
+    "moment_key",
     "normalize_name",
     "parse_decimal",
     "parse_unit",

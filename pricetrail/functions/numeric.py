@@ -1,5 +1,7 @@
 """Rounding and ratios with the number semantics the reports rely on."""
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,6 +23,13 @@ def pct_change(first: Column, last: Column) -> Column:
     return F.when(first > 0, (last - first) / first * 100.0)
 
 
+def moment_key(time: Column, id_: Column) -> Column:
+    """Time, then id, as one number of fixed width, for aggregates that keep the first or last row."""
+    micros = F.unix_micros(time.cast("timestamp")).cast("decimal(20,0)")
+    # An id has at most 19 digits.
+    return micros * F.lit(Decimal(10**19)) + id_.cast("decimal(19,0)")
+
+
 def exact_mean(x: Column) -> Column:
     """Mean of amounts with up to four decimals, independent of the order of summation.
 

@@ -3,9 +3,8 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pricetrail.functions import contains_term, missing, round_half, round_up_half
+from pricetrail.functions import contains_term, missing, moment_key, round_half, round_up_half
 from pricetrail.plans.joins import join_small
-from pricetrail.plans.skew import add_slices
 
 PRICE_FIELDS = ("price", "original_price", "is_sale", "scraped_at")
 PRODUCT_FIELDS = (
@@ -17,20 +16,19 @@ ITEM_FIELDS = (
     "price_per_unit", "normalized_name",
 )
 
-# A history array is cut into parts of about this many entries.
-HISTORY_PART_ROWS = 100_000
-
 
 def latest_price(prices: DataFrame) -> DataFrame:
     """Newest price row of every product; equal times are decided by the higher id.
 
-    A maximum combines on the map side, so a product's history never meets in one task.
+    `prices` is the history, or a table of newest prices, which has no `id`: it is taken as it is.
+    A maximum combines on the map side, so a product's history never meets in one task; keys and
+    values of fixed width keep it a hash aggregate, without sorting the history.
     """
-    newest = F.max(F.struct("scraped_at", "id", "price", "original_price", "is_sale"))
-    return (
-        prices.groupBy("product_id")
-        .agg(newest.alias("newest"))
-        .select("product_id", *(F.col(f"newest.{field}") for field in PRICE_FIELDS))
+    if "id" not in prices.columns:
+        return prices.select("product_id", *PRICE_FIELDS)
+    key = moment_key(F.col("scraped_at"), F.col("id"))
+    return prices.groupBy("product_id").agg(
+        *(F.max_by(field, key).alias(field) for field in PRICE_FIELDS)
     )
 
 
@@ -184,34 +182,28 @@ def product_with_history(products: DataFrame, prices: DataFrame, product_id: int
     return all_products_with_history(product, prices.filter(F.col("product_id") == product_id))
 
 
-def price_series(
-    prices: DataFrame, part_rows: int = HISTORY_PART_ROWS, min_entries: int = 1
-) -> DataFrame:
-    """Ordered price array per product with at least `min_entries` prices.
+def price_series(prices: DataFrame, min_entries: int = 1) -> DataFrame:
+    """Ordered price array per product and year (`part`) of products with `min_entries` or more.
 
-    A product with more than `part_rows` entries gets several rows, numbered by `part`, so that
-    no array outgrows a task. Stored prices hold one entry per product and day, hence one part.
+    The form is the same at any size. Stored prices hold one entry per product and day, so that
+    an array never has more than 366.
     """
     entry = F.struct("scraped_at", "id", "price", "original_price", "is_sale")
-    moment = F.unix_micros(F.col("scraped_at").cast("timestamp"))
-    return (
-        add_slices(prices, ["product_id"], moment, part_rows)
-        .groupBy("product_id", "_slice")
-        .agg(F.sort_array(F.collect_list(entry)).alias("price_history"))
-        .filter(F.col("_slice").isNotNull() | (F.size("price_history") >= min_entries))
-        .select("product_id", F.coalesce("_slice", F.lit(0)).alias("part"), "price_history")
+    series = prices.groupBy("product_id", F.year("scraped_at").alias("part")).agg(
+        F.sort_array(F.collect_list(entry)).alias("price_history")
     )
-
-
-def all_products_with_history(
-    products: DataFrame, prices: DataFrame, part_rows: int = HISTORY_PART_ROWS
-) -> DataFrame:
-    """Every product with its price array, an empty array when it has none."""
-    series = price_series(prices, part_rows).withColumnRenamed("product_id", "id")
-    return (
-        products.join(series, "id", "left")
-        .withColumn("part", F.coalesce("part", F.lit(0).cast("long")))
-        .withColumn("price_history", F.coalesce("price_history", F.array()))
+    if min_entries > 1:
+        # Over a product's years, one row each.
+        entries = F.sum(F.size("price_history")).over(Window.partitionBy("product_id"))
+        series = series.withColumn("_entries", entries).filter(F.col("_entries") >= min_entries)
+    return series.select("product_id", "part", "price_history")
+
+
+def all_products_with_history(products: DataFrame, prices: DataFrame) -> DataFrame:
+    """Every product with its price arrays by year; one empty array, without year, if none."""
+    series = price_series(prices).withColumnRenamed("product_id", "id")
+    return products.join(series, "id", "left").withColumn(
+        "price_history", F.coalesce("price_history", F.array())
     )
 
 

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pricetrail.functions import exact_mean, pct_change, round_half
+from pricetrail.functions import exact_mean, moment_key, pct_change, round_half
 from pricetrail.operators.catalog import in_category, percent, with_canonical_category
 from pricetrail.schemas import STORES
 
@@ -29,17 +29,15 @@ def first_last_prices(
 
     One aggregate gives both ends: no sort by time, no self-join, partial results per task.
     """
-    entry = F.struct("scraped_at", "id", "price")
+    key = moment_key(F.col("scraped_at"), F.col("id"))
     return (
         prices.filter(F.col("scraped_at") >= since(days, as_of))
         .groupBy("product_id")
-        .agg(F.min(entry).alias("first"), F.max(entry).alias("last"))
-        .select(
-            "product_id",
-            F.col("first.price").alias("first_price"),
-            F.col("first.scraped_at").alias("first_date"),
-            F.col("last.price").alias("latest_price"),
-            F.col("last.scraped_at").alias("latest_date"),
+        .agg(
+            F.min_by("price", key).alias("first_price"),
+            F.min("scraped_at").alias("first_date"),
+            F.max_by("price", key).alias("latest_price"),
+            F.max("scraped_at").alias("latest_date"),
         )
     )
 
@@ -60,8 +58,9 @@ def _report(
     days: int,
     as_of: dt.date | None,
     min_change: float,
+    changed: DataFrame | None = None,
 ) -> DataFrame:
-    changes = changed_prices(prices, days, as_of)
+    changes = changed_prices(prices, days, as_of) if changed is None else changed
     if min_change > 0:
         changes = changes.filter(F.abs("pct") >= min_change)
     difference = F.col("latest_price") - F.col("first_price")
@@ -82,15 +81,20 @@ def price_changes(
     supermarket: str | None = None,
     min_change: float = 0.0,
     category_map: DataFrame | None = None,
+    changed: DataFrame | None = None,
 ) -> DataFrame:
-    """Price changes over the look-back, largest rise first; `min_change` in percent, unrounded."""
+    """Price changes over the look-back, largest rise first; `min_change` in percent, unrounded.
+
+    Here and below, `changed` is the result of changed_prices, if there is one already.
+    """
     if supermarket is not None:
         products = products.filter(F.col("supermarket") == supermarket)
     if category is not None:
         if category_map is None:
             raise ValueError("a category filter needs the category map")
         products = in_category(products, category_map, category)
-    return _report(products, prices, days, as_of, min_change).orderBy(F.desc("pct_change"), "id")
+    report = _report(products, prices, days, as_of, min_change, changed)
+    return report.orderBy(F.desc("pct_change"), "id")
 
 
 def top_movers(
@@ -138,13 +142,16 @@ def inflation_by_category(
     category_map: DataFrame,
     days: int = 30,
     as_of: dt.date | None = None,
+    changed: DataFrame | None = None,
     category: str | None = None,
 ) -> DataFrame:
     """Mean and largest change per canonical category, over products that changed."""
     slim = products.select("id", "supermarket", "category")
     if category is not None:
         slim = in_category(slim, category_map, category)
-    changes = slim.join(changed_prices(prices, days, as_of), "id")
+    if changed is None:
+        changed = changed_prices(prices, days, as_of)
+    changes = slim.join(changed, "id")
     return (
         with_canonical_category(changes, category_map)
         .groupBy(F.col("canonical_category").alias("category"))
@@ -154,12 +161,18 @@ def inflation_by_category(
 
 
 def inflation_by_store(
-    products: DataFrame, prices: DataFrame, days: int = 30, as_of: dt.date | None = None
+    products: DataFrame,
+    prices: DataFrame,
+    days: int = 30,
+    as_of: dt.date | None = None,
+    changed: DataFrame | None = None,
 ) -> DataFrame:
     """Mean change per store, over products that changed."""
+    if changed is None:
+        changed = changed_prices(prices, days, as_of)
     return (
         products.select("id", "supermarket")
-        .join(changed_prices(prices, days, as_of), "id")
+        .join(changed, "id")
         .groupBy("supermarket")
         .agg(*_inflation_measures(with_max=False))
         .orderBy(F.desc("avg_change_pct"), "supermarket")

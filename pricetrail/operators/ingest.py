@@ -202,21 +202,17 @@ def first_price_per_day(observations: DataFrame, stored: DataFrame | None = None
 
     `observations` need `product_id`. The result has the columns of the price table.
     """
-    first = F.min(F.struct("seq", "price", "original_price", "is_sale", "scraped_at"))
+    fields = ("price", "original_price", "is_sale", "scraped_at")
     firsts = (
         default_original_price(valid_prices(observations))
         .filter(F.col("product_id").isNotNull())
         .groupBy("product_id", F.to_date("scraped_at").alias("day"))
-        .agg(first.alias("first"))
+        .agg(F.min("seq").alias("id"), *(F.min_by(name, "seq").alias(name) for name in fields))
     )
     if stored is not None:
         days = stored.select("product_id", F.to_date("scraped_at").alias("day"))
         firsts = firsts.join(days, ["product_id", "day"], "left_anti")
-    return firsts.select(
-        F.col("first.seq").alias("id"),
-        "product_id",
-        *(f"first.{name}" for name in ("price", "original_price", "is_sale", "scraped_at")),
-    )
+    return firsts.select("id", "product_id", *fields)
 
 
 def flag_price_jumps(prices: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
@@ -229,7 +225,6 @@ def flag_price_jumps(prices: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFra
             keys=["product_id"],
             order=["scraped_at", "id"],
             values=["price"],
-            position=F.unix_micros(F.col("scraped_at").cast("timestamp")),
             name="before",
             slice_rows=slice_rows,
         )
@@ -255,7 +250,6 @@ def detect_unit_changes(resolved: DataFrame, slice_rows: int = SLICE_ROWS) -> Da
         keys=["product_id"],
         order=["seq"],
         values=["unit"],
-        position=F.col("seq"),
         name="before",
         slice_rows=slice_rows,
     )

@@ -501,7 +501,8 @@ def plausible_groups(
     max_ratio: float = 2.0,
 ) -> DataFrame:
     """All members of confirmed groups whose prices are close enough to be the same product."""
-    rows = _confirmed_members(matches, members, products, prices)
+    # Read for the spread and for the members.
+    rows = cut_lineage(_confirmed_members(matches, members, products, prices))
     return rows.join(_plausible(rows, max_ratio).select("match_id"), "match_id", "left_semi")
 
 
@@ -516,7 +517,8 @@ def comparison_table(
 
     The surplus is by unit price when both have one of the same type, else by price.
     """
-    rows = _confirmed_members(matches, members, products, prices)
+    # Read for the spread and for the members.
+    rows = cut_lineage(_confirmed_members(matches, members, products, prices))
     best = F.col("best")
     per_unit = (
         (F.col("price_per_unit") != 0)

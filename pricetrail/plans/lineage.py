@@ -11,8 +11,9 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         if folder is None:
-            if not context.master.startswith("local"):
+            # Unset, as in tests on one machine; never on a cluster.
+            if not context.master.startswith("local["):
                 raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-            folder = tempfile.mkdtemp(prefix="pricetrail-checkpoint-")
+            folder = tempfile.mkdtemp(prefix="checkpoints-")
         context.setCheckpointDir(folder)
     return df.checkpoint()

@@ -11,15 +11,22 @@ from pricetrail.plans.lineage import cut_lineage
 from pricetrail.sources.store import PriceStore
 
 
-def ingest_run(store: PriceStore, observations: DataFrame, run: int) -> list[Row]:
+def ingest_run(
+    store: PriceStore,
+    observations: DataFrame,
+    batch: int,
+    source: str = "scheduled",
+    may_be_empty: bool = False,
+) -> list[Row]:
     """Add a batch to the store; returns the summary per store (NULL = total).
 
-    A run that is already finished is not repeated; a run that observed nothing fails before it
-    becomes visible.
+    A batch is known by its source and number: one that is finished is not repeated. The store
+    numbers the runs, so that sources do not disturb each other. A batch that observed no product
+    fails before it becomes visible, unless it `may_be_empty`; then its rejects are stored.
     """
-    last = store.last_run()
-    if last is not None and run <= last:
+    if store.is_finished(source, batch):
         return []
+    run = store.next_run()
     products = store.products()
     # Everything below branches off this result; it is computed once.
     resolved = cut_lineage(ingest.resolve_products(observations, products))
@@ -32,7 +39,8 @@ def ingest_run(store: PriceStore, observations: DataFrame, run: int) -> list[Row
     )
     summary = ingest.ingest_summary(resolved, new_prices)
     rows = summary.collect()  # one row per store
-    total = ingest.require_observations(rows)
+    total = 0 if may_be_empty else ingest.require_observations(rows)
+    total = total or sum(row["scraped"] for row in rows if row["supermarket"] is None)
 
     before = store.latest()
     latest = cut_lineage(catalog.refresh_latest(before, new_prices))
@@ -53,7 +61,7 @@ def ingest_run(store: PriceStore, observations: DataFrame, run: int) -> list[Row
     store.write_by_day("unit_changes", run, ingest.detect_unit_changes(resolved), "detected_at")
     store.write("price_jumps", run, jumps)
     store.write("rejects", run, rejects)
-    store.finish(run, total)
+    store.finish(run, total, source, batch)
     return rows
 
 
@@ -84,14 +92,23 @@ def publish_run(
     days: int = 30,
     min_change: float = 5.0,
     max_changes: int = 200,
+    latest: DataFrame | None = None,
 ) -> None:
-    """Write every published dataset below `target`."""
-    products = cut_lineage(normalize.normalize(products, prices))
+    """Write every published dataset below `target`.
+
+    `latest` is the stored table of newest prices; without it, it is made once from the history.
+    """
+    latest = cut_lineage(catalog.latest_price(prices)) if latest is None else latest
+    products = cut_lineage(normalize.normalize(products, latest))
     counts = cut_lineage(catalog.canonical_categories(products, category_map))
-    by_category = cut_lineage(publish.category_datasets(products, prices, category_map))
-    comparison = cut_lineage(matching.comparison_table(matches, members, products, prices))
+    by_category = cut_lineage(publish.category_datasets(products, latest, category_map))
+    comparison = cut_lineage(matching.comparison_table(matches, members, products, latest))
+    # One pass over the look-back for movers and both inflation reports.
+    changed = cut_lineage(changes.changed_prices(prices, days, as_of))
 
-    movers = changes.price_changes(products, prices, days, as_of, min_change=min_change)
+    movers = changes.price_changes(
+        products, prices, days, as_of, min_change=min_change, changed=changed
+    )
     index = changes.price_index(products, prices)
     datasets = {
         "stats/stores": catalog.store_counts(products),
@@ -99,14 +116,14 @@ def publish_run(
         "stats/categories": catalog.category_total(products),
         "categories": counts,
         "inflation/category": changes.inflation_by_category(
-            products, prices, category_map, days, as_of
+            products, prices, category_map, days, as_of, changed
         ),
-        "inflation/store": changes.inflation_by_store(products, prices, days, as_of),
+        "inflation/store": changes.inflation_by_store(products, prices, days, as_of, changed),
         "movers": movers.limit(max_changes),
         "sales": changes.fake_sales(products, prices),
         "unit_changes": changes.shrinkflation(products, unit_changes),
         "history": publish.history_extract(prices),
-        "matches": matching.plausible_groups(matches, members, products, prices),
+        "matches": matching.plausible_groups(matches, members, products, latest),
         "comparison": comparison,
         "price_index": changes.price_index_wide(index).orderBy("date"),
         "pages": catalog.category_page(by_category.drop("category_slug")),
@@ -120,7 +137,7 @@ def publish_run(
         ("category_slug", "normalized_name", "id"),
     )
     write_json(
-        publish.search_index(products, prices), f"{target}/products", "supermarket",
+        publish.search_index(products, latest), f"{target}/products", "supermarket",
         ("supermarket", "n", "i"), max_rows=100_000,
     )
 

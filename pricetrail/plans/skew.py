@@ -1,68 +1,50 @@
 """Ordered operations on groups of any size.
 
-A window partitioned by product puts a whole product into one task. Here a group above a size
-limit is first cut into consecutive slices along its order, so that no task holds more than a
-slice, and the slices are then linked through one small row each.
+A window partitioned by product puts a whole product into one task. Groups above a size limit are first
+cut into consecutive slices of about equal numbers of rows along their order, however many such groups
+there are and however their rows cluster; the slices are then linked through one small row each.
 """
 
 from collections.abc import Sequence
+from functools import reduce
+from math import ceil
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SLICE_ROWS = 1_000_000
-MAX_HOT_GROUPS = 1024
+from pricetrail.plans.lineage import cut_lineage
 
+SLICE_ROWS = 1_000_000
 
-def hot_groups(
-    df: DataFrame, keys: Sequence[str], position: Column, slice_rows: int = SLICE_ROWS
-) -> DataFrame:
-    """The largest groups above `slice_rows`, with where their slices start and how wide they are.
 
-    At most MAX_HOT_GROUPS rows, so the result is safe to broadcast; a group beyond those holds
-    less than one part in MAX_HOT_GROUPS of the rows.
-    """
-    slices = F.ceil(F.col("_n") / slice_rows)
-    return (
-        df.groupBy(*keys)
-        .agg(
-            F.count("*").alias("_n"),
-            F.min(position).alias("_low"),
-            F.max(position).alias("_high"),
-        )
-        .filter(F.col("_n") > slice_rows)
-        .orderBy(F.desc("_n"))
-        .limit(MAX_HOT_GROUPS)
-        .select(*keys, "_low", F.ceil((F.col("_high") - F.col("_low") + 1) / slices).alias("_width"))
-    )
+def large_groups(df: DataFrame, keys: Sequence[str], slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """Keys (as `_key_<name>`) and size of all groups above `slice_rows`."""
+    sizes = df.groupBy(*(F.col(k).alias(f"_key_{k}") for k in keys))
+    return sizes.agg(F.count("*").alias("_size")).filter(F.col("_size") > slice_rows)
 
 
-def _found_hot_groups(
-    df: DataFrame, keys: Sequence[str], position: Column, slice_rows: int
-) -> DataFrame | None:
-    """The large groups as a local table of at most MAX_HOT_GROUPS rows, None if there are none.
+def sliced_rows(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    rows: int,
+    slice_rows: int = SLICE_ROWS,
+) -> DataFrame:
+    """Add `_slice`, which grows along `order` within each group, with `slice_rows` rows at most.
 
-    Counting first costs one narrow aggregate, and leaves the usual case, without any large group,
-    a plain plan with one shuffle.
+    Sorting by range cuts at any row, so a group's slices hold what one task can take even where
+    all its rows fall into one moment. Sampled ranges differ in size: they are made half as
+    large, and cut again by number.
     """
-    hot = hot_groups(df, keys, position, slice_rows)
-    rows = hot.collect()
-    return F.broadcast(df.sparkSession.createDataFrame(rows, hot.schema)) if rows else None
-
-
-def _sliced(df: DataFrame, hot: DataFrame, keys: Sequence[str], position: Column) -> DataFrame:
-    number = F.floor((position - F.col("_low")) / F.col("_width"))
-    return df.join(hot, list(keys), "left").withColumn("_slice", number).drop("_low", "_width")
-
-
-def add_slices(
-    df: DataFrame, keys: Sequence[str], position: Column, slice_rows: int = SLICE_ROWS
-) -> DataFrame:
-    """Add `_slice`: NULL in ordinary groups, else a number that grows with `position`."""
-    hot = _found_hot_groups(df, keys, position, slice_rows)
-    if hot is None:
-        return df.withColumn("_slice", F.lit(None).cast("long"))
-    return _sliced(df, hot, keys, position)
+    ranges = max(ceil(2 * rows / slice_rows), 1)
+    ranged = df.repartitionByRange(ranges, *keys, *order).withColumn(
+        "_range", F.spark_partition_id()
+    )
+    # Ranges are drawn anew whenever they are computed again, so they are written down.
+    ranged = cut_lineage(ranged)
+    number = F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(*order)) - 1
+    part = F.floor(number / slice_rows)
+    return ranged.withColumn("_slice", F.struct("_range", part.alias("part"))).drop("_range")
 
 
 def with_previous(
@@ -70,35 +52,41 @@ def with_previous(
     keys: Sequence[str],
     order: Sequence[str],
     values: Sequence[str],
-    position: Column,
     name: str = "previous",
     slice_rows: int = SLICE_ROWS,
 ) -> DataFrame:
     """Add struct column `name` with `values` of the preceding row of the group.
 
-    The struct is NULL on a group's first row only. `position` is a whole number that never
-    decreases along `order`.
+    The struct is NULL on a group's first row only. Group sizes are counted first, one narrow
+    aggregate, so that the usual case, without any large group, stays a plan with one shuffle.
     """
     keys, value = list(keys), F.struct(*values)
-    hot = _found_hot_groups(df, keys, position, slice_rows)
-    if hot is None:
-        in_group = Window.partitionBy(*keys).orderBy(*order)
-        return df.withColumn(name, F.lag(value).over(in_group))
-    sliced = _sliced(df, hot, keys, position)
-    in_slice = Window.partitionBy(*keys, "_slice").orderBy(*order)
-
-    # One row per slice of the large groups: the last value of the slice before it.
-    slice_ends = (
-        sliced.filter(F.col("_slice").isNotNull())
-        .groupBy(*keys, "_slice")
-        .agg(F.max_by(value, F.struct(*order)).alias("_end"))
+    plain = F.lag(value).over(Window.partitionBy(*keys).orderBy(*order))
+    large = cut_lineage(large_groups(df, keys, slice_rows))
+    rows = large.agg(F.sum("_size")).head()[0]
+    if rows is None:
+        return df.withColumn(name, plain)
+    same = reduce(
+        Column.__and__, (F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys)
+    )
+    ordinary = df.join(large, same, "left_anti").withColumn(name, plain)
+    # Slices are read twice, for their rows and for their ends.
+    sliced = cut_lineage(
+        sliced_rows(df.join(large, same, "left_semi"), keys, order, rows, slice_rows)
     )
+    in_slice = Window.partitionBy(*keys, "_slice").orderBy(*order)
+    # One row per slice: the last value of the slice before it.
+    ends = sliced.groupBy(*keys, "_slice").agg(F.max_by(value, F.struct(*order)).alias("_end"))
     across = Window.partitionBy(*keys).orderBy("_slice")
-    carried = slice_ends.select(*keys, "_slice", F.lag("_end").over(across).alias("_carried"))
-
-    return (
+    carried = ends.select(
+        *(F.col(k).alias(f"_key_{k}") for k in keys),
+        F.col("_slice").alias("_after"),
+        F.lag("_end").over(across).alias("_carried"),
+    )
+    follows = same & (F.col("_slice") == F.col("_after"))
+    linked = (
         sliced.withColumn(name, F.lag(value).over(in_slice))
-        .join(carried, [*keys, "_slice"], "left")
+        .join(carried, follows, "left")
         .withColumn(name, F.coalesce(name, "_carried"))
-        .drop("_slice", "_carried")
     )
+    return ordinary.unionByName(linked.select(*ordinary.columns))

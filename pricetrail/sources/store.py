@@ -18,7 +18,14 @@ from pricetrail.operators.ingest import add_missing_columns
 LATEST = T.StructType(
     [schemas.PRICES[c] for c in ("product_id", "price", "original_price", "is_sale", "scraped_at")]
 )
-_LOG = T.StructType([T.StructField("observations", T.LongType()), T.StructField("run", T.LongType())])
+_LOG = T.StructType(
+    [
+        T.StructField("observations", T.LongType()),
+        T.StructField("source", T.StringType()),
+        T.StructField("batch", T.LongType()),
+        T.StructField("run", T.LongType()),
+    ]
+)
 
 
 class PriceStore:
@@ -26,13 +33,23 @@ class PriceStore:
         self.spark = spark
         self.root = root.rstrip("/")
 
-    def last_run(self) -> int | None:
-        """Number of the last finished run."""
+    def _log(self) -> DataFrame:
         try:
-            log = self.spark.read.schema(_LOG).parquet(f"{self.root}/runs")
+            return self.spark.read.schema(_LOG).parquet(f"{self.root}/runs")
         except AnalysisException:
-            return None
-        return log.agg(F.max("run")).head()[0]
+            return self.spark.createDataFrame([], _LOG)
+
+    def last_run(self) -> int | None:
+        """Number of the last finished run."""
+        return self._log().agg(F.max("run")).head()[0]
+
+    def next_run(self) -> int:
+        last = self.last_run()
+        return 0 if last is None else last + 1
+
+    def is_finished(self, source: str, batch: int) -> bool:
+        done = (F.col("source") == source) & (F.col("batch") == batch)
+        return not self._log().filter(done).isEmpty()
 
     def _of_run(self, name: str, run: int | None, schema: T.StructType) -> DataFrame:
         if run is None:
@@ -84,6 +101,8 @@ class PriceStore:
         by_day = rows.withColumn("day", F.to_date(time)).hint("rebalance", "day")
         by_day.write.mode("overwrite").partitionBy("day").parquet(f"{self.root}/{name}/run={run}")
 
-    def finish(self, run: int, observations: int) -> None:
-        entry = self.spark.createDataFrame([(observations,)], "observations long")
+    def finish(self, run: int, observations: int, source: str, batch: int) -> None:
+        entry = self.spark.createDataFrame(
+            [(observations, source, batch)], "observations long, source string, batch long"
+        )
         entry.coalesce(1).write.mode("overwrite").parquet(f"{self.root}/runs/run={run}")

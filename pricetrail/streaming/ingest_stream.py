@@ -1,8 +1,10 @@
 """Ingest files of observations as they arrive.
 
 The stream brings no operators of its own: each micro-batch is one ingest run on the stored
-tables, which hold all state. Micro-batches are numbered by Spark and a repeated one is skipped or
-overwritten by the store, so every observation counts once.
+tables, which hold all state. Spark numbers the micro-batches of a checkpoint folder; the store keeps
+which of them are finished, so that a repeated one is skipped and every observation counts once, also
+beside batch runs and other streams. A micro-batch of rejects only is stored as such and does not
+hold up the next.
 """
 
 from pyspark.sql import DataFrame
@@ -26,7 +28,10 @@ def ingest_stream(
     )
 
     def run(batch: DataFrame, number: int) -> None:
-        ingest_run(PriceStore(batch.sparkSession, store.root), batch, number)
+        ingest_run(
+            PriceStore(batch.sparkSession, store.root), batch, number,
+            source=f"stream {checkpoint}", may_be_empty=True,
+        )
 
     return (
         observed.writeStream.foreachBatch(run)

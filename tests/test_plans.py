@@ -29,6 +29,19 @@ def test_latest_price_combines_before_the_shuffle(stored):
     assert text.count("Exchange") == 1 and "partial_max" in text and "Window" not in text
 
 
+def test_first_and_newest_rows_are_hash_aggregates(stored):
+    prices = stored[1]
+    observed = prices.withColumnRenamed("id", "seq")
+    for df in (
+        catalog.latest_price(prices),
+        changes.first_last_prices(prices, 673, AS_OF),
+        ingest.first_price_per_day(observed),
+    ):
+        text = plan(df)
+        assert "HashAggregate" in text and "SortAggregate" not in text
+        assert "ObjectHashAggregate" not in text
+
+
 def test_look_back_reaches_the_scan_and_both_ends_share_it(stored):
     text = plan(changes.first_last_prices(stored[1], 673, AS_OF))
     assert "GreaterThanOrEqual(scraped_at,2000-01-01" in text

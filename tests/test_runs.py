@@ -93,6 +93,27 @@ def test_an_unfinished_run_is_invisible(spark, tmp_path):
     check_store(store)
 
 
+def test_a_stream_has_its_own_numbers(spark, tmp_path):
+    """Streams and batch runs share a store; a batch of errors only does not hold up a stream."""
+    store = PriceStore(spark, str(tmp_path / "store"))
+    runs.ingest_run(store, frame(spark, FIRST[:2]), 0)
+    runs.ingest_run(store, frame(spark, FIRST[2:]), 1)
+    source = tmp_path / "in"
+    twice = [row(20 + i, D2, "ah", "AH Volle melk 1 L", 2.0, "3 l", f"x{i}") for i in range(3)]
+    frame(spark, twice).coalesce(1).write.parquet(str(source / "a"))
+    for checkpoint in ("c1", "c2"):
+        stream = ingest_stream(store, str(source / "*"), str(tmp_path / checkpoint))
+        stream.awaitTermination()
+        assert stream.exception() is None
+    assert store.last_run() == 3
+    rejects = spark.read.parquet(str(tmp_path / "store/rejects/run=2")).collect()
+    assert {r.reason for r in rejects} == {"duplicate_name"}
+    frame(spark, SECOND).coalesce(1).write.parquet(str(source / "b"))
+    stream = ingest_stream(store, str(source / "*"), str(tmp_path / "c1"))
+    stream.awaitTermination()
+    check_store(store)
+
+
 def test_stream_equals_batches(spark, tmp_path):
     source, root = tmp_path / "in", str(tmp_path / "store")
     frame(spark, FIRST).coalesce(1).write.parquet(str(source / "a"))

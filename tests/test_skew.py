@@ -1,5 +1,6 @@
 """Large groups are cut into slices; the results must not depend on it."""
 
+import datetime as dt
 import random
 
 import pytest
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from pricetrail.operators import catalog, ingest
 from pricetrail.plans.joins import join_small
-from pricetrail.plans.skew import MAX_HOT_GROUPS, add_slices, hot_groups, with_previous
+from pricetrail.plans.skew import large_groups, sliced_rows, with_previous
 
 
 @pytest.fixture(scope="module")
@@ -30,40 +31,48 @@ def plain_lag(df):
 
 @pytest.mark.parametrize("slice_rows", [1, 7, 50, 10_000])
 def test_previous_value_is_the_same_for_any_slice_size(skewed, slice_rows):
-    got = with_previous(skewed, ["k"], ["pos"], ["v"], F.col("pos"), slice_rows=slice_rows)
+    got = with_previous(skewed, ["k"], ["pos"], ["v"], slice_rows=slice_rows)
     want = plain_lag(skewed)
     assert sorted(map(str, got.select(*want.columns).collect())) == sorted(
         map(str, want.collect())
     )
 
 
-def test_only_large_groups_are_sliced_and_slices_follow_the_order(skewed):
-    sliced = add_slices(skewed, ["k"], F.col("pos"), 50).collect()
-    assert {r.k for r in sliced if r["_slice"] is not None} == {1}
-    hot = sorted((r.pos, r["_slice"]) for r in sliced if r.k == 1)
-    assert [s for _, s in hot] == sorted(s for _, s in hot)
-    assert len({s for _, s in hot}) > 1
-
-
-def test_the_list_of_large_groups_is_bounded(spark):
+def test_all_large_groups_are_found(spark):
     many = spark.range(5000).select((F.col("id") % 2500).alias("k"), F.col("id").alias("pos"))
-    assert hot_groups(many, ["k"], F.col("pos"), 1).count() == MAX_HOT_GROUPS
-    got = with_previous(many, ["k"], ["pos"], ["pos"], F.col("pos"), slice_rows=1)
+    assert large_groups(many, ["k"], 1).count() == 2500
+    assert large_groups(many, ["k"], 2).count() == 0
+    got = with_previous(many, ["k"], ["pos"], ["pos"], slice_rows=1)
     assert got.filter("previous IS NULL").count() == 2500
     assert got.filter("previous.pos = pos - 2500").count() == 2500
 
 
-def test_price_arrays_are_cut_into_parts(spark):
-    rows = [(i, 1, float(i), day(1 + i // 20, i % 20)) for i in range(400)]
+def test_slices_hold_equal_numbers_of_rows(spark):
+    """A burst at one moment among few rows elsewhere, and several large groups."""
+    burst = [(1, 0 if i < 990 else i * 10**9, i) for i in range(1000)]
+    others = [(k, i, i) for k in (2, 3, 4, 5, None) for i in range(300)]
+    df = spark.createDataFrame(burst + others, "k int, pos long, id long").repartition(8)
+    sliced = sliced_rows(df, ["k"], ["pos", "id"], df.count(), 100)
+    sizes = sliced.groupBy("k", "_slice").count().collect()
+    assert max(r["count"] for r in sizes) <= 100
+    rows = sorted(sliced.filter("k = 1").collect(), key=lambda r: (r.pos, r.id))
+    assert [r["_slice"] for r in rows] == sorted(r["_slice"] for r in rows)
+    got = with_previous(df, ["k"], ["pos", "id"], ["id"], slice_rows=100)
+    window = Window.partitionBy("k").orderBy("pos", "id")
+    want = df.withColumn("previous", F.lag(F.struct("id")).over(window))
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_price_arrays_have_one_form_at_any_size(spark):
+    rows = [(i, 1, float(i), dt.datetime(2024, 1, 1) + dt.timedelta(days=i)) for i in range(800)]
     rows += [(1000, 2, 5.0, day(3))]
     df = prices(spark, rows)
-    one = {r.product_id: r for r in catalog.price_series(df).collect()}
-    assert len(one) == 2 and one[1].part == 0
-    parts = [r for r in catalog.price_series(df, part_rows=50).collect() if r.product_id == 1]
-    assert len(parts) > 4
-    joined = [e for r in sorted(parts, key=lambda r: r.part) for e in r.price_history]
-    assert joined == one[1].price_history
-    extract = catalog.price_series(df, part_rows=50, min_entries=2)
+    series = sorted(catalog.price_series(df).collect(), key=lambda r: (r.product_id, r.part))
+    assert [(r.product_id, r.part) for r in series][:3] == [(1, 2024), (1, 2025), (1, 2026)]
+    assert [len(r.price_history) for r in series[:3]] == [366, 365, 69]
+    joined = [e.id for r in series if r.product_id == 1 for e in r.price_history]
+    assert joined == list(range(800))
+    extract = catalog.price_series(df, min_entries=2)
     assert {r.product_id for r in extract.collect()} == {1}
 
 
