@@ -19,11 +19,10 @@ Empty tables give empty results. Other columns are not read.
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,20 +35,74 @@ PERMUTATIONS = 64
 SMALLEST = 16
 #: Bits of each Bloom filter, one for bands and one for shingles: 2 MB together, at any size.
 FILTER_BITS = 1 << 23
-#: Words of documents that are laid out together.
+#: Words of documents that are laid out together, and characters that are hashed together.
 LAYOUT = 1 << 18
+PIECE = 1 << 20
 
-_WORD = re.compile(r"\w+")
+_BREAK = re.compile(r"\W")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-@lru_cache(1 << 18)
-def word_hash(word: str) -> int:
-    return xxhash.xxh64_intdigest(word.encode())
-
-
-def word_hashes(text: str) -> np.ndarray:
-    return np.array(list(map(word_hash, _WORD.findall(text.lower()))), np.uint64)
+@cache
+def _word_characters() -> np.ndarray:
+    """Which code points the pattern \\w takes."""
+    return np.array([c == 95 or chr(c).isalnum() for c in range(0x110000)])
+
+
+@cache
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of a 64-bit base and of its inverse."""
+
+    def each(base: int) -> np.ndarray:
+        factors = np.full(n, base, np.uint64)
+        factors[0] = 1
+        return factors.cumprod(dtype=np.uint64)
+
+    return each(int(_MIX)), each(pow(int(_MIX), -1, 1 << 64))
+
+
+def _piece_hashes(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """(start, hash) of each word: a polynomial of its code points, mixed with its length."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    inside = np.zeros(len(codes) + 2, bool)
+    inside[1:-1] = _word_characters()[codes]
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    starts, ends = edges[::2], edges[1::2]
+    power, inverse = _powers(PIECE if len(codes) <= PIECE else 1 << len(codes).bit_length())
+    sums = np.zeros(len(codes) + 1, np.uint64)
+    np.cumsum(codes * power[: len(codes)], out=sums[1:], dtype=np.uint64)
+    hashes = (sums[ends] - sums[starts]) * inverse[starts]
+    return starts, mix(hashes + (ends - starts).astype(np.uint64) * _MIX)
+
+
+def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of the texts in lower case, and where each text's words start."""
+    lowered = [text.lower() for text in texts]
+    hashes, counts = [], np.zeros(len(texts) + 1, np.int64)
+    at = 0
+    while at < len(lowered):
+        end, size = at, 0
+        while end < len(lowered) and size + len(lowered[end]) < PIECE:
+            size += len(lowered[end]) + 1
+            end += 1
+        if end > at:
+            starts, found = _piece_hashes("\n".join(lowered[at:end]))
+            sizes = np.cumsum([len(t) + 1 for t in lowered[at:end]])
+            counts[at + 1 : end + 1] = np.diff(np.searchsorted(starts, sizes), prepend=0)
+            hashes.append(found)
+            at = end
+            continue
+        # A long text in pieces, cut where no word goes on.
+        text, start = lowered[at], 0
+        while start < len(text):
+            cut = _BREAK.search(text, start + PIECE)
+            stop = cut.start() if cut else len(text)
+            hashes.append(_piece_hashes(text[start:stop])[1])
+            counts[at + 1] += len(hashes[-1])
+            start = stop
+        at += 1
+    joined = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
+    return joined, np.cumsum(counts)
 
 
 def mix(values: np.ndarray) -> np.ndarray:
@@ -95,7 +148,7 @@ def item_rows(items: DataFrame, text: str, key: str, width: int) -> DataFrame:
         for batch in batches:
             widths, sets, bands, parts = [], [], [], []
             for value in batch.column("_text"):
-                words = word_hashes(value.as_py() or "")
+                words, _ = word_hashes([value.as_py() or ""])
                 own = min(width, len(words))
                 distinct = np.unique(shingles(words, own)) if own else np.zeros(0, np.uint64)
                 part = int(partition_of(np.array([len(distinct)]))[0])
@@ -124,25 +177,22 @@ def item_rows(items: DataFrame, text: str, key: str, width: int) -> DataFrame:
 
 def bloom_filter(values: DataFrame) -> np.ndarray:
     """Bits of the values' low bits; at most FILTER_BITS / 32768 small bitmaps reach the driver."""
-    slot = F.col("value").bitwiseAND(F.lit(FILTER_BITS - 1))
+    # Bit positions are counted from one on, bucket by bucket.
+    slot = F.col("value").bitwiseAND(F.lit(FILTER_BITS - 1)) + 1
     bitmaps = (
         values.select(slot.alias("slot"))
         .groupBy(F.bitmap_bucket_number("slot").alias("bucket"))
         .agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
     )
-    # Buckets count from one, except that slot zero has bucket zero.
-    bits = np.zeros((FILTER_BITS // 32768 + 2) * 4096, np.uint8)
+    bits = np.zeros(FILTER_BITS // 8, np.uint8)
     for bucket, part in bitmaps.collect():
-        bits[bucket * 4096 : (bucket + 1) * 4096] |= np.frombuffer(bytes(part), np.uint8)
+        bits[(bucket - 1) * 4096 : bucket * 4096] = np.frombuffer(bytes(part), np.uint8)
     return bits
 
 
 def passes(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
-    slot = (values & np.uint64(FILTER_BITS - 1)).astype(np.int64)
-    # As bitmap_bucket_number and bitmap_bit_position count for slots above zero, and for zero.
-    bucket = np.where(slot > 0, 1 + (slot - 1) // 32768, 0)
-    place = np.where(slot > 0, (slot - 1) % 32768, 0)
-    return (bits[bucket * 4096 + (place >> 3)] >> (place & 7).astype(np.uint8)) & 1 == 1
+    slot = (values & np.uint64(FILTER_BITS - 1)).astype(np.uint32)
+    return (bits[slot >> np.uint32(3)] >> (slot & np.uint32(7)).astype(np.uint8)) & 1 == 1
 
 
 class Windows:
@@ -210,33 +260,40 @@ def document_hits(
 
     def run(batches: Batches) -> Batches:
         for batch in batches:
-            texts = batch.column("_text")
             keys = batch.column(key).to_numpy(zero_copy_only=False)
-            at = 0
-            while at < len(batch):
-                # Documents enough for one layout; a very long one is laid out alone.
-                end, hashes, size = at, {width: [] for width in width_parts}, 0
-                while end < len(batch) and size < LAYOUT:
-                    words = word_hashes(texts[end].as_py() or "")
-                    for width, each in hashes.items():
-                        each.append(shingles(words, width))
-                    size += len(words)
-                    end += 1
-                yield _hits(keys[at:end], hashes)
-                at = end
-
-    def _hits(keys: np.ndarray, hashes: dict[int, list[np.ndarray]]) -> pa.RecordBatch:
+            for at in range(0, len(batch), 1024):
+                texts = [t or "" for t in batch.column("_text").slice(at, 1024).to_pylist()]
+                words, bounds = word_hashes(texts)
+                start = 0
+                while start < len(texts):
+                    # Texts enough for one layout; a very long one is laid out alone.
+                    end = int(np.searchsorted(bounds, bounds[start] + LAYOUT, "right")) - 1
+                    end = min(max(end, start + 1), len(texts))
+                    part = words[bounds[start] : bounds[end]]
+                    yield _hits(
+                        keys[at + start : at + end], part, bounds[start : end + 1] - bounds[start]
+                    )
+                    start = end
+
+    def _hits(keys: np.ndarray, words: np.ndarray, bounds: np.ndarray) -> pa.RecordBatch:
         bands: dict[int, list[np.ndarray]] = {}
         shared: dict[int, list[np.ndarray]] = {}
         for width, parts in width_parts.items():
-            own = [h[passes(shingle_bits, h)] for h in hashes[width]]
-            # Without a shingle of any item a document has none of its bands either.
-            places = [k for k, found in enumerate(own) if len(found)]
+            every = shingles(words, width)
+            known = passes(shingle_bits, every)
+            hashes, own, places = [], [], []
+            before = np.append(0, np.cumsum(known))
+            for k, (a, b) in enumerate(zip(bounds, bounds[1:] - width + 1)):
+                # Without a shingle of any item a document has none of its bands either.
+                if b > a and before[b] > before[a]:
+                    places.append(k)
+                    hashes.append(every[a:b])
+                    own.append(every[a:b][known[a:b]])
             if not places:
                 continue
-            for k in places:
-                shared.setdefault(k, []).append(own[k])
-            owner, found = band_hits([hashes[width][k] for k in places], parts, band_bits)
+            for k, found in zip(places, own):
+                shared.setdefault(k, []).append(found)
+            owner, found = band_hits(hashes, parts, band_bits)
             order = np.argsort(owner, kind="stable")
             cuts = np.searchsorted(owner[order], np.arange(len(places) + 1))
             for k, a, b in zip(places, cuts, cuts[1:]):

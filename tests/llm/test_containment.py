@@ -100,3 +100,16 @@ def test_bloom_filter_never_misses(spark):
     bits = containment.bloom_filter(df)
     assert containment.passes(bits, values.view(np.uint64)).all()
     assert containment.passes(bits, rng.integers(0, 1 << 63, 10000, np.uint64)).mean() < 0.01
+
+
+def test_word_hashes(monkeypatch):
+    """Equal words have equal hashes wherever they stand; pieces cut no word."""
+    texts = ["", "Ab ab AB_1", "x" * 300 + " é É ß İ, — «ab»\nab", "a b " * 200, "\U0001f600 字 ab"]
+    whole, bounds = containment.word_hashes(texts)
+    words = [re.findall(r"\w+", t.lower()) for t in texts]
+    assert np.diff(bounds).tolist() == [len(w) for w in words]
+    flat = [w for each in words for w in each]
+    assert len(set(zip(flat, whole.tolist()))) == len(set(flat)) == len(set(whole.tolist()))
+    monkeypatch.setattr(containment, "PIECE", 64)
+    pieces, same = containment.word_hashes(texts)
+    assert pieces.tolist() == whole.tolist() and same.tolist() == bounds.tolist()
