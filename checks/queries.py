@@ -13,7 +13,8 @@ from pricetrail.functions.units import parse_decimal, to_base_unit, unit_name
 from pricetrail.operators import catalog, changes, ingest, matching, normalize, publish
 from pricetrail.plans.lineage import cut_lineage
 from pricetrail.sources import pages as pg
-from pricetrail.sources.reference_data import category_paths
+from pricetrail.schemas import DERIVED_PRODUCT_COLUMNS
+from pricetrail.sources.reference_data import category_map, category_paths
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,6 +23,7 @@ QUERIES: dict[str, Query] = {}
 AS_OF = dt.date(2001, 11, 4)
 DAYS = 673
 GENERATED_AT = dt.datetime(2001, 11, 5)
+ONE_PRODUCT = 304
 
 
 def query(function: Query) -> Query:
@@ -73,6 +75,13 @@ def extract_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pg.extract_observations(pages)
 
 
+@query
+def seed_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Offers per category of the seed map, by the real listing paths of their pages."""
+    offers = extract_observations(spark, sf_dir).select("supermarket", "category")
+    return catalog.canonical_categories(offers, category_map(spark))
+
+
 @query
 def unit_from_title(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = sup.products(spark, sf_dir)
@@ -166,6 +175,15 @@ def flag_price_jumps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.flag_price_jumps(sup.prices(spark, sf_dir))
 
 
+@query
+def add_missing_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A catalog from before normalization, and one that has the columns already."""
+    full = sup.normalized_products(spark, sf_dir)
+    old = ingest.add_missing_columns(full.drop(*DERIVED_PRODUCT_COLUMNS)).withColumn("old", F.lit(1))
+    new = ingest.add_missing_columns(full).withColumn("old", F.lit(0))
+    return old.unionByName(new).select("id", "old", "name", *DERIVED_PRODUCT_COLUMNS)
+
+
 @query
 def flag_event_price_jumps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same on prices with many rows per product and day."""
@@ -313,6 +331,12 @@ def product_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.product_history(sup.prices(spark, sf_dir)).drop("scraped_at")
 
 
+@query
+def one_product_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The series of one product, the feature of the operator."""
+    return catalog.product_history(sup.prices(spark, sf_dir), product_id=ONE_PRODUCT)
+
+
 @query
 def products_with_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = catalog.all_products_with_history(

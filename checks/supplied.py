@@ -122,7 +122,7 @@ def stored_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def event_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").filter("event_type <> 'error'").selectExpr(
+    return table(spark, sf_dir, "events").selectExpr(
         "event_id AS id", "user_id AS product_id", "value AS price", "ts AS scraped_at",
         "CAST(NULL AS DOUBLE) AS original_price", "0 AS is_sale",
     )
@@ -148,31 +148,31 @@ def _cents(cents: str) -> str:
 
 _AH_CARD = f"""
   '<article data-testid="product-card"><a href="/producten/product/' || id || '" title="Bekijk '
-  || name || tail || '"></a><div data-testid="price-amount"><span class="x integer">'
+  || name || tail || '"></a><div data-testid="price-amount"><div>nu</div><span class="x integer">'
   || {_euros("cents")} || '</span><span class="x fractional">' || {_cents("cents")}
   || '</span></div>' || CASE WHEN p_size % 7 = 0
-      THEN '<div data-testid="product-shield"><b>Bonus</b></div>' ELSE '' END
-  || coalesce('<span data-testid="price-was">' || {_euros("old")} || ',' || {_cents("old")}
+      THEN '<div data-testid="product-shield"><div>-</div><b>Bonus</b></div>' ELSE '' END
+  || coalesce('<span data-testid="price-was"><span>&nbsp;</span>' || {_euros("old")} || ',' || {_cents("old")}
               || '</span>', '')
-  || coalesce('<span data-testid="product-unit-size">' || unit || '</span>', '') || '</article>'"""
+  || coalesce('<span data-testid="product-unit-size"><span></span>' || unit || '</span>', '') || '</article>'"""
 _JUMBO_CARD = f"""
   '<article class="card product-container"><h3><a class="title-link" href="/p/' || id || '">'
   || name || tail || '</a></h3>'
-  || coalesce('<div class="old-price"><span class="whole">' || {_euros("old")}
+  || coalesce('<div class="old-price"><div>was</div><span class="whole">' || {_euros("old")}
               || '</span><span class="fractional">' || {_cents("old")} || '</span></div>', '')
   || CASE WHEN p_size % 2 = 0 THEN '' ELSE
-       coalesce('<span class="jum-card-subtitle"> ' || unit || ' </span>', '') END
-  || '<div class="current-price"><span class="whole">' || {_euros("cents")}
+       coalesce('<span class="jum-card-subtitle"><span> </span>' || unit || ' </span>', '') END
+  || '<div class="current-price"><div><div></div>nu</div><span class="whole">' || {_euros("cents")}
   || '</span><span class="fractional">' || {_cents("cents")} || '</span></div></article>'"""
 _DIRK_CARD = f"""
   '<article data-product-id="' || id || '"><a class="bottom" href="/p/' || id
   || '"><p class="title">' || name || tail || '</p>'
-  || coalesce('<span class="subtitle">' || unit || '</span>', '') || '</a>'
-  || CASE WHEN p_size % 4 = 1 THEN '<div class="logos"><img src="l.png" alt="1 de Beste"></div>'
+  || coalesce('<span class="subtitle"><span></span>' || unit || '</span>', '') || '</a>'
+  || CASE WHEN p_size % 4 = 1 THEN '<div class="logos"><div></div><img src="l.png" alt="1 de Beste"></div>'
      ELSE '' END
-  || coalesce('<div class="old-price"><span class="price-large">' || {_euros("old")}
+  || coalesce('<div class="old-price"><div></div><span class="price-large">' || {_euros("old")}
               || '</span><span class="price-small">' || {_cents("old")} || '</span></div>', '')
-  || '<div class="price-container"><div class="price">' || CASE WHEN cents < 100
+  || '<div class="price-container"><div>nu</div><div class="price"><div></div>' || CASE WHEN cents < 100
       THEN '<span class="price-large">' || cents || '</span>'
       ELSE '<span class="hasEuros price-large">' || {_euros("cents")}
            || '</span><span class="price-small">' || {_cents("cents")} || '</span>' END

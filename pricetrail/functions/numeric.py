@@ -31,9 +31,9 @@ def moment_key(time: Column, id_: Column) -> Column:
 
 
 def exact_mean(x: Column) -> Column:
-    """Mean of amounts with up to four decimals, independent of the order of summation.
+    """Mean of amounts to ten decimals, independent of the order of summation.
 
     A mean of doubles depends on how rows are spread over tasks; a decimal sum does not, so a
     retried or re-partitioned job gives the same published figure.
     """
-    return F.sum(x.cast("decimal(18,4)")).cast("double") / F.count(x)
+    return F.sum(x.cast("decimal(28,10)")).cast("double") / F.count(x)

@@ -29,10 +29,6 @@ BASE_UNITS = {
 PIECE_WORDS = ("stuk", "bos", "bosje", "paar", "set", "rol", "pakket")
 UNMEASURED_WORDS = ("wasbeurten", "rollen", "meter", "tabletten", "capsules", "cups")
 
-_WORDS = ("stuk", "bos", "bosje", "paar", "set", "rol", "pakket")
-UNMEASURED_WORDS = ("wasbeurten", "rollen", "meter", "tabletten", "capsules", "cups")
-
-_UNIT_TYPE = "struct<qty: double, type: string>"
 _WORDS = "|".join(word for words in UNIT_SPELLINGS.values() for word in words)
 _NUMBER = r"[\d.,]+"
 

@@ -127,7 +127,7 @@ def _inflation_measures(with_max: bool) -> list[Column]:
     first, last = F.col("first_price"), F.col("latest_price")
     measures = [
         F.count("*").alias("products"),
-        round_half(F.avg("pct"), 2).alias("avg_change_pct"),
+        round_half(exact_mean(F.col("pct")), 2).alias("avg_change_pct"),
         F.count_if(last > first).alias("increased"),
         F.count_if(last < first).alias("decreased"),
     ]

@@ -4,6 +4,7 @@ Pages hold serialized DOM (double-quoted attributes), as a browser's outerHTML g
 """
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,9 +26,13 @@ SALE_BADGES = ("bonus", "korting", "actie", "% lager", "2e halve prijs", "1+1")
 # The only characters a browser writes by name when it serializes a page.
 ENTITIES = {"&nbsp;": "\u00a0", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&amp;": "&"}
 
-# Size texts in a product title.
-_TITLE_PACKS = r"(?i)(\d+)\s*x\s*(\d+(?:[.,]\d+)?)\s*(kg|g|gr|ml|cl|l)(?!\w)"
-_TITLE_SIZE = r"(?i)(\d+(?:[.,]\d+)?)\s*(kg|g|gr|ml|cl|l|liter|stuks?|st)(?!\w)"
+# Units of packs and of single sizes in a product title.
+TITLE_PACK_UNITS = ("kg", "g", "gr", "ml", "cl", "l")
+TITLE_UNITS = (*TITLE_PACK_UNITS, "liter", "stuks", "stuk", "st")
+
+_SIZE = r"(\d+(?:[.,]\d+)?)\s*({units})(?!\w)"
+_TITLE_SIZE = "(?i)" + _SIZE.format(units="|".join(TITLE_UNITS))
+_TITLE_PACKS = r"(?i)(\d+)\s*x\s*" + _SIZE.format(units="|".join(TITLE_PACK_UNITS))
 _TITLE_PIECE = r"(?i)(?<!\w)per\s+stuk(?!\w)"
 
 _LEADING_NUMBER = r"^\s*([+-]?(?:\d+\.?\d*|\.\d+))"
@@ -48,14 +53,53 @@ def _contains(attribute: str, value: str) -> str:
     return rf'\s{attribute}="[^"]*{re.escape(value)}[^"]*"'
 
 
-def _element(condition: str, tag: str = r"\w+") -> str:
-    """Pattern of the first element that fits; group 2 is its inner HTML."""
-    return rf"(?s)<({tag})\b[^>]*?{condition}[^>]*>(.*?)</\1>"
+def _inner(html: Column, condition: str, tag: str = r"\w+") -> Column:
+    """Inner HTML of the first element that fits, with all its descendants; empty if none fits."""
+    found = F.regexp_extract(html, rf"(?s)<{tag}\b[^>]*?{condition}[^>]*>.*\z", 0)
 
+    def parts(text: Column) -> Column:
+        return F.struct(
+            F.regexp_extract(text, r"^<(\w+)", 1).alias("name"),
+            F.substring(text, F.locate(">", text) + 1, F.length(text)).alias("rest"),
+        )
 
-def _inner(html: Column, condition: str, tag: str = r"\w+") -> Column:
-    """Inner HTML of the first element that fits, empty if there is none."""
-    return F.regexp_extract(html, _element(condition, tag), 2)
+    def whole(e: Column) -> Column:
+        end = F.concat(F.lit("</"), e["name"], F.lit(">"))
+        # Up to the first end tag, which is its own unless an element of its name is inside.
+        flat = F.call_function("substring_index", e["rest"], end, F.lit(1))
+        nested = F.contains(flat, F.concat(F.lit("<"), e["name"]))
+        inner = F.when(nested, _balanced(e["rest"], e["name"])).otherwise(flat)
+        return F.when(F.contains(e["rest"], end), inner).otherwise("")
+
+    return _once(_once(found, parts), whole)
+
+
+def _once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is computed once: as an array of one."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _balanced(rest: Column, name: Column) -> Column:
+    """What stands before the end tag of the element `name` that `rest` is in."""
+    # A mark in front, so that the first piece is never a tag; every other one opens with a start or
+    # an end tag of that name.
+    tags = F.concat(F.lit("(?=</?"), name, F.lit(r"\b)"))
+    pieces = F.split(F.concat(F.lit("|"), rest), tags)
+
+    def step(state: Column, piece: Column) -> Column:
+        change = F.when(F.startswith(piece, F.lit("</")), -1).when(
+            F.startswith(piece, F.lit("<")), 1
+        )
+        depth = state["depth"] + F.coalesce(change, F.lit(0))
+        # Once out of the element, the depth stays at zero.
+        inside = (state["depth"] > 0) & (depth > 0)
+        return F.struct(
+            F.when(inside, depth).otherwise(0).alias("depth"),
+            F.when(inside, F.concat(state["text"], piece)).otherwise(state["text"]).alias("text"),
+        )
+
+    start = F.struct(F.lit(1).alias("depth"), F.lit("").alias("text"))
+    return F.aggregate(pieces, start, step, lambda end: F.substring(end["text"], 2, 1 << 30))
 
 
 def _without_tags(html: Column) -> Column:
@@ -164,15 +208,16 @@ def infer_sale(offers: DataFrame, store: str) -> DataFrame:
     )
 
 
-def _complete(offers: DataFrame) -> DataFrame:
-    """Cards without a name or a price are no offers."""
-    return offers.filter((F.col("name") != "") & (F.col("price") != 0))
+def _complete(offers: DataFrame, keep: bool = True) -> DataFrame:
+    """Cards without a name or a price are no offers; with `keep` false, those cards."""
+    complete = F.coalesce((F.col("name") != "") & (F.col("price") != 0), F.lit(False))
+    return offers.filter(complete if keep else ~complete)
 
 
 # ---- layouts --------------------------------------------------------------------------------
 
 
-def extract_offers_ah(cards: DataFrame) -> DataFrame:
+def extract_offers_ah(cards: DataFrame, complete: bool = True) -> DataFrame:
     card = F.col("card")
     link = _start_tag(card, _contains("href", "/producten/product/"), "a")
     price = _inner(card, _has("data-testid", "price-amount"))
@@ -191,10 +236,10 @@ def extract_offers_ah(cards: DataFrame) -> DataFrame:
         _nonempty(_text(card, _has("data-testid", "product-unit-size"))).alias("unit"),
     )
     offers = offers.withColumn("brand", infer_brand(F.col("name"), "ah"))
-    return infer_sale(_complete(offers), "ah")
+    return infer_sale(_complete(offers, complete), "ah")
 
 
-def extract_offers_jumbo(cards: DataFrame) -> DataFrame:
+def extract_offers_jumbo(cards: DataFrame, complete: bool = True) -> DataFrame:
     card = F.col("card")
     title = _has_class("title-link")
     units = [
@@ -232,10 +277,10 @@ def extract_offers_jumbo(cards: DataFrame) -> DataFrame:
         .withColumn("brand", infer_brand(F.col("name"), "jumbo"))
         .drop("_unit")
     )
-    return infer_sale(_complete(offers), "jumbo")
+    return infer_sale(_complete(offers, complete), "jumbo")
 
 
-def extract_offers_dirk(cards: DataFrame) -> DataFrame:
+def extract_offers_dirk(cards: DataFrame, complete: bool = True) -> DataFrame:
     card = F.col("card")
     link = F.coalesce(
         _nonempty(_start_tag(card, _has_class("bottom"), "a")),
@@ -244,8 +289,15 @@ def extract_offers_dirk(cards: DataFrame) -> DataFrame:
     old = F.coalesce(
         _nonempty(_inner(card, _has_class("old-price"))), _inner(card, _has_class("from-price"))
     )
-    box = _inner(_after(card, _has_class("price-container")), _has_class("price"))
-    staged = cards.withColumns({"_link": link, "_price": box, "_old": old})
+    staged = cards.withColumns(
+        {
+            "_link": link,
+            "_old": old,
+            "_box": _inner(card, _has_class("price-container")),
+            "_logos": _inner(card, _has_class("logos")),
+        }
+    )
+    staged = staged.withColumn("_price", _inner(F.col("_box"), _has_class("price")))
     staged = staged.withColumns(
         {
             "_large_tag": _start_tag(F.col("_price"), _has_class("price-large"), "span"),
@@ -260,7 +312,7 @@ def extract_offers_dirk(cards: DataFrame) -> DataFrame:
         _nonempty(_digits(F.col("_old"), _has_class("price-large"))),
         _digits(F.col("_old"), _has_class("hasEuros")),
     )
-    logo = _start_tag(_after(card, _has_class("logos")), r'\salt="[^"]*"', "img")
+    logo = _start_tag(F.col("_logos"), r'\salt="[^"]*"', "img")
     offers = staged.select(
         *_page_columns(cards),
         _text(card, _has_class("title"), "p").alias("name"),
@@ -275,12 +327,7 @@ def extract_offers_dirk(cards: DataFrame) -> DataFrame:
     offers = offers.withColumn("brand", infer_brand(F.col("name"), "dirk", F.col("_logo"))).drop(
         "_logo"
     )
-    return infer_sale(_complete(offers), "dirk")
-
-
-def _after(html: Column, condition: str) -> Column:
-    """Everything after the start tag that fits; for boxes that nest their own kind of element."""
-    return F.regexp_extract(html, rf"(?s)<\w+\b[^>]*?{condition}[^>]*>(.*)\z", 1)
+    return infer_sale(_complete(offers, complete), "dirk")
 
 
 def _page_columns(cards: DataFrame) -> list[str]:
@@ -293,7 +340,7 @@ EXTRACTORS = {
     "dirk": extract_offers_dirk,
 }
 
-# Cards per page stay far below this; it spaces the arrival numbers of two pages.
+# This spaces the arrival numbers of two pages; a page with more cards is an error.
 CARDS_PER_PAGE = 100_000
 
 
@@ -318,10 +365,37 @@ def extract_observations(pages: DataFrame) -> DataFrame:
     for store, extract in EXTRACTORS.items():
         cards = explode_cards(pages.filter(F.col("supermarket") == store), store)
         offers = extract(cards).select(
-            (F.col("page_seq") * CARDS_PER_PAGE + F.col("card_pos")).alias("seq"),
+            F.when(
+                F.col("card_pos") < CARDS_PER_PAGE,
+                F.col("page_seq") * CARDS_PER_PAGE + F.col("card_pos"),
+            )
+            .otherwise(F.raise_error(F.lit("a page holds more cards than it has numbers")))
+            .alias("seq"),
             F.col("captured_at").alias("scraped_at"),
             "supermarket", "category", "name", "brand", "unit", F.col("link").alias("url"),
             "price", "original_price", "is_sale",
         )
         result = offers if result is None else result.unionByName(offers)
     return result
+
+
+def rejected_cards(pages: DataFrame) -> DataFrame:
+    """What extract_observations leaves out: cards without name or price, pages of unknown stores.
+
+    `card_pos` and `name` are NULL for a page.
+    """
+    unknown = pages.filter(
+        F.col("supermarket").isNull() | ~F.col("supermarket").isin(*EXTRACTORS)
+    ).select(
+        "page_seq", "supermarket", F.lit(None).cast("int").alias("card_pos"),
+        F.lit(None).cast("string").alias("name"), F.lit("unknown_store").alias("reason"),
+    )
+    for store, extract in EXTRACTORS.items():
+        cards = explode_cards(pages.filter(F.col("supermarket") == store), store)
+        reason = F.when(F.col("name") == "", "name_missing").otherwise("price_missing")
+        unknown = unknown.unionByName(
+            extract(cards, complete=False).select(
+                "page_seq", "supermarket", "card_pos", "name", reason.alias("reason")
+            )
+        )
+    return unknown

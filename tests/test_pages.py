@@ -103,3 +103,37 @@ def test_reference_lists(spark):
     originals = mapped.select("supermarket", F.col("original_category").alias("category"))
     assert listed.exceptAll(originals).count() == 0
     assert originals.exceptAll(listed).count() == 0
+
+
+def test_elements_hold_all_their_descendants(spark):
+    """Price box, badge, unit and old price with elements of their own kind inside."""
+    pages = {
+        "ah": """<article data-testid="product-card"><a href="/producten/product/1" title="Bekijk Melk"></a>
+<div data-testid="price-amount"><div>nu <div></div></div><span class="integer">1</span><span>x</span>
+<span class="fractional">45</span></div><div data-testid="product-shield"><div></div><div>Bonus</div></div>
+<span data-testid="price-was"><span>van</span> <span>1,99</span></span>
+<span data-testid="product-unit-size"><span>per</span> 1 <span>l</span></span></article>""",
+        "jumbo": """<article class="product-container"><a class="title-link" href="/p/2">Cola</a>
+<div class="old-price"><div></div><span class="whole">4</span><span class="fractional">00</span></div>
+<div class="current-price"><div>nu</div><span class="whole">3</span><span class="fractional">49</span></div>
+</article>""",
+        "dirk": """<article data-product-id="3"><a class="bottom" href="/p/3"><p class="title">Kaas</p>
+<span class="subtitle"><span>1</span> kg</span></a><div class="logos"><div></div>
+<img src="l" alt="1 de Beste"></div><div class="price-container"><div>nu</div><div class="price"><div></div>
+<span class="hasEuros price-large">5</span><span class="price-small">25</span></div></div></article>""",
+        "other": "<article><p>x</p></article>",
+        None: "<article><p>x</p></article>",
+    }
+    rows = [(k, "u", store, html) for k, (store, html) in enumerate(pages.items())]
+    rows.append((9, "u", "jumbo", JUMBO))
+    df = spark.createDataFrame(rows, "page_seq long, url string, supermarket string, html string")
+    df = df.withColumns({"captured_at": F.lit("2026-03-11 06:00:00").cast("timestamp_ntz"),
+                         "category": F.lit("c")})
+    got = {r.name: r for r in pg.extract_observations(df).collect()}
+    assert (got["Melk"].price, got["Melk"].original_price, got["Melk"].is_sale) == (1.45, 1.99, 1)
+    assert got["Melk"].unit == "per 1 l"
+    assert (got["Cola"].price, got["Cola"].original_price) == (3.49, 4.0)
+    assert (got["Kaas"].price, got["Kaas"].unit, got["Kaas"].brand) == (5.25, "1 kg", "1 de Beste")
+    rejects = {(r.page_seq, r.card_pos, r.name, r.reason) for r in pg.rejected_cards(df).collect()}
+    assert rejects == {(3, None, None, "unknown_store"), (4, None, None, "unknown_store"),
+                       (9, 3, "Zonder prijs", "price_missing")}
