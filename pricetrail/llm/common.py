@@ -2,7 +2,8 @@
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: While a work table is written: its shuffle files go when it is there.
+WRITING = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+}
+
+
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Session settings that hold for a while; what the user has set comes back."""
+    before = {name: spark.conf.get(name, None) for name in values}
+    for name, value in values.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
+
+
 class WorkFolder:
     """Intermediate tables in the shared folder the cluster names in spark.checkpoint.dir.
 
@@ -33,7 +56,8 @@ class WorkFolder:
 
     def write(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
         where = f"{self.path}/{name}"
-        df.write.option("compression", codec).parquet(where)
+        with settings(self.spark, WRITING):
+            df.write.option("compression", codec).parquet(where)
         return self.spark.read.schema(df.schema).parquet(where)
 
     def drop(self, *names: str) -> None:
@@ -42,21 +66,3 @@ class WorkFolder:
         for name in names:
             path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
             path.getFileSystem(conf).delete(path, True)
-
-
-def free_shuffles(spark: SparkSession) -> None:
-    """Let Spark's cleaner remove the shuffle files of frames that are no longer referenced."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
-def batches_of(columns: dict[str, Iterable], schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array(columns[f.name], f.type) for f in schema], schema=schema
-    )
-
-
-def map_batches(df: DataFrame, function: Callable[[Batches], Batches], schema: str) -> DataFrame:
-    return df.mapInArrow(function, schema)
