@@ -15,9 +15,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: While a work table is written: its shuffle files go when it is there.
+#: While a work table is written: its shuffle files go when it is there, and a Python worker is given
+#: texts of this size at a time.
 WRITING = {
     "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "8m",
 }
 
 

@@ -36,7 +36,7 @@ from pricetrail.llm.common import Batches, WorkFolder
 
 LENGTH = 200
 #: Bytes that are hashed in one go.
-CHUNK = 1 << 21
+CHUNK = 1 << 18
 
 _BASE = 0x9E3779B97F4A7C15
 _LOW = np.uint64((1 << 24) - 1)
