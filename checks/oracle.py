@@ -238,12 +238,23 @@ FROM (SELECT *, row_number() OVER (PARTITION BY name, supermarket ORDER BY id) A
 
 def _resolve(name: str, stored: str) -> None:
     """Blocks {name}: observations with product_id, stored_unit, is_new, reason."""
-    block(f"{name}_found", f"""
-SELECT o.*, n.id IS NOT NULL AS name_known,
-  coalesce(u.id, CASE WHEN o.unit = n.unit OR (n.id IS NOT NULL AND n.url IS NULL) THEN n.id END)
-    AS found_id
+    block(f"{name}_known", f"""
+SELECT o.*, u.id AS url_id, n.id AS name_id, n.unit AS name_unit,
+  n.id IS NOT NULL AND n.url IS NULL AS is_open
 FROM v_observations o LEFT JOIN {stored} u ON u.url = o.url
 LEFT JOIN {stored} n ON n.name = o.name AND n.supermarket = o.supermarket""")
+    # The first row with a url of each open product; later rows meet that url and unit.
+    block(f"{name}_closed", f"""
+SELECT name_id, seq AS closing, url AS closing_url, unit AS closing_unit
+FROM {name}_known WHERE url_id IS NULL AND is_open AND url IS NOT NULL
+QUALIFY row_number() OVER (PARTITION BY name_id ORDER BY seq) = 1""")
+    block(f"{name}_found", f"""
+SELECT k.* EXCLUDE (url_id, name_id, name_unit, is_open), k.name_id IS NOT NULL AS name_known,
+  CASE WHEN k.url_id IS NOT NULL THEN k.url_id
+       WHEN NOT k.is_open AND k.unit = k.name_unit THEN k.name_id
+       WHEN k.is_open AND (c.closing IS NULL OR k.seq <= c.closing OR k.url = c.closing_url
+                           OR k.unit = c.closing_unit) THEN k.name_id END AS found_id
+FROM {name}_known k LEFT JOIN {name}_closed c ON c.name_id = k.name_id""")
     block(f"{name}_led", f"""
 SELECT *, url IS NULL OR seq = min(seq) OVER (PARTITION BY url) AS leads
 FROM {name}_found WHERE found_id IS NULL""")

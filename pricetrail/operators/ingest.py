@@ -68,7 +68,8 @@ def resolve_products(observations: DataFrame, products: DataFrame) -> DataFrame:
     Adds `product_id`, `stored_unit` (of a product already in the catalog), `is_new` (this row
     creates the product) and `reason` ("duplicate_name" where the row may neither join nor create
     a product). The stored catalog is tried by url, then by name, store and unit, then by name and
-    store where it has no url. What is left is grouped among itself: rows with a url follow the
+    store where it has no url; the first row that brings such a product a url closes it to others.
+    What is left is grouped among itself: rows with a url follow the
     first row with that url; the first row of a (name, store) creates the product; a later row
     joins it if its unit is equal or the creator has no url, and is a duplicate otherwise.
     """
@@ -86,12 +87,33 @@ def _resolve_in_catalog(observations: DataFrame, products: DataFrame) -> DataFra
     by_name = products.groupBy("name", "supermarket").agg(
         F.min(F.struct("id", "unit", "url")).alias("_by_name")
     )
-    known = F.col("_by_name")
-    same_unit = ~missing(F.col("unit")) & (known["unit"] == F.col("unit"))
-    by_name_fits = F.coalesce(same_unit, F.lit(False)) | known["url"].isNull()
+    known, taker = F.col("_by_name"), F.col("_taker")
+    looked_up = observations.join(by_url, "url", "left").join(
+        by_name, ["name", "supermarket"], "left"
+    )
+    # A product without url takes any row of its name, up to the first one that brings a url; from
+    # then on it is known by that row's url and unit.
+    takers = (
+        looked_up.filter(
+            F.col("_by_url").isNull() & known.isNotNull() & known["url"].isNull()
+            & ~missing(F.col("url"))
+        )
+        .groupBy("name", "supermarket")
+        .agg(F.min(F.struct("seq", "url", "unit")).alias("_taker"))
+    )
+
+    def same_unit(product: Column) -> Column:
+        return ~missing(F.col("unit")) & (product["unit"] == F.col("unit"))
+
+    free = taker.isNull() | (F.col("seq") <= taker["seq"])
+    after = F.coalesce(taker["url"] == F.col("url"), F.lit(False)) | F.coalesce(
+        same_unit(taker), F.lit(False)
+    )
+    by_name_fits = F.when(known["url"].isNull(), free | after).otherwise(
+        F.coalesce(same_unit(known), F.lit(False))
+    )
     return (
-        observations.join(by_url, "url", "left")
-        .join(by_name, ["name", "supermarket"], "left")
+        looked_up.join(takers, ["name", "supermarket"], "left")
         .withColumn(
             "_found",
             F.when(F.col("_by_url").isNotNull(), F.col("_by_url")).when(

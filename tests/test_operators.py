@@ -216,6 +216,36 @@ def test_resolve_against_the_catalog(spark):
     assert rows[13].stored_unit == "500 g"
 
 
+def test_a_product_without_url_is_closed_by_the_first_url(spark):
+    """Row by row: each row sees the url and unit that the row before it has written."""
+    stored = products(spark, [shop(k, "ah", f"N{k}", unit="1 l") for k in range(1, 6)])
+    rows = [
+        seen(11, "N1", unit="1 l", url="a"), seen(12, "N1", unit="2 l", url="b"),
+        seen(13, "N1", unit="1 l", url="b2"), seen(21, "N2", unit="3 l"),
+        seen(22, "N2", unit="5 l", url="c"), seen(23, "N2", unit="5 l", url="d"),
+        seen(24, "N2", unit="6 l", url="e"), seen(31, "N3", unit="8 l"), seen(32, "N3"),
+        seen(41, "N4", url="f"), seen(42, "N4", url="g"),
+    ]
+    catalog_now = {k: {"name": f"N{k}", "unit": "1 l", "url": None} for k in range(1, 6)}
+
+    def place(row):
+        tests = (
+            lambda p: row.get("url") and p["url"] == row["url"],
+            lambda p: p["name"] == row["name"] and row.get("unit") and p["unit"] == row["unit"],
+            lambda p: p["name"] == row["name"] and p["url"] is None,
+        )
+        return next((k for fits in tests for k, p in catalog_now.items() if fits(p)), None)
+
+    want = {}
+    for row in rows:
+        want[row["seq"]] = found = place(row)
+        if found:
+            catalog_now[found].update(url=row.get("url"), unit=row.get("unit"))
+    got = ingest.resolve_products(observations(spark, rows), stored).collect()
+    assert {r.seq: r.product_id for r in got} == want
+    assert [k for k, found in want.items() if found is None] == [12, 24, 42]
+
+
 def test_resolve_within_a_batch(spark):
     batch = observations(spark, [
         seen(1, "A", unit="1 l", url="u1"), seen(2, "A", unit="1 l", url="u1", price=2.0),
