@@ -19,7 +19,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pricetrail.llm.common import Batches
+from pricetrail.llm.common import Batches, by_rows
 
 #: Texts are encoded in pieces of about this many characters.
 PIECE_CHARS = 1 << 16
@@ -67,7 +67,7 @@ def encode(
 
     def run(batches: Batches) -> Batches:
         coder = encoding(rank_file, pattern)
-        for batch in batches:
+        for batch in by_rows(batches):
             ids = [encode_text(t or "", coder) for t in batch.column("_text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(key), pa.array(ids, schema.field("ids").type)], schema=schema
@@ -86,7 +86,7 @@ def decode(df: DataFrame, rank_file: str, pattern: str, key: str = "doc_id") ->
 
     def run(batches: Batches) -> Batches:
         coder = encoding(rank_file, pattern)
-        for batch in batches:
+        for batch in by_rows(batches):
             data = [coder.decode_bytes(ids or []) for ids in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(key), pa.array(data, pa.binary())], schema=schema
@@ -111,7 +111,7 @@ def round_trip(
 
     def run(batches: Batches) -> Batches:
         coder = encoding(rank_file, pattern)
-        for batch in batches:
+        for batch in by_rows(batches):
             n_tokens, ids_sha, decoded_sha = [], [], []
             for value in batch.column("_text"):
                 ids = encode_text(value.as_py() or "", coder)

@@ -11,6 +11,17 @@ from pyspark.sql import DataFrame, SparkSession
 Batches = Iterator[pa.RecordBatch]
 
 
+#: Rows that are turned into Python texts together.
+ROWS = 512
+
+
+def by_rows(batches: Batches) -> Batches:
+    """Batches in parts of at most ROWS rows, so that results leave a worker as they come."""
+    for batch in batches:
+        for at in range(0, len(batch), ROWS):
+            yield batch.slice(at, ROWS)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pricetrail.llm.common import Batches
+from pricetrail.llm.common import Batches, by_rows
 
 #: Element and class names.
 BLOCKS = frozenset(
@@ -190,7 +190,7 @@ def extract(
     """`key`, `url`, `text` and `n_chars` of every page."""
 
     def run(batches: Batches) -> Batches:
-        for batch in batches:
+        for batch in by_rows(batches):
             texts = [main_text(value.as_py()) for value in batch.column("_page")]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(key), batch.column(url), pa.array(texts, pa.string()),

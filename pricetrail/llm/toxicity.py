@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pricetrail.llm.common import Batches, WorkFolder
+from pricetrail.llm.common import Batches, WorkFolder, by_rows
 
 #: Labelled texts of either class to learn from.
 SAMPLE = 4000
@@ -292,14 +292,10 @@ def without_toxic(df: DataFrame, chain: Chain | None) -> DataFrame:
 
     def run(batches: Batches) -> Batches:
         search = chain.automaton()
-        for batch in batches:
-            keep = np.zeros(len(batch), bool)
-            for at in range(0, len(batch), 1024):
-                values = batch.column("text").slice(at, 1024)
-                x = np.zeros((len(values), len(chain.features)))
-                for k, value in enumerate(values):
-                    x[k, chain.present(value.as_py() or "", search)] = 1
-                keep[at : at + len(values)] = chain.probabilities(x)[:, -1] < chain.threshold
-            yield batch.filter(pa.array(keep))
+        for batch in by_rows(batches):
+            x = np.zeros((len(batch), len(chain.features)))
+            for k, value in enumerate(batch.column("text")):
+                x[k, chain.present(value.as_py() or "", search)] = 1
+            yield batch.filter(pa.array(chain.probabilities(x)[:, -1] < chain.threshold))
 
     return df.mapInArrow(run, df.schema)
