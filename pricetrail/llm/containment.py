@@ -7,6 +7,10 @@ item's share of that window, its Jaccard similarity, has a lower bound whatever
 Each of the minima of 64 permutations is a band of its own; one equal band makes a candidate, which a
 passage at the bound misses with a chance below 1e-5.
 
+The share of an item of a few shingles in such a window would be too small for that. Items of up to DIRECT
+shingles need no windows: as many of their shingles as a document can lack, and one more, are their bands,
+and a document that contains the item has one of them.
+
 Only the windows' bands and the documents' shingles that can occur in an item leave a task: a Bloom
 filter of fixed size tells, filled from the items. It passes more when it is full, never less. Candidates
 are then verified by exact containment of the item's shingles in those of the whole document.
@@ -33,6 +37,8 @@ CONTAINMENT = 0.8
 PERMUTATIONS = 64
 #: The smallest partition holds items of up to this many shingles.
 SMALLEST = 16
+#: Items of up to this many shingles are found by the shingles themselves; their partition's number.
+DIRECT, DIRECT_PART = 8, -1
 #: Bits of each Bloom filter, one for bands and one for shingles: 2 MB together, at any size.
 FILTER_BITS = 1 << 23
 #: Words of documents that are laid out together, and characters that are hashed together.
@@ -140,7 +146,16 @@ def band_key(partition: int, permutation: int, minima: np.ndarray) -> np.ndarray
     return mix(minima ^ np.uint64(salt))
 
 
-def item_rows(items: DataFrame, text: str, key: str, width: int) -> DataFrame:
+def needed(distinct: np.ndarray, containment: float) -> np.ndarray:
+    """Shingles of which a document that contains the item has at least one."""
+    n = len(distinct)
+    least = next((k for k in range(1, n + 1) if k / n >= containment), n)
+    return distinct[: n - least + 1]
+
+
+def item_rows(
+    items: DataFrame, text: str, key: str, width: int, containment: float
+) -> DataFrame:
     """Per item: its shingle width, distinct shingles and bands."""
 
     def run(batches: Batches) -> Batches:
@@ -151,12 +166,15 @@ def item_rows(items: DataFrame, text: str, key: str, width: int) -> DataFrame:
                 words, _ = word_hashes([value.as_py() or ""])
                 own = min(width, len(words))
                 distinct = np.unique(shingles(words, own)) if own else np.zeros(0, np.uint64)
-                part = int(partition_of(np.array([len(distinct)]))[0])
-                keys = [
-                    band_key(part, k, (distinct * f).min(keepdims=True))
-                    for k, f in enumerate(factors)
-                    if len(distinct)
-                ]
+                if len(distinct) <= DIRECT:
+                    part = DIRECT_PART
+                    keys = [band_key(part, 0, needed(distinct, containment))] if own else []
+                else:
+                    part = int(partition_of(np.array([len(distinct)]))[0])
+                    keys = [
+                        band_key(part, k, (distinct * f).min(keepdims=True))
+                        for k, f in enumerate(factors)
+                    ]
                 widths.append(own)
                 parts.append(part)
                 sets.append(distinct.view(np.int64).tolist())
@@ -283,17 +301,25 @@ def document_hits(
             known = passes(shingle_bits, every)
             hashes, own, places = [], [], []
             before = np.append(0, np.cumsum(known))
+            direct = band_key(DIRECT_PART, 0, every[known])
+            sure = passes(band_bits, direct)
             for k, (a, b) in enumerate(zip(bounds, bounds[1:] - width + 1)):
                 # Without a shingle of any item a document has none of its bands either.
                 if b > a and before[b] > before[a]:
                     places.append(k)
                     hashes.append(every[a:b])
                     own.append(every[a:b][known[a:b]])
+                    part = slice(before[a], before[b])
+                    if DIRECT_PART in parts and sure[part].any():
+                        bands.setdefault(k, []).append(direct[part][sure[part]])
             if not places:
                 continue
             for k, found in zip(places, own):
                 shared.setdefault(k, []).append(found)
-            owner, found = band_hits(hashes, parts, band_bits)
+            windowed = [part for part in parts if part != DIRECT_PART]
+            if not windowed:
+                continue
+            owner, found = band_hits(hashes, windowed, band_bits)
             order = np.argsort(owner, kind="stable")
             cuts = np.searchsorted(owner[order], np.arange(len(places) + 1))
             for k, a, b in zip(places, cuts, cuts[1:]):
@@ -328,7 +354,7 @@ def contained_items(
 ) -> DataFrame:
     """(key, item_key, n_shared, n_shingles, containment): items found in documents."""
     work = WorkFolder(df.sparkSession, "containment")
-    known = work.write(item_rows(items, item_text, item_key, width), "items")
+    known = work.write(item_rows(items, item_text, item_key, width, containment), "items")
     # Widths one to five, and the sizes of items by doublings: a handful of rows at any scale.
     kinds: dict[int, list[int]] = {}
     for row in known.select("width", "part").distinct().orderBy("width", "part").collect():

@@ -65,6 +65,23 @@ def test_many_items_of_one_size_are_all_found(spark):
     assert {(k, k) for k in range(400)} == {(r.doc_id, r.item_id) for r in got.collect()}
 
 
+def test_short_items_in_long_documents(spark):
+    """Items of 1 to 14 words, each in the middle of its document, whole or with one end cut off."""
+    docs, items = [], []
+    for k in range(420):
+        words = [f"item{k}word{j}" for j in range(1 + k % 14)]
+        items.append((k, " ".join(words)))
+        held = words[: len(words) - k % 2] if len(words) > 8 else words
+        docs.append((k, " ".join([sentence(k, 300 + k), *held, sentence(k + 1, 900 - k)])))
+    got = containment.contained_items(
+        documents(spark, docs), spark.createDataFrame(items, "item_id long, text string")
+    )
+    pairs = sorted((r.containment, r.doc_id, r.item_id, r.n_shared, r.n_shingles)
+                   for r in got.collect())
+    want = sorted(x for d, i in zip(docs, items) for x in expected([d], [i]))
+    assert len(want) > 380 and pairs == want
+
+
 def test_table(spark):
     docs = table(spark, "/root/testdata/sf0.001", "documents")
     items = table(spark, "/root/testdata/sf0.001", "benchmark")
