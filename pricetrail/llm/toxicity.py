@@ -8,8 +8,11 @@ on the whole sample.
 The given labels say only whether a text is toxic. Earlier categories are weak labels: toxic texts that
 hold a seed word of the category. Features are word stems (opening letters of words) that occur
 significantly more often in toxic texts of the sample; the sample, chosen by hash, has at most SAMPLE texts
-of either class. The decision threshold maximises F1 of the out-of-fold predictions at the class sizes of
-all labels. Every text is scored whole in one scan without a shuffle.
+of either class. A text is read in half overlapping passages of PASSAGE characters that together cover it, and
+stands for itself by the passage whose stems speak most for toxic, in training and in use. As the most
+toxic of many passages is more toxic by chance, its odds are divided by the number of passages. The decision
+threshold maximises F1 of the out-of-fold predictions, so divided, at the class sizes of all labels. Every
+text is scored whole in one scan without a shuffle.
 
 Null text counts as empty; rows are independent, so repeated rows and null ids are kept. Of several labels
 of one id the highest counts; null labels and labels without a document are left out. Without labels of
@@ -17,6 +20,7 @@ both classes nothing is learnt and no text is toxic. Other columns are not read.
 """
 
 import re
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import ahocorasick
@@ -34,6 +38,8 @@ FEATURES = 256
 #: A stem is a feature from this many toxic texts, and this chi-square (one degree of freedom) on.
 LEAST_TEXTS, LEAST_CHI2 = 5, 30.0
 FOLDS = 5
+#: Characters of a passage; passages start at every half of one.
+PASSAGE = 2000
 
 #: Seed words of the categories that come before the overall label.
 CATEGORIES = {
@@ -58,6 +64,8 @@ class Chain:
     #: Per category: weights of the features and of the earlier categories, then the constant.
     weights: list[np.ndarray]
     threshold: float
+    #: How much each feature speaks for toxic when passages are compared; alike if not given.
+    loud: list[float] | None = None
 
     def automaton(self) -> "ahocorasick.Automaton":
         search = ahocorasick.Automaton()
@@ -67,17 +75,35 @@ class Chain:
             search.make_automaton()
         return search
 
-    def present(self, text: str, search: "ahocorasick.Automaton") -> list[int]:
-        """Features whose stem opens a word of the text."""
-        if not self.features or not text:
-            return []
+    def present(self, text: str, search: "ahocorasick.Automaton") -> tuple[list[int], int]:
+        """Features whose stem opens a word of the loudest passage, and the number of passages."""
         text = text.lower()
-        found = set()
+        half = PASSAGE // 2
+        passages = max(-(-len(text) // half) - 1, 1)
+        if not self.features or not text:
+            return [], passages
+        found: dict[int, set[int]] = {}
         for end, (k, size) in search.iter(text):
             before = end - size
             if before < 0 or not _WORD.match(text[before]):
-                found.add(k)
-        return list(found)
+                cell = (before + 1) // half
+                # A cell of half a passage belongs to the passage before it and to its own.
+                for passage in {max(cell - 1, 0), min(cell, passages - 1)}:
+                    found.setdefault(passage, set()).add(k)
+        if not found:
+            return [], passages
+        loud = self.loud or [1.0] * len(self.features)
+        return list(max(found.items(), key=lambda f: (sum(loud[k] for k in f[1]), -f[0]))[1]), passages
+
+    def verdicts(self, texts: Iterable[str | None], search: "ahocorasick.Automaton") -> np.ndarray:
+        """A row of probabilities per text; the last is that of the whole text."""
+        seen = [self.present(text or "", search) for text in texts]
+        x = np.zeros((len(seen), len(self.features)))
+        for k, (found, _) in enumerate(seen):
+            x[k, found] = 1
+        p = self.probabilities(x)
+        p[:, -1] = among(p[:, -1], np.array([n for _, n in seen]))
+        return p
 
     def probabilities(self, x: np.ndarray) -> np.ndarray:
         """A column per category, each computed from the features and the columns before it."""
@@ -87,6 +113,11 @@ class Chain:
         return out
 
 
+def among(p: np.ndarray, passages: np.ndarray) -> np.ndarray:
+    """Probabilities with their odds divided by the number of passages."""
+    return p / (p + passages * (1 - p))
+
+
 def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
@@ -201,30 +232,36 @@ def fit(
     )
     best = (
         counts.where((F.col("stem") != "") & (a >= LEAST_TEXTS) & (a * m > b * n))
-        .select("stem", chi2.alias("chi2"))
+        .select("stem", chi2.alias("chi2"), F.log(a * (m + 1) / ((b + 1) * n)).alias("loud"))
         .where(F.col("chi2") >= LEAST_CHI2)
         .orderBy(F.desc("chi2"), "stem")
         .limit(FEATURES)
     )
-    chain = Chain([*CATEGORIES, OVERALL], [row.stem for row in best.collect()], [], 1.0)
+    best = best.collect()
+    chain = Chain([*CATEGORIES, OVERALL], [row.stem for row in best], [], 1.0,
+                  [max(row.loud, 0.0) for row in best])
 
     def mark(batches: Batches) -> Batches:
         search = chain.automaton()
         for batch in batches:
-            found, seeds = [], []
+            found, passages, seeds = [], [], []
             for value in batch.column("_text"):
                 content = value.as_py() or ""
-                found.append(chain.present(content, search))
+                stems_found, n = chain.present(content, search)
+                found.append(stems_found)
+                passages.append(n)
                 words = set(_WORD.findall(content.lower()))
                 seeds.append([not words.isdisjoint(s) for s in CATEGORIES.values()])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(key), batch.column("_toxic"),
-                 pa.array(found, pa.list_(pa.int32())), pa.array(seeds, pa.list_(pa.bool_()))],
-                names=[key, "_toxic", "found", "seeds"],
+                 pa.array(found, pa.list_(pa.int32())), pa.array(passages, pa.int64()),
+                 pa.array(seeds, pa.list_(pa.bool_()))],
+                names=[key, "_toxic", "found", "passages", "seeds"],
             )
 
     marked = texts.mapInArrow(
-        mark, f"`{key}` long, _toxic boolean, found array<int>, seeds array<boolean>"
+        mark,
+        f"`{key}` long, _toxic boolean, found array<int>, passages long, seeds array<boolean>",
     )
     # A repeated document is one example, so that its copies do not stand on both sides of a fold.
     data = sorted(marked.dropDuplicates([key]).collect(), key=lambda row: row[key])
@@ -240,6 +277,7 @@ def fit(
     chain.weights, out = train(
         x, {k: v.astype(float) for k, v in (marks | {OVERALL: toxic}).items()}, folds
     )
+    out = among(out, np.array([row.passages for row in data]))
     weight = np.where(toxic, sizes[True] / toxic.sum(), sizes[False] / (~toxic).sum())
     chain.threshold = best_threshold(out, toxic, weight)
     return chain
@@ -262,10 +300,8 @@ def score(
                 p = np.zeros((len(batch), len(names)))
                 for at in range(0, len(batch), 1024):
                     values = batch.column("_text").slice(at, 1024)
-                    x = np.zeros((len(values), len(chain.features)))
-                    for k, value in enumerate(values):
-                        x[k, chain.present(value.as_py() or "", search)] = 1
-                    p[at : at + len(values)] = chain.probabilities(x)
+                    texts = (value.as_py() for value in values)
+                    p[at : at + len(values)] = chain.verdicts(texts, search)
                 verdict = p[:, -1] >= chain.threshold
             yield pa.RecordBatch.from_arrays(
                 [batch.column(key), *(pa.array(p[:, k], from_pandas=True) for k in range(len(names))),
@@ -293,9 +329,7 @@ def without_toxic(df: DataFrame, chain: Chain | None) -> DataFrame:
     def run(batches: Batches) -> Batches:
         search = chain.automaton()
         for batch in by_rows(batches):
-            x = np.zeros((len(batch), len(chain.features)))
-            for k, value in enumerate(batch.column("text")):
-                x[k, chain.present(value.as_py() or "", search)] = 1
-            yield batch.filter(pa.array(chain.probabilities(x)[:, -1] < chain.threshold))
+            p = chain.verdicts((value.as_py() for value in batch.column("text")), search)
+            yield batch.filter(pa.array(p[:, -1] < chain.threshold))
 
     return df.mapInArrow(run, df.schema)

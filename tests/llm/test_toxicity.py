@@ -19,6 +19,37 @@ def test_held_out_labels(spark):
     assert called[~toxic].mean() <= 0.02
 
 
+def test_long_clean_texts(spark):
+    """Clean texts in other languages that were held out, joined to very long ones, stay clean."""
+    docs, labels = table(spark, SF, "documents"), table(spark, SF, "labels")
+    chain = toxicity.fit(docs, labels.where("doc_id % 2 = 0"), WorkFolder(spark, "test"))
+    clean = docs.join(labels.where("toxic = 0 AND doc_id % 2 = 1"), "doc_id", "left_semi")
+    rows = clean.where("lang IN ('de', 'fr', 'es')").orderBy("lang", "doc_id").collect()
+    joined, lang, parts, size = [], None, [], 0
+    for row in rows:
+        if row.lang != lang:
+            lang, parts, size = row.lang, [], 0
+        parts.append(row.text or "")
+        size += len(parts[-1])
+        if size >= 100_000:
+            joined.append((len(joined), "\n".join(parts)))
+            parts, size = [], 0
+    assert len(joined) >= 12
+    called = toxicity.score(spark.createDataFrame(joined, "doc_id long, text string"), chain)
+    assert called.where("toxic").count() <= 0.05 * len(joined)
+
+
+def test_passages_cover_the_text():
+    chain = toxicity.Chain(["a"], ["bad", "worse"], [], 0.5, [1.0, 3.0])
+    search = chain.automaton()
+    for n in (0, 1, 1990, 2010, 3000, 50_000):
+        text = "x " * (n // 2) + "bad worse"
+        found, passages = chain.present(text, search)
+        assert sorted(found) == [0, 1]
+        assert (passages + 1) * toxicity.PASSAGE // 2 >= len(text)
+    assert chain.present("bad " + "x " * 5000 + "worse", search) == ([1], 10)
+
+
 def test_chain_uses_earlier_categories():
     rng = np.random.default_rng(1)
     x = (rng.random((600, 4)) < 0.3).astype(float)
