@@ -8,7 +8,10 @@ article or main element around the best of them, or else what all of them have i
 the container that is no page furniture is content, so that short paragraphs stay.
 
 Furniture (menus, headers and footers of the page, sidebars, notices, adverts, forms, scripts, styles,
-reader comments) is told by element and class names and counts neither for ratios nor for the result.
+reader comments) is told by elements and by whole class names, ids and roles, and counts neither for ratios
+nor for the result. html, body, main and article are never furniture. Where no article or main is left with
+text, an element that holds one and more text than is left, or that has a name of furniture and holds most
+text of the page, is a wrapper of the content and no furniture either.
 
 Null, empty and text-less pages give an empty text. Very long pages are read whole, one at a time; rows
 are independent, so repeated rows and null ids are kept. Other columns are not read.
@@ -35,18 +38,20 @@ BLOCKS = frozenset(
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is no text of the page.
 HIDDEN = frozenset(
-    "script style noscript template title textarea select option button svg math iframe object "
-    "canvas audio video datalist head".split()
+    "script style noscript template title textarea select option button svg iframe object "
+    "canvas audio video datalist".split()
 )
 RAW = frozenset("script style title textarea noscript iframe".split())
 FURNITURE_TAGS = frozenset("nav footer aside form menu dialog search fieldset".split())
 FURNITURE_NAMES = frozenset(
-    "ad ads adbox advert adverts advertisement advertising banner breadcrumb breadcrumbs byline "
-    "comment comments commentlist consent cookie cookies disclaimer disqus footer gdpr login menu "
-    "modal nav navbar navigation newsletter notice notices notification pagination popup promo "
-    "promotion recommended related replies respond share sharing sidebar signup social sponsor "
-    "sponsored subscribe subscription teaser toolbar topbar widget".split()
+    "ad ads adbox ad-banner advert adverts advertisement advertising banner comment comments comment-list "
+    "commentlist comments-area consent cookie cookies cookie-banner cookie-consent cookie-notice disqus "
+    "footer page-footer site-footer gdpr menu main-menu nav-menu site-menu nav navbar navigation "
+    "main-navigation site-navigation notice notices page-header site-header sidebar sponsored".split()
 )
+#: Never furniture; elements that are furniture wherever they stand; those that may wrap the content.
+CONTENT = frozenset("html body main article".split())
+FIXED_TAGS = frozenset("nav footer menu dialog search".split())
 #: Furniture only outside articles, where they hold the title.
 PAGE_HEADERS = frozenset(("header", "masthead"))
 SCOPES = frozenset(("article", "main"))
@@ -74,25 +79,85 @@ class Block:
     text: str
 
 
-def _furniture(tag: str, names: str, in_scope: bool) -> bool:
-    words = set(re.split(r"[^a-z0-9]+", names.lower())) if names else set()
-    if tag in FURNITURE_TAGS or words & FURNITURE_NAMES:
-        return True
-    return not in_scope and (tag in PAGE_HEADERS or bool(words & PAGE_HEADERS))
+def _furniture(tag: str, names: str, in_scope: bool) -> tuple[bool, bool]:
+    """Whether an element is furniture, and whether only its names say so."""
+    if tag in CONTENT:
+        return False, False
+    words = set(names.lower().split())
+    by_tag = tag in FURNITURE_TAGS or (not in_scope and tag in PAGE_HEADERS)
+    by_name = bool(words & FURNITURE_NAMES) or (not in_scope and bool(words & PAGE_HEADERS))
+    return by_tag or by_name, by_name and not by_tag
+
+
+@dataclass
+class Furniture:
+    """An element held for furniture, and the furniture around it by number."""
+
+    outer: int
+    named: bool
+    fixed: bool
+    dropped: bool = True
+
+
+def wrappers(found: list[tuple[Block, int, int]], elements: list[Furniture]) -> None:
+    """Mark furniture that wraps the page's content as none.
+
+    `found` has for each block the number of its innermost furniture, and of the furniture around its
+    innermost article or main; -1 is none, and the latter is -2 without article and main.
+    """
+    total = sum(len(b.text) for b, _, _ in found)
+    while True:
+        # The outermost dropped element around each, by numbers in the order of opening.
+        top = [-1] * len(elements)
+        for k, e in enumerate(elements):
+            above = top[e.outer] if e.outer >= 0 else -1
+            top[k] = above if above >= 0 else k if e.dropped else -1
+        sizes, scoped, left = [0] * len(elements), [False] * len(elements), 0
+        for block, inner, scope in found:
+            at = top[inner] if inner >= 0 else -1
+            if at < 0:
+                if scope > -2:
+                    return
+                left += len(block.text)
+                continue
+            sizes[at] += len(block.text)
+            scoped[at] |= scope >= 0 and top[scope] == at
+        best = max(
+            (k for k, e in enumerate(elements) if sizes[k] and not e.fixed
+             and (scoped[k] and sizes[k] > left or e.named and 2 * sizes[k] > total)),
+            key=lambda k: (scoped[k], sizes[k]), default=None,
+        )
+        if best is None:
+            return
+        elements[best].dropped = False
 
 
 def blocks(page: str) -> Iterator[Block]:
     """The page's text outside furniture, in page order, white space collapsed."""
-    #: Open block elements: tag, path component, whether its text is left out.
-    stack: list[tuple[str, str, bool]] = []
+    found, elements = all_blocks(page)
+    if any(inner >= 0 for _, inner, _ in found):
+        wrappers(found, elements)
+    kept = []
+    for e in elements:
+        kept.append(not e.dropped and (e.outer < 0 or kept[e.outer]))
+    return (b for b, inner, _ in found if inner < 0 or kept[inner])
+
+
+def all_blocks(page: str) -> tuple[list[tuple[Block, int, int]], list[Furniture]]:
+    """All of the page's text in page order, as `wrappers` takes it, and the furniture."""
+    #: Open block elements: tag, path component, innermost furniture, that around the innermost scope.
+    stack: list[tuple[str, str, int, int]] = []
+    found: list[tuple[Block, int, int]] = []
+    elements: list[Furniture] = []
     held: list[str] = []
     at, hidden = 0, ""
 
-    def flush() -> Iterator[Block]:
+    def flush() -> None:
         text = " ".join("".join(held).split())
         held.clear()
-        if text and not (stack and stack[-1][2]):
-            yield Block(tuple(part for _, part, _ in stack), text)
+        if text:
+            inner, scope = stack[-1][2:] if stack else (-1, -2)
+            found.append((Block(tuple(part for _, part, *_ in stack), text), inner, scope))
 
     def keep(raw: str) -> None:
         if raw and not hidden:
@@ -116,7 +181,7 @@ def blocks(page: str) -> Iterator[Block]:
                 if name in RAW:
                     end = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
                     at = end.end() if end else len(page)
-                elif name == "head" or name in HIDDEN:
+                else:
                     hidden = name
             continue
         if name == "br":
@@ -124,7 +189,7 @@ def blocks(page: str) -> Iterator[Block]:
             continue
         if name not in BLOCKS:
             continue
-        yield from flush()
+        flush()
         if close:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
@@ -139,11 +204,17 @@ def blocks(page: str) -> Iterator[Block]:
         if name in VOID:
             continue
         names = " ".join(a or b or c for a, b, c in _NAMES.findall(attributes)) if attributes else ""
-        in_scope = any(t in SCOPES for t, _, _ in stack)
-        left_out = bool(stack and stack[-1][2]) or _furniture(name, names, in_scope)
-        stack.append((name, f"{name}.{names}" if names else name, left_out))
+        inner, scope = stack[-1][2:] if stack else (-1, -2)
+        furniture, named = _furniture(name, names, scope > -2)
+        if furniture:
+            elements.append(Furniture(inner, named, name in FIXED_TAGS))
+            inner = len(elements) - 1
+        if name in SCOPES:
+            scope = inner
+        stack.append((name, f"{name}.{names}" if names else name, inner, scope))
     keep(page[at:])
-    yield from flush()
+    flush()
+    return found, elements
 
 
 def path_scores(found: list[Block]) -> dict[tuple[str, ...], float]:

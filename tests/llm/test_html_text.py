@@ -31,6 +31,30 @@ CASES = [
 ]
 
 
+TEXT = "First, a sentence. Then another one, longer than the first.\nShort."
+WRAPPED = [
+    (f"<body class='has-sidebar'><article class='post no-comments'>{ARTICLE}</article></body>", TEXT),
+    (f"<body class='sidebar'><div class=sidebar>Side.</div><main class=menu>{ARTICLE}</main></body>", TEXT),
+    (f"<div id='page-with-navigation'>{ARTICLE}</div>", TEXT),
+    (f"<div class='navigation'><nav>Menu, menu, menu.</nav><article>{ARTICLE}</article></div>", TEXT),
+    (f"<form><div class=menu>Menu.</div><article>{ARTICLE}</article></form><footer>Foot.</footer>", TEXT),
+    (f"<div class='notice'>{ARTICLE}</div><p class=notice>Note.</p>", TEXT),
+    (f"<article>{ARTICLE}</article><div class=comments>" + "<article><p>Nice, nice.</p></article>" * 50
+     + "</div>", TEXT),
+    ("<article><p class=byline>By A.</p><p class='related teaser'>See b.</p><p>x<math>2</math></article>",
+     "By A.\nSee b.\nx2"),
+    (f"<html><head><title>T</title><script>'<p>no</p>'</script><body><article>{ARTICLE}</article>", TEXT),
+    (f"<head><meta charset=utf-8><style>p{{}}</style><title>T</title><div>{ARTICLE}</div>", TEXT),
+    ("<nav class=menu>Menu.</nav><div class=sidebar>Side.</div><footer>Foot, and far more of it.</footer>",
+     ""),
+]
+
+
+@pytest.mark.parametrize("page,text", WRAPPED)
+def test_wrappers_and_open_heads(page, text):
+    assert html_text.main_text(page) == text
+
+
 @pytest.mark.parametrize("page,text", CASES)
 def test_cases(page, text):
     if text is None:
