@@ -9,6 +9,7 @@ from pricetrail.llm import (
     byte_bpe,
     containment,
     html_text,
+    importance,
     repeats,
     rules,
     secret_scan,
@@ -176,3 +177,66 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(table(spark, sf_dir, "documents"), RANK_FILE, PATTERN)
+
+
+@query
+def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    )
+
+
+ORACLE["op13_importance"] = r"""
+WITH crc AS (
+    SELECT list(x ORDER BY i) AS t FROM (
+        SELECT i, list_reduce([i] || [0 for k in range(8)], lambda x, y:
+                   CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END) AS x
+        FROM range(256) AS r(i))
+), d AS (
+    SELECT 0 AS side, row_number() OVER () AS r, doc_id,
+           regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+               'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+    FROM documents
+    UNION ALL
+    SELECT 1, row_number() OVER (), item_id,
+           regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+               'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')
+    FROM benchmark
+), f AS (
+    SELECT side, r, unnest(w || [w[k] || ' ' || w[k + 1] for k in range(1, len(w))]) AS g FROM d
+), c AS (
+    SELECT side, r, g, count(*) AS n FROM f GROUP BY ALL
+), h AS (
+    SELECT g, hex(encode(g)) AS x FROM (SELECT DISTINCT g FROM c)
+), b AS (
+    SELECT g, xor(list_reduce(
+        [4294967295] || [('0x' || x[2 * k + 1:2 * k + 2])::BIGINT for k in range(len(x) // 2)],
+        lambda a, y: xor(t[(xor(a, y) & 255) + 1], a >> 8)), 4294967295) % 10000 AS bucket
+    FROM h, crc
+), s AS (
+    SELECT bucket, coalesce(sum(n) FILTER (side = 0), 0) AS s,
+           coalesce(sum(n) FILTER (side = 1), 0) AS t
+    FROM c JOIN b USING (g) GROUP BY bucket
+), a AS (
+    SELECT bucket, floor(1000 * ln(((t + 1)::DOUBLE * (sum(s) OVER () + 10000)::DOUBLE)
+               / ((s + 1)::DOUBLE * (sum(t) OVER () + 10000)::DOUBLE))) AS gain
+    FROM s
+), m AS (
+    SELECT r, sum(n) AS n_features, floor(sum(n * gain) / sum(n))::BIGINT AS weight
+    FROM c JOIN b USING (g) JOIN a USING (bucket) WHERE side = 0 GROUP BY r
+), e AS (
+    SELECT r, doc_id, len(w)::BIGINT AS n_words, coalesce(n_features, 0)::BIGINT AS n_features,
+           coalesce(weight, 0)::BIGINT AS weight,
+           (coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || sha256('7:' ||
+               coalesce(doc_id::VARCHAR, 'null'))[1:8])::BIGINT + 0.5) / 4294967296::DOUBLE)))
+           )::BIGINT AS score
+    FROM d LEFT JOIN m USING (r) WHERE side = 0
+), p AS (
+    SELECT r, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST, r) AS place,
+           count(*) OVER () AS n
+    FROM e WHERE n_words >= 20
+)
+SELECT doc_id, n_words, n_features, weight, score,
+       CASE WHEN place <= 25 * n // 100 THEN place END::BIGINT AS rank
+FROM e LEFT JOIN p USING (r)
+"""

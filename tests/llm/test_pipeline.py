@@ -41,7 +41,7 @@ def test_sql(spark, db, name):
 
 def test_registered():
     names = set(entry_point.queries())
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(re.match(rf"op{n}_", name) is not None for name in names) == 1
     assert "pipeline" in names and len(corpus_pipeline.STAGES) == 5
 
@@ -75,8 +75,7 @@ def test_stages(spark, tmp_path):
 
     def blank(text):
         base = secret_scan.base_spans(text)
-        seen = [(a, b, f, secret_scan.window(text, a, b))
-                for a, b, f in secret_scan.candidates(text, base)]
+        seen = secret_scan.judged(text, base)
         gone = [False] * (len(text) + 1)
         out, starts = [], set()
         for a, b, _ in sorted(base + secret_scan.added_spans(seen, network)):
