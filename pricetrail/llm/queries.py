@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pricetrail.llm import (
     byte_bpe,
     containment,
+    conversations,
     html_text,
     importance,
     maxscore,
@@ -204,6 +205,12 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
 
 
+@query
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    original = table(spark, sf_dir, "conversations")
+    return conversations.repair(conversations.damage(original), original)
+
+
 @query
 def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(
