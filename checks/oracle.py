@@ -18,8 +18,12 @@ _SEED = ", ".join(
 
 # Named building blocks, in order of use; a statement takes those it mentions.
 BLOCKS: dict[str, str] = {}
-# Blocks that compare all names, or follow from that: evaluated once per statement.
-ONCE = ("v_pool", "v_pairs", "v_fuzzy", "v_exact", "v_matches", "v_members")
+# Blocks that compare all names or go row by row, or follow from that: evaluated once per statement.
+ONCE = (
+    "v_pool", "v_pairs", "v_fuzzy", "v_exact", "v_matches", "v_members", "v_observations",
+    *(f"{name}{part}" for name in ("v_resolved", "v_fresh")
+      for part in ("_met", "_reach", "_rows", "_start", "_steps", "")),
+)
 
 
 def block(name: str, text: str) -> None:
@@ -108,9 +112,14 @@ CROSS JOIN (SELECT 'ah' AS supermarket, ' a' AS suffix UNION ALL SELECT 'jumbo',
             UNION ALL SELECT 'dirk', ' c')""")
 block("v_observations", """
 SELECT r.id AS seq, r.scraped_at, p.supermarket, p.category, p.name, p.brand,
-  CASE WHEN r.scraped_at >= TIMESTAMP '1999-01-01 00:00:00' AND p.unit LIKE '%0 g'
+  CASE WHEN r.product_id % 9 = 4 AND r.id % 4 = 0 THEN NULL
+       WHEN r.scraped_at >= TIMESTAMP '1999-01-01 00:00:00' AND p.unit LIKE '%0 g'
        THEN replace(p.unit, '0 g', '5 g') ELSE p.unit END AS unit,
-  CASE WHEN r.product_id % 11 = 0 THEN NULL ELSE p.url END AS url,
+  CASE WHEN r.product_id % 11 = 0 OR (r.product_id % 5 = 1 AND r.id % 3 = 0) THEN NULL
+       WHEN r.product_id % 40 = 2 AND r.id % 2 = 0
+       THEN 'https://store.example/' || CAST(r.product_id + 3 AS VARCHAR)
+       WHEN r.product_id % 7 = 3 AND r.scraped_at >= TIMESTAMP '1998-01-01 00:00:00'
+       THEN p.url || '?v=2' ELSE p.url END AS url,
   r.price, r.original_price, r.is_sale, r.product_id AS known_id
 FROM v_raw_prices r JOIN v_products p ON p.id = r.product_id""")
 block("v_event_prices", """
@@ -237,49 +246,55 @@ FROM (SELECT *, row_number() OVER (PARTITION BY name, supermarket ORDER BY id) A
 
 
 def _resolve(name: str, stored: str) -> None:
-    """Blocks {name}: observations with product_id, stored_unit, is_new, reason."""
-    block(f"{name}_known", f"""
-SELECT o.*, u.id AS url_id, n.id AS name_id, n.unit AS name_unit,
-  n.id IS NOT NULL AND n.url IS NULL AS is_open
-FROM v_observations o LEFT JOIN {stored} u ON u.url = o.url
-LEFT JOIN {stored} n ON n.name = o.name AND n.supermarket = o.supermarket""")
-    # The first row with a url of each open product; later rows meet that url and unit.
-    block(f"{name}_closed", f"""
-SELECT name_id, seq AS closing, url AS closing_url, unit AS closing_unit
-FROM {name}_known WHERE url_id IS NULL AND is_open AND url IS NOT NULL
-QUALIFY row_number() OVER (PARTITION BY name_id ORDER BY seq) = 1""")
-    block(f"{name}_found", f"""
-SELECT k.* EXCLUDE (url_id, name_id, name_unit, is_open), k.name_id IS NOT NULL AS name_known,
-  CASE WHEN k.url_id IS NOT NULL THEN k.url_id
-       WHEN NOT k.is_open AND k.unit = k.name_unit THEN k.name_id
-       WHEN k.is_open AND (c.closing IS NULL OR k.seq <= c.closing OR k.url = c.closing_url
-                           OR k.unit = c.closing_unit) THEN k.name_id END AS found_id
-FROM {name}_known k LEFT JOIN {name}_closed c ON c.name_id = k.name_id""")
-    block(f"{name}_led", f"""
-SELECT *, url IS NULL OR seq = min(seq) OVER (PARTITION BY url) AS leads
-FROM {name}_found WHERE found_id IS NULL""")
-    block(f"{name}_made", f"""
-SELECT name, supermarket, unit, url, seq AS made_seq
-FROM (SELECT *, row_number() OVER (PARTITION BY name, supermarket ORDER BY seq) AS rn
-      FROM {name}_led WHERE leads AND NOT name_known) WHERE rn = 1""")
-    block(f"{name}_own", f"""
-SELECT l.*, CASE WHEN NOT l.name_known AND (m.made_seq = l.seq OR m.unit = l.unit
-                                            OR (m.made_seq IS NOT NULL AND m.url IS NULL))
-            THEN m.made_seq END AS own_id
-FROM {name}_led l LEFT JOIN {name}_made m ON m.name = l.name AND m.supermarket = l.supermarket""")
-    block(f"{name}_new", f"""
-SELECT o.*, CASE WHEN o.leads THEN o.own_id ELSE coalesce(f.own_id, o.own_id) END AS new_id
-FROM {name}_own o LEFT JOIN {name}_own f ON f.url = o.url AND f.leads""")
+    """Blocks {name}: observations with product_id, stored_unit, is_new, reason, found row by row.
+
+    Names that meet by a url are gone through together; each step takes one row of every such group, with
+    the group's products as the rows before have left them.
+    """
+    block(f"{name}_met", f"""
+SELECT DISTINCT name || '/' || supermarket AS n, url
+FROM (SELECT name, supermarket, url FROM v_observations
+      UNION ALL SELECT name, supermarket, url FROM {stored})""")
+    block(f"{name}_reach", f"""
+WITH RECURSIVE reach AS (
+  SELECT n AS a, n AS b FROM {name}_met
+  UNION
+  SELECT r.a, y.n FROM reach r JOIN {name}_met x ON x.n = r.b JOIN {name}_met y ON y.url = x.url)
+SELECT a AS n, min(b) AS grp FROM reach GROUP BY a""")
+    block(f"{name}_rows", f"""
+SELECT r.grp, row_number() OVER (PARTITION BY r.grp ORDER BY o.seq) AS i, o.seq, r.n, o.unit, o.url
+FROM v_observations o JOIN {name}_reach r ON r.n = o.name || '/' || o.supermarket""")
+    block(f"{name}_start", f"""
+SELECT g.grp, coalesce(list({{'id': s.id, 'n': r.n, 'unit': s.unit, 'url': s.url}} ORDER BY s.id)
+                       FILTER (s.id IS NOT NULL), []) AS shelf
+FROM (SELECT DISTINCT grp FROM {name}_rows) g
+LEFT JOIN ({name}_reach r JOIN {stored} s ON r.n = s.name || '/' || s.supermarket) ON r.grp = g.grp
+GROUP BY g.grp""")
+    block(f"{name}_steps", f"""
+WITH RECURSIVE steps AS (
+  SELECT grp, 0::BIGINT AS i, shelf, NULL::BIGINT AS seq, NULL::BIGINT AS found, FALSE AS is_new
+  FROM {name}_start
+  UNION ALL
+  SELECT grp, i,
+    CASE WHEN hit IS NOT NULL THEN list_transform(shelf, lambda p: CASE WHEN p.id = hit
+           THEN {{'id': p.id, 'n': p.n, 'unit': unit, 'url': url}} ELSE p END)
+         WHEN taken THEN shelf
+         ELSE list_append(shelf, {{'id': seq, 'n': n, 'unit': unit, 'url': url}}) END,
+    seq, CASE WHEN hit IS NOT NULL THEN hit WHEN NOT taken THEN seq END, hit IS NULL AND NOT taken
+  FROM (
+    SELECT r.grp, r.i, r.seq, r.n, r.unit, r.url, s.shelf,
+      len(list_filter(s.shelf, lambda p: p.n = r.n)) > 0 AS taken,
+      coalesce(list_filter(s.shelf, lambda p: coalesce(p.url = r.url, FALSE))[1].id,
+               list_filter(s.shelf, lambda p: p.n = r.n AND coalesce(p.unit = r.unit, FALSE))[1].id,
+               list_filter(s.shelf, lambda p: p.n = r.n AND p.url IS NULL)[1].id) AS hit
+    FROM steps s JOIN {name}_rows r ON r.grp = s.grp AND r.i = s.i + 1))
+SELECT seq, found, is_new FROM steps WHERE seq IS NOT NULL""")
     block(name, f"""
-SELECT f.seq, f.scraped_at, f.supermarket, f.category, f.name, f.brand, f.unit, f.url, f.price,
-  f.original_price, f.is_sale, f.found_id AS product_id, p.unit AS stored_unit, FALSE AS is_new,
-  CAST(NULL AS VARCHAR) AS reason
-FROM {name}_found f JOIN {stored} p ON p.id = f.found_id
-UNION ALL
-SELECT seq, scraped_at, supermarket, category, name, brand, unit, url, price, original_price,
-  is_sale, new_id, NULL, coalesce(new_id = seq, FALSE),
-  CASE WHEN new_id IS NULL THEN 'duplicate_name' END
-FROM {name}_new""")
+SELECT o.seq, o.scraped_at, o.supermarket, o.category, o.name, o.brand, o.unit, o.url, o.price,
+  o.original_price, o.is_sale, t.found AS product_id, s.unit AS stored_unit, t.is_new,
+  CASE WHEN t.found IS NULL THEN 'duplicate_name' END AS reason
+FROM v_observations o JOIN {name}_steps t ON t.seq = o.seq
+LEFT JOIN {stored} s ON s.id = t.found""")
 
 
 block("v_none", "SELECT * FROM v_stored WHERE FALSE")

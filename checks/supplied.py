@@ -105,9 +105,15 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = raw_prices(spark, sf_dir).join(info, "product_id")
     return joined.selectExpr(
         "id AS seq", "scraped_at", "supermarket", "category", "name", "brand",
-        """CASE WHEN scraped_at >= TIMESTAMP_NTZ'1999-01-01 00:00:00' AND unit LIKE '%0 g'
+        """CASE WHEN product_id % 9 = 4 AND id % 4 = 0 THEN NULL
+                WHEN scraped_at >= TIMESTAMP_NTZ'1999-01-01 00:00:00' AND unit LIKE '%0 g'
                 THEN replace(unit, '0 g', '5 g') ELSE unit END AS unit""",
-        "CASE WHEN product_id % 11 = 0 THEN NULL ELSE url END AS url",
+        # No url at all, none now and then, now and then that of another name, a new one from a day on.
+        """CASE WHEN product_id % 11 = 0 OR (product_id % 5 = 1 AND id % 3 = 0) THEN NULL
+                WHEN product_id % 40 = 2 AND id % 2 = 0
+                THEN 'https://store.example/' || CAST(product_id + 3 AS STRING)
+                WHEN product_id % 7 = 3 AND scraped_at >= TIMESTAMP_NTZ'1998-01-01 00:00:00'
+                THEN url || '?v=2' ELSE url END AS url""",
         "price", "original_price", "is_sale", "product_id AS known_id",
     )
 

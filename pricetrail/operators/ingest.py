@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from pricetrail.functions import missing
-from pricetrail.plans.lineage import cut_lineage
+from pricetrail.operators import identity
 from pricetrail.plans.skew import SLICE_ROWS, with_previous
 from pricetrail.schemas import DERIVED_PRODUCT_COLUMNS, MAX_JUMP, MAX_PRICE, PRODUCTS
 
@@ -67,114 +67,11 @@ def resolve_products(observations: DataFrame, products: DataFrame) -> DataFrame:
 
     Adds `product_id`, `stored_unit` (of a product already in the catalog), `is_new` (this row
     creates the product) and `reason` ("duplicate_name" where the row may neither join nor create
-    a product). The stored catalog is tried by url, then by name, store and unit, then by name and
-    store where it has no url; the first row that brings such a product a url closes it to others.
-    What is left is grouped among itself: rows with a url follow the
-    first row with that url; the first row of a (name, store) creates the product; a later row
-    joins it if its unit is equal or the creator has no url, and is a duplicate otherwise.
+    a product, "name_missing" without name or store). The result is that of taking the rows one by
+    one in order of `seq`: by url, then by name, store and unit, then by name and store where the
+    product has no url, each with the url and unit that the rows before have left.
     """
-    # The second step reads this result several times.
-    return _resolve_in_batch(cut_lineage(_resolve_in_catalog(observations, products)))
-
-
-def _resolve_in_catalog(observations: DataFrame, products: DataFrame) -> DataFrame:
-    found = F.struct("id", "unit")
-    by_url = (
-        products.filter(~missing(F.col("url")))
-        .groupBy("url").agg(F.min(found).alias("_by_url"))
-    )
-    # (name, supermarket) is unique in the catalog, so one lookup serves both name rules.
-    by_name = products.groupBy("name", "supermarket").agg(
-        F.min(F.struct("id", "unit", "url")).alias("_by_name")
-    )
-    known, taker = F.col("_by_name"), F.col("_taker")
-    looked_up = observations.join(by_url, "url", "left").join(
-        by_name, ["name", "supermarket"], "left"
-    )
-    # A product without url takes any row of its name, up to the first one that brings a url; from
-    # then on it is known by that row's url and unit.
-    takers = (
-        looked_up.filter(
-            F.col("_by_url").isNull() & known.isNotNull() & known["url"].isNull()
-            & ~missing(F.col("url"))
-        )
-        .groupBy("name", "supermarket")
-        .agg(F.min(F.struct("seq", "url", "unit")).alias("_taker"))
-    )
-
-    def same_unit(product: Column) -> Column:
-        return ~missing(F.col("unit")) & (product["unit"] == F.col("unit"))
-
-    free = taker.isNull() | (F.col("seq") <= taker["seq"])
-    after = F.coalesce(taker["url"] == F.col("url"), F.lit(False)) | F.coalesce(
-        same_unit(taker), F.lit(False)
-    )
-    by_name_fits = F.when(known["url"].isNull(), free | after).otherwise(
-        F.coalesce(same_unit(known), F.lit(False))
-    )
-    return (
-        looked_up.join(takers, ["name", "supermarket"], "left")
-        .withColumn(
-            "_found",
-            F.when(F.col("_by_url").isNotNull(), F.col("_by_url")).when(
-                known.isNotNull() & by_name_fits,
-                F.struct(known["id"].alias("id"), known["unit"].alias("unit")),
-            ),
-        )
-        .select(
-            *observations.columns,
-            F.col("_found.id").alias("product_id"),
-            F.col("_found.unit").alias("stored_unit"),
-            # An unmatched row of a stored (name, supermarket) cannot create a product.
-            (F.col("_found").isNull() & known.isNotNull()).alias("_name_taken"),
-        )
-    )
-
-
-def _resolve_in_batch(resolved: DataFrame) -> DataFrame:
-    open_rows = resolved.filter(F.col("product_id").isNull())
-    leaders = (
-        open_rows.filter(~missing(F.col("url")))
-        .groupBy("url").agg(F.min("seq").alias("_leader_seq"))
-    )
-    # Lookups hold one row per key; the large side of these joins may be skewed, which adaptive
-    # execution splits.
-    open_rows = open_rows.join(leaders, "url", "left").withColumn(
-        "_leads", F.col("_leader_seq").isNull() | (F.col("_leader_seq") == F.col("seq"))
-    )
-    creators = (
-        open_rows.filter(F.col("_leads") & ~F.col("_name_taken"))
-        .groupBy("name", "supermarket")
-        .agg(F.min(F.struct("seq", "unit", "url")).alias("_creator"))
-    )
-    creator = F.col("_creator")
-    joins_creator = (creator["seq"] == F.col("seq")) | F.coalesce(
-        (~missing(F.col("unit")) & (creator["unit"] == F.col("unit")))
-        | missing(creator["url"]),
-        F.lit(False),
-    )
-    placed = open_rows.join(creators, ["name", "supermarket"], "left").withColumn(
-        "_own", F.when(~F.col("_name_taken") & joins_creator, creator["seq"])
-    )
-    led = (
-        placed.filter(F.col("_leads") & F.col("_leader_seq").isNotNull())
-        .select("url", F.col("_own").alias("_led"))
-        .filter(F.col("_led").isNotNull())
-    )
-    placed = placed.join(led, "url", "left").withColumn(
-        "product_id",
-        F.when(F.col("_leads"), F.col("_own")).otherwise(F.coalesce("_led", "_own")),
-    )
-    columns = [c for c in resolved.columns if c != "_name_taken"]
-    in_catalog = resolved.filter(F.col("product_id").isNotNull()).select(
-        *columns, F.lit(False).alias("is_new"), F.lit(None).cast("string").alias("reason")
-    )
-    in_batch = placed.select(
-        *columns,
-        F.coalesce(F.col("product_id") == F.col("seq"), F.lit(False)).alias("is_new"),
-        F.when(F.col("product_id").isNull(), "duplicate_name").alias("reason"),
-    )
-    return in_catalog.unionByName(in_batch)
+    return identity.resolve(observations, products)
 
 
 def duplicate_names(resolved: DataFrame) -> DataFrame:

@@ -198,10 +198,12 @@ def test_resolve_against_the_catalog(spark):
     stored = products(spark, [
         shop(1, "ah", "Melk", unit="1 l", url="u1"), shop(2, "ah", "Kaas", unit="500 g"),
         shop(3, "jumbo", "Melk", unit="1 l", url="u3"), shop(4, "dirk", "Brood", unit="", url=""),
+        shop(5, "ah", "Sap", unit="1 l", url="u5"),
     ])
     batch = observations(spark, [
         seen(11, "Andere naam", url="u1"),  # by url
-        seen(12, "Melk", unit="1 l", url="new"),  # by name, store and unit
+        seen(12, "Melk", unit="1 l", url="new"),  # row 11 has taken the unit, and the url stands
+        seen(18, "Sap", unit="1 l", url="new"),  # by name, store and unit
         seen(13, "Kaas", unit="1 kg"),  # by name and store, no url stored
         seen(14, "Melk", "jumbo", unit="2 l", url="u9"),  # name taken
         seen(15, "Melk", "jumbo", url="u3"),
@@ -209,10 +211,10 @@ def test_resolve_against_the_catalog(spark):
         seen(17, "Brood", "dirk", unit=""),  # an empty unit is no unit, an empty url is not NULL
     ])
     rows = {r.seq: r for r in ingest.resolve_products(batch, stored).collect()}
-    assert {s: r.product_id for s, r in rows.items()} == {11: 1, 12: 1, 13: 2, 14: None, 15: 3, 16: 16,
-                                                          17: None}
+    assert {s: r.product_id for s, r in rows.items()} == {11: 1, 12: None, 13: 2, 14: None, 15: 3,
+                                                          16: 16, 17: None, 18: 5}
     assert {s for s, r in rows.items() if r.is_new} == {16}
-    assert {s for s, r in rows.items() if r.reason} == {14, 17}
+    assert {s for s, r in rows.items() if r.reason} == {12, 14, 17}
     assert rows[13].stored_unit == "500 g"
 
 
