@@ -28,52 +28,57 @@ RESULT = "product_id long, stored_unit string, is_new boolean, reason string"
 
 def resolve(observations: DataFrame, products: DataFrame) -> DataFrame:
     """Observations with `product_id`, `stored_unit`, `is_new` and `reason`; see ingest.resolve_products."""
+    # One row for all rows of a name and url: what the steps before the walk need to know of the batch.
+    seen = cut_lineage(
+        observations.groupBy(*NAME, "url").agg(F.min("seq").alias("_first"))
+    )
     has_name = F.col("name").isNotNull() & F.col("supermarket").isNotNull()
-    named = observations.filter(has_name)
-    linked = _linked_names(named, products)
-    names = cut_lineage(_names(named, products, linked))
-    placed = cut_lineage(named.join(names, NAME))
-    stored = F.col("_stored")
-    settled = placed.filter("_settled").select(
+    all_named = seen.filter(~has_name).isEmpty()
+    seen = seen.filter(has_name)
+    linked = _linked_names(seen, products)
+    names = cut_lineage(_names(seen, products, linked))
+    stored, first = F.col("_stored"), F.col("_first")
+    # Both joins read the same exchange of the observations.
+    settled = observations.join(names.filter("_settled"), NAME).select(
         *observations.columns,
-        F.coalesce(stored["id"], "_first").alias("product_id"),
+        F.coalesce(stored["id"], first).alias("product_id"),
         stored["unit"].alias("stored_unit"),
-        (stored["id"].isNull() & (F.col("seq") == F.col("_first"))).alias("is_new"),
+        (stored["id"].isNull() & (F.col("seq") == first)).alias("is_new"),
         F.lit(None).cast("string").alias("reason"),
     )
+    walked = observations.join(names.filter("NOT _settled").select(*NAME, "_group"), NAME)
     in_order = _in_order(
-        placed.filter("NOT _settled").select(*observations.columns, "_group"),
-        _products_met(products, names, linked),
+        walked.select(*observations.columns, "_group"), _products_met(products, names, linked)
     )
+    placed = settled.unionByName(in_order)
+    if all_named:
+        return placed
     nameless = observations.filter(~has_name).select(
         "*", F.lit(None).cast("long").alias("product_id"),
         F.lit(None).cast("string").alias("stored_unit"), F.lit(False).alias("is_new"),
         F.lit("name_missing").alias("reason"),
     )
-    return settled.unionByName(in_order).unionByName(nameless)
+    return placed.unionByName(nameless)
 
 
 def _key() -> Column:
     return F.xxhash64(*NAME).alias("_key")
 
 
-def _linked_names(named: DataFrame, products: DataFrame) -> DataFrame | None:
+def _linked_names(seen: DataFrame, products: DataFrame) -> DataFrame | None:
     """`_key, _group` of names that share a url with another name, None if there are none.
 
     Keys are hashes: names that collide would only be gone through together.
     """
-    known = named.select(*NAME, "url").union(products.select(*NAME, "url"))
+    known = seen.select(*NAME, "url").union(products.select(*NAME, "url"))
     pairs = known.filter(~missing(F.col("url"))).select(_key(), "url")
     shared = (
         pairs.groupBy("url")
         .agg(F.min("_key").alias("least"), F.max("_key").alias("most"))
         .filter("least != most")
-        .select("url")
-    )
-    links = pairs.join(shared, "url", "left_semi").select(
-        F.col("_key").alias("a"), F.xxhash64(F.lit("url"), "url").alias("b")
     )
-    links = cut_lineage(links.distinct())
+    links = pairs.join(shared, "url").select(F.col("_key").alias("a"), F.col("least").alias("b"))
+    links = cut_lineage(links.filter("a != b").distinct())
     if links.isEmpty():
         return None
     return cut_lineage(
@@ -83,34 +88,27 @@ def _linked_names(named: DataFrame, products: DataFrame) -> DataFrame | None:
     )
 
 
-def _names(named: DataFrame, products: DataFrame, linked: DataFrame | None) -> DataFrame:
+def _names(seen: DataFrame, products: DataFrame, linked: DataFrame | None) -> DataFrame:
     """Per name and store: its stored product, first row, group, and whether the order can matter."""
-    url = F.xxhash64(F.when(F.col("url").isNotNull(), F.col("url")))
-    seen = named.groupBy(*NAME).agg(
-        F.min("seq").alias("_first"),
-        F.count("*").alias("_rows"),
-        F.count("url").alias("_with_url"),
-        F.count_if(F.col("url") == "").alias("_empty"),
-        F.min(F.when(F.col("url").isNotNull(), url)).alias("_least"),
-        F.max(F.when(F.col("url").isNotNull(), url)).alias("_most"),
+    by_name = seen.groupBy(*NAME).agg(
+        F.min("_first").alias("_first"),
+        F.count("*").alias("_urls"),  # no url counts as one of them
+        F.max("url").alias("_url"),
     )
     # (name, supermarket) is unique in the catalog.
     stored = products.groupBy(*NAME).agg(F.min(F.struct("id", "unit", "url")).alias("_stored"))
-    names = seen.join(stored, NAME, "left").withColumn("_key", _key())
+    names = by_name.join(stored, NAME, "left").withColumn("_key", _key())
     if linked is None:
         names = names.withColumn("_group", F.lit(None).cast("long"))
     else:
         names = names.join(linked, "_key", "left")
-    stored_url = F.col("_stored.url")
-    one_url = (
-        (F.col("_with_url") == F.col("_rows")) & (F.col("_empty") == 0)
-        & (F.col("_least") == F.col("_most"))
-        & (stored_url.isNull() | (F.xxhash64(stored_url) == F.col("_least")))
-    )
-    no_url = (F.col("_with_url") == 0) & stored_url.isNull()
+    url, stored_url = F.col("_url"), F.col("_stored.url")
+    fits = F.when(url.isNull(), stored_url.isNull()).otherwise(
+        (url != "") & (stored_url.isNull() | (stored_url == url))
+    )
     return names.select(
         *NAME, "_stored", "_first",
-        (F.col("_group").isNull() & (one_url | no_url)).alias("_settled"),
+        (F.col("_group").isNull() & (F.col("_urls") == 1) & fits).alias("_settled"),
         F.coalesce("_group", "_key").alias("_group"),
     )
 

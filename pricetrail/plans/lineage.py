@@ -1,12 +1,16 @@
 """Materialize an intermediate result in reliable shared storage."""
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint to the folder the cluster names; survives the loss of executors."""
+    """Write to the folder the cluster names and read again; survives the loss of executors.
+
+    A written table is computed once, where a checkpoint computes its last stage twice.
+    """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
@@ -16,4 +20,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
                 raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
             folder = tempfile.mkdtemp(prefix="checkpoints-")
         context.setCheckpointDir(folder)
-    return df.checkpoint()
+    where = f"{context.getCheckpointDir()}/{uuid.uuid4().hex}"
+    df.write.parquet(where)
+    return df.sparkSession.read.schema(df.schema).parquet(where)

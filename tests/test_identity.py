@@ -4,6 +4,7 @@ import random
 
 import pytest
 from helpers import day, products
+from pyspark.sql import functions as F
 
 from pricetrail.operators import identity, ingest
 from pricetrail.plans.components import connected_components
@@ -106,9 +107,9 @@ def test_order_is_kept_for_names_that_need_it_only(spark):
     """Names of one own url, or of none at all, are settled without a walk."""
     rows = [seen(k, f"N{k % 10}", "1 l", f"U{k % 10}" if k % 10 < 5 else None) for k in range(100, 160)]
     rows += [seen(900, "T", "1 l", "T1"), seen(901, "T", "2 l", "T2")]
-    df = observations(spark, rows)
+    seen_rows = observations(spark, rows).groupBy("name", "supermarket", "url").agg(F.min("seq").alias("_first"))
     stored = products(spark, [shop(1, "N0", "1 l", "U0"), shop(2, "N7", "1 l")])
-    names = identity._names(df, stored, identity._linked_names(df, stored)).collect()
+    names = identity._names(seen_rows, stored, identity._linked_names(seen_rows, stored)).collect()
     assert {r.name for r in names if not r._settled} == {"T"}
 
 
