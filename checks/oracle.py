@@ -576,7 +576,8 @@ SELECT * FROM (
     b.place_id AS other_place, levenshtein(a.match_key, b.match_key) AS distance,
     greatest(length(a.match_key), length(b.match_key)) AS longest
   FROM v_pool a JOIN v_pool b ON b.block = a.block AND a.store_rank = 1 AND b.store_rank > 1
-  WHERE a.unit_type IS NULL OR b.unit_type IS NULL OR a.unit_type = b.unit_type)
+    AND length(b.match_key) BETWEEN length(a.match_key) - 3 AND length(a.match_key) + 3
+    AND (a.unit_type IS NULL OR b.unit_type IS NULL OR a.unit_type = b.unit_type))
 WHERE distance <= 3 AND distance / longest < 0.2""")
 check("similar_pairs", "SELECT base_id, other_id, CAST(distance AS INT) AS distance FROM v_pairs")
 block("v_fuzzy", """
