@@ -20,7 +20,8 @@ _SEED = ", ".join(
 BLOCKS: dict[str, str] = {}
 # Blocks that compare all names or go row by row, or follow from that: evaluated once per statement.
 ONCE = (
-    "v_pool", "v_pairs", "v_fuzzy", "v_exact", "v_matches", "v_members", "v_observations",
+    "v_named", "v_keys", "v_key_firsts", "v_canonical", "v_latest", "v_pool", "v_pairs", "v_fuzzy",
+    "v_exact", "v_matches", "v_members", "v_observations",
     *(f"{name}{part}" for name in ("v_resolved", "v_fresh")
       for part in ("_met", "_reach", "_rows", "_start", "_steps", "")),
 )
