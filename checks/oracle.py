@@ -184,7 +184,8 @@ FROM (SELECT page_id, cards, unnest(range(1, len(cards) + 1)) AS pos
 block("v_cards", """
 SELECT *, p_partkey // 40 AS page, (p_partkey // 40) * 3 + s AS page_seq,
   CAST(p_partkey % 40 AS INT) AS card_pos,
-  name || CASE WHEN p_size % 5 = 0 THEN ' & co' ELSE '' END AS title,
+  name || CASE WHEN p_size % 5 = 0 THEN ' & co' ELSE '' END
+    || CASE WHEN s = 0 AND p_size % 6 = 1 THEN ' > groot' ELSE '' END AS title,
   CAST((p_partkey * 37 + s * 11) % 4900 + 20 AS DOUBLE) / 100 AS price,
   CASE WHEN p_size % 3 = 0 THEN CAST((p_partkey * 37 + s * 11) % 4900 + 70 AS DOUBLE) / 100 END
     AS original_price

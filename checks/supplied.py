@@ -141,6 +141,11 @@ _CARD_FIELDS = [
     """CASE p_size % 3 WHEN 0 THEN CAST((p_partkey * 37 + s * 11) % 4900 + 70 AS INT)
                        WHEN 1 THEN CAST((p_partkey * 37 + s * 11) % 4900 + 10 AS INT) END AS old""",
     "CASE WHEN p_size % 5 = 0 THEN ' &amp; co' ELSE '' END AS tail",
+    # What misleads a reader without a DOM: brackets in values, comments, articles inside cards, scripts.
+    "CASE WHEN p_size % 6 = 1 THEN ' > groot' ELSE '' END AS bracket",
+    "CASE WHEN p_size % 9 = 2 THEN '<!-- </div></article><span class=\"whole\">0</span> -->' ELSE '' END AS note",
+    """CASE WHEN p_size % 8 = 3 THEN '<article class="promo"><div><p>Nieuw</p></div></article>'
+            WHEN p_size % 8 = 4 THEN '<script>if (a < b) x = "</article>";</script>' ELSE '' END AS promo""",
 ]
 
 
@@ -153,8 +158,9 @@ def _cents(cents: str) -> str:
 
 
 _AH_CARD = f"""
-  '<article data-testid="product-card"><a href="/producten/product/' || id || '" title="Bekijk '
-  || name || tail || '"></a><div data-testid="price-amount"><div>nu</div><span class="x integer">'
+  '<article data-x="' || bracket || '" data-testid="product-card">' || promo
+  || '<a href="/producten/product/' || id || '" title="Bekijk '
+  || name || tail || bracket || '"></a><div data-testid="price-amount">' || note || '<div>nu</div><span class="x integer">'
   || {_euros("cents")} || '</span><span class="x fractional">' || {_cents("cents")}
   || '</span></div>' || CASE WHEN p_size % 7 = 0
       THEN '<div data-testid="product-shield"><div>-</div><b>Bonus</b></div>' ELSE '' END
@@ -162,23 +168,24 @@ _AH_CARD = f"""
               || '</span>', '')
   || coalesce('<span data-testid="product-unit-size"><span></span>' || unit || '</span>', '') || '</article>'"""
 _JUMBO_CARD = f"""
-  '<article class="card product-container"><h3><a class="title-link" href="/p/' || id || '">'
-  || name || tail || '</a></h3>'
+  '<article title="' || bracket || '" class="card product-container">' || promo
+  || '<h3><a title="' || bracket || '" class="title-link" href="/p/' || id || '">'
+  || name || tail || note || '</a></h3>'
   || coalesce('<div class="old-price"><div>was</div><span class="whole">' || {_euros("old")}
               || '</span><span class="fractional">' || {_cents("old")} || '</span></div>', '')
   || CASE WHEN p_size % 2 = 0 THEN '' ELSE
        coalesce('<span class="jum-card-subtitle"><span> </span>' || unit || ' </span>', '') END
-  || '<div class="current-price"><div><div></div>nu</div><span class="whole">' || {_euros("cents")}
+  || '<div class="current-price">' || note || '<div><div></div>nu</div><span class="whole">' || {_euros("cents")}
   || '</span><span class="fractional">' || {_cents("cents")} || '</span></div></article>'"""
 _DIRK_CARD = f"""
-  '<article data-product-id="' || id || '"><a class="bottom" href="/p/' || id
-  || '"><p class="title">' || name || tail || '</p>'
+  '<article title="' || bracket || '" data-product-id="' || id || '">' || promo
+  || '<a class="bottom" href="/p/' || id || '"><p class="title">' || name || tail || note || '</p>'
   || coalesce('<span class="subtitle"><span></span>' || unit || '</span>', '') || '</a>'
   || CASE WHEN p_size % 4 = 1 THEN '<div class="logos"><div></div><img src="l.png" alt="1 de Beste"></div>'
      ELSE '' END
   || coalesce('<div class="old-price"><div></div><span class="price-large">' || {_euros("old")}
               || '</span><span class="price-small">' || {_cents("old")} || '</span></div>', '')
-  || '<div class="price-container"><div>nu</div><div class="price"><div></div>' || CASE WHEN cents < 100
+  || '<div class="price-container">' || note || '<div>nu</div><div class="price"><div></div>' || CASE WHEN cents < 100
       THEN '<span class="price-large">' || cents || '</span>'
       ELSE '<span class="hasEuros price-large">' || {_euros("cents")}
            || '</span><span class="price-small">' || {_cents("cents")} || '</span>' END

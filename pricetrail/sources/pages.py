@@ -1,6 +1,9 @@
 """Captured store pages -> product cards -> observations, all in Spark SQL expressions.
 
-Pages hold serialized DOM (double-quoted attributes), as a browser's outerHTML gives it.
+Pages hold serialized DOM (double-quoted attributes), as a browser's outerHTML gives it. A page is read as
+tokens first: comments, scripts and styles go, and angle brackets inside attribute values are written by
+name; from then on every bracket left is that of a tag. Cards and elements reach to their own end tag,
+whatever elements of their kind are inside.
 """
 
 import re
@@ -38,6 +41,37 @@ _TITLE_PIECE = r"(?i)(?<!\w)per\s+stuk(?!\w)"
 _LEADING_NUMBER = r"^\s*([+-]?(?:\d+\.?\d*|\.\d+))"
 
 
+# ---- tokens ---------------------------------------------------------------------------------
+
+# A comment, a script or style with its text, a tag with its quoted values, text, or a bracket alone.
+_TOKEN = (
+    r"(?s)<!--.*?(?:-->|\z)|<(script|style)[\s>].*?(?:</\1\s*>|\z)"
+    r"""|</?[A-Za-z](?:[^"'>]++|"[^"]*+"|'[^']*+')*+>|[^<]++|<"""
+)
+_UNSEEN = r"^<(?:!--|script[\s>]|style[\s>])"
+# Pages without any of these are their own tokens.
+_NEEDS_TOKENS = r"""<(?:!--|script[\s>]|style[\s>])|=(?:"[^"<>]*[<>]|'[^'<>]*[<>])|<(?![A-Za-z/!])"""
+
+
+def plain_tags(html: Column) -> Column:
+    """The page with brackets at the ends of tags only, without comments, scripts and styles."""
+
+    def token(t: Column) -> Column:
+        inner = F.substring(t, 2, F.length(t) - 2)
+        named = F.replace(F.replace(inner, F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+        odd = F.contains(inner, F.lit(">")) | F.contains(inner, F.lit("<"))
+        return (
+            F.when(~F.startswith(t, F.lit("<")), t)
+            .when(t == "<", "&lt;")
+            .when(t.rlike(_UNSEEN), "")
+            .when(odd, F.concat(F.lit("<"), named, F.lit(">")))
+            .otherwise(t)
+        )
+
+    tokens = F.transform(F.regexp_extract_all(html, F.lit(_TOKEN), 0), token)
+    return F.when(html.rlike(_NEEDS_TOKENS), F.array_join(tokens, "")).otherwise(html)
+
+
 # ---- elements -------------------------------------------------------------------------------
 
 
@@ -83,8 +117,13 @@ def _balanced(rest: Column, name: Column) -> Column:
     """What stands before the end tag of the element `name` that `rest` is in."""
     # A mark in front, so that the first piece is never a tag; every other one opens with a start or
     # an end tag of that name.
-    tags = F.concat(F.lit("(?=</?"), name, F.lit(r"\b)"))
+    tags = F.concat(F.lit("(?=</?"), name, F.lit(r"[\s/>])"))
     pieces = F.split(F.concat(F.lit("|"), rest), tags)
+    return F.substring(_up_to_own_end(pieces), 2, 1 << 30)
+
+
+def _up_to_own_end(pieces: Column) -> Column:
+    """Pieces that each open with a start or end tag of one name, joined while inside the element."""
 
     def step(state: Column, piece: Column) -> Column:
         change = F.when(F.startswith(piece, F.lit("</")), -1).when(
@@ -99,7 +138,7 @@ def _balanced(rest: Column, name: Column) -> Column:
         )
 
     start = F.struct(F.lit(1).alias("depth"), F.lit("").alias("text"))
-    return F.aggregate(pieces, start, step, lambda end: F.substring(end["text"], 2, 1 << 30))
+    return F.aggregate(pieces, start, step, lambda end: end["text"])
 
 
 def _without_tags(html: Column) -> Column:
@@ -148,14 +187,41 @@ def _nonempty(text: Column) -> Column:
 # ---- shared rules ---------------------------------------------------------------------------
 
 
-def explode_cards(pages: DataFrame, layout: str | None) -> DataFrame:
-    """One row per product card of a page: `card_pos` and inner `card` HTML."""
+def _cards(html: Column, marked: Callable[[Column], Column]) -> Column:
+    """Inner HTML of all articles that are `marked` by their start tag, in page order."""
+
+    def inner(pieces: Column, i: Column) -> Column:
+        piece, after = F.get(pieces, i), F.get(pieces, i + 1)
+        own = F.substring(piece, F.locate(">", piece) + 1, F.length(piece))
+        rest = F.slice(pieces, i + 2, F.size(pieces))
+        # Nearly always the next article tag is the card's own end.
+        return F.when(F.coalesce(F.startswith(after, F.lit("</")), F.lit(True)), own).otherwise(
+            F.concat(own, _up_to_own_end(rest))
+        )
+
+    def cards(pieces: Column) -> Column:
+        every = F.sequence(F.lit(0), F.size(pieces) - 1)
+        starts = F.filter(every, lambda i: marked(F.get(pieces, i)))
+        return F.transform(starts, lambda i: inner(pieces, i))
+
+    # A mark in front, so that the first piece is never a tag.
+    page = F.concat(F.lit("|"), plain_tags(html))
+    return _once(F.split(page, r"(?=</?article[\s/>])"), cards)
+
+
+def _marked(layout: str | None) -> Callable[[Column], Column]:
     mark = CARD_MARKS[layout]
-    condition = "" if mark is None else rf"[^>]*?\s{mark}"
-    pattern = rf"(?s)<article\b{condition}[^>]*>(.*?)</article>"
-    cards = F.regexp_extract_all("html", F.lit(pattern), 1)
+    return lambda piece: piece.rlike("^<article" + ("" if mark is None else rf"\s(?:[^>]*?\s)?{mark}"))
+
+
+def explode_cards(pages: DataFrame, layout: str | None) -> DataFrame:
+    """One row per product card of a page: `card_pos` and inner `card` HTML.
+
+    A card inside a card counts by itself too.
+    """
     return pages.select(
-        *(c for c in pages.columns if c != "html"), F.posexplode(cards).alias("card_pos", "card")
+        *(c for c in pages.columns if c != "html"),
+        F.posexplode(_cards(F.col("html"), _marked(layout))).alias("card_pos", "card"),
     )
 
 
@@ -190,14 +256,14 @@ def unit_from_title(name: Column) -> Column:
     )
 
 
-def infer_sale(offers: DataFrame, store: str) -> DataFrame:
-    """Set `original_price` and `is_sale` from `old_price` and, for one store, `badge`.
+def infer_sale(offers: DataFrame, store: str | None = None) -> DataFrame:
+    """Set `original_price` and `is_sale` from `old_price` and, where a store has one, `badge`.
 
     An old price counts only when it is above the price.
     """
     original = F.when(F.col("old_price") > F.col("price"), F.col("old_price"))
     sale = original.isNotNull()
-    if store == "ah":
+    if store in ("ah", None):
         badge = F.lower("badge")
         for text in SALE_BADGES:
             sale = sale | F.coalesce(F.contains(badge, F.lit(text)), F.lit(False))
@@ -217,30 +283,50 @@ def _complete(offers: DataFrame, keep: bool = True) -> DataFrame:
 # ---- layouts --------------------------------------------------------------------------------
 
 
-def extract_offers_ah(cards: DataFrame, complete: bool = True) -> DataFrame:
-    card = F.col("card")
-    link = _start_tag(card, _contains("href", "/producten/product/"), "a")
-    price = _inner(card, _has("data-testid", "price-amount"))
-    old = F.regexp_replace(_digits(card, _has("data-testid", "price-was"), r"\w+"), r"[^\d.,]", "")
-    offers = cards.withColumns({"_link": link, "_price": price}).select(
-        *_page_columns(cards),
-        F.regexp_replace(_attribute(F.col("_link"), "title"), f"^Bekijk[{SPACES}]+", "")
-        .alias("name"),
-        absolute_url(_attribute(F.col("_link"), "href"), "ah").alias("link"),
-        _amount(
-            _digits(F.col("_price"), _contains("class", "integer")),
-            _digits(F.col("_price"), _contains("class", "fractional")),
-        ).alias("price"),
-        _leading_number(F.regexp_replace(old, r"^([^,]*),", "$1.")).alias("old_price"),
-        _text(card, _has("data-testid", "product-shield")).alias("badge"),
-        _nonempty(_text(card, _has("data-testid", "product-unit-size"))).alias("unit"),
+def _offer(
+    name: Column,
+    href: Column,
+    store: str,
+    price: Column,
+    old_price: Column,
+    unit: Column,
+    badge: Column | None = None,
+    logo: Column | None = None,
+) -> Column:
+    """What a layout gives of a card; the same fields for all."""
+    none = F.lit(None).cast("string")
+    return F.struct(
+        name.alias("name"), absolute_url(href, store).alias("link"), price.alias("price"),
+        old_price.alias("old_price"), unit.alias("unit"),
+        (none if badge is None else badge).alias("badge"),
+        (none if logo is None else logo).alias("logo"),
     )
-    offers = offers.withColumn("brand", infer_brand(F.col("name"), "ah"))
-    return infer_sale(_complete(offers, complete), "ah")
 
 
-def extract_offers_jumbo(cards: DataFrame, complete: bool = True) -> DataFrame:
-    card = F.col("card")
+def _offer_ah(card: Column) -> Column:
+    def offer(part: Column) -> Column:
+        old = F.regexp_replace(part["old"], r"[^\d.,]", "")
+        return _offer(
+            F.regexp_replace(_attribute(part["link"], "title"), f"^Bekijk[{SPACES}]+", ""),
+            _attribute(part["link"], "href"), "ah",
+            _amount(
+                _digits(part["price"], _contains("class", "integer")),
+                _digits(part["price"], _contains("class", "fractional")),
+            ),
+            _leading_number(F.regexp_replace(old, r"^([^,]*),", "$1.")),
+            _nonempty(_text(card, _has("data-testid", "product-unit-size"))),
+            badge=_text(card, _has("data-testid", "product-shield")),
+        )
+
+    parts = F.struct(
+        _start_tag(card, _contains("href", "/producten/product/"), "a").alias("link"),
+        _inner(card, _has("data-testid", "price-amount")).alias("price"),
+        _digits(card, _has("data-testid", "price-was"), r"\w+").alias("old"),
+    )
+    return _once(parts, offer)
+
+
+def _offer_jumbo(card: Column) -> Column:
     title = _has_class("title-link")
     units = [
         _text(card, condition)
@@ -251,83 +337,100 @@ def extract_offers_jumbo(cards: DataFrame, complete: bool = True) -> DataFrame:
             _contains("class", "subtitle"),
         )
     ]
-    staged = cards.withColumns(
-        {
-            "_price": _inner(card, _has_class("current-price")),
-            "_old": _inner(card, _has_class("old-price")),
-        }
+
+    def amount(box: Column) -> Column:
+        return _amount(_digits(box, _has_class("whole")), _digits(box, _has_class("fractional")))
+
+    def offer(part: Column) -> Column:
+        return _offer(
+            _text(card, title, "a"), _attribute(_start_tag(card, title, "a"), "href"), "jumbo",
+            amount(part["price"]), amount(part["old"]), F.coalesce(*map(_nonempty, units)),
+        )
+
+    parts = F.struct(
+        _inner(card, _has_class("current-price")).alias("price"),
+        _inner(card, _has_class("old-price")).alias("old"),
     )
+    return _once(parts, offer)
+
+
+def _offer_dirk(card: Column) -> Column:
+    def boxes(part: Column) -> Column:
+        return F.struct(
+            part["link"].alias("link"), part["old"].alias("old"), part["logos"].alias("logos"),
+            _start_tag(part["price"], _has_class("price-large"), "span").alias("large_tag"),
+            _digits(part["price"], _has_class("price-large")).alias("large"),
+            _digits(part["price"], _has_class("price-small")).alias("small"),
+        )
 
-    def amount(box: str) -> Column:
-        return _amount(
-            _digits(F.col(box), _has_class("whole")),
-            _digits(F.col(box), _has_class("fractional")),
+    def offer(box: Column) -> Column:
+        cents = _nonempty(F.regexp_extract(box["large"], r"^([+-]?\d+)", 1)).cast("double") / 100.0
+        old_euros = F.coalesce(
+            _nonempty(_digits(box["old"], _has_class("price-large"))),
+            _digits(box["old"], _has_class("hasEuros")),
         )
+        return _offer(
+            _text(card, _has_class("title"), "p"), _attribute(box["link"], "href"), "dirk",
+            # Below one euro a store shows cents only, and marks larger prices as having euros.
+            F.when(box["large_tag"].rlike(_has_class("hasEuros")), _amount(box["large"], box["small"]))
+            .otherwise(cents),
+            _amount(old_euros, _digits(box["old"], _has_class("price-small"))),
+            _nonempty(_text(card, _has_class("subtitle"), "span")),
+            logo=_attribute(_start_tag(box["logos"], r'\salt="[^"]*"', "img"), "alt"),
+        )
 
-    offers = staged.select(
-        *_page_columns(cards),
-        _text(card, title, "a").alias("name"),
-        absolute_url(_attribute(_start_tag(card, title, "a"), "href"), "jumbo").alias("link"),
-        amount("_price").alias("price"),
-        amount("_old").alias("old_price"),
-        F.coalesce(*map(_nonempty, units)).alias("_unit"),
-    )
-    offers = (
-        offers.withColumn("unit", F.coalesce("_unit", unit_from_title(F.col("name"))))
-        .withColumn("brand", infer_brand(F.col("name"), "jumbo"))
-        .drop("_unit")
+    parts = F.struct(
+        F.coalesce(
+            _nonempty(_start_tag(card, _has_class("bottom"), "a")),
+            _start_tag(card, _has_class("top"), "a"),
+        ).alias("link"),
+        F.coalesce(
+            _nonempty(_inner(card, _has_class("old-price"))), _inner(card, _has_class("from-price"))
+        ).alias("old"),
+        _inner(_inner(card, _has_class("price-container")), _has_class("price")).alias("price"),
+        _inner(card, _has_class("logos")).alias("logos"),
     )
-    return infer_sale(_complete(offers, complete), "jumbo")
+    return _once(_once(parts, boxes), offer)
+
+
+_OFFER = {"ah": _offer_ah, "jumbo": _offer_jumbo, "dirk": _offer_dirk}
+
+
+def _by_store(store: Column, of: Callable[[str], Column]) -> Column:
+    """What `of` gives for the store of the row; only that branch is computed."""
+    first, *others = _OFFER
+    out = F.when(store == first, of(first))
+    for name in others:
+        out = out.when(store == name, of(name))
+    return out
+
+
+def _finished(offers: DataFrame, store: Column, complete: bool) -> DataFrame:
+    """Brand, unit and sale of extracted offers."""
+    unit = F.when(store == "jumbo", unit_from_title(F.col("name")))
+    brand = _by_store(store, lambda name: infer_brand(F.col("name"), name, F.col("logo")))
+    offers = offers.withColumns({"unit": F.coalesce("unit", unit), "brand": brand}).drop("logo")
+    return infer_sale(_complete(offers, complete))
+
+
+def _extract(cards: DataFrame, store: str, complete: bool) -> DataFrame:
+    # A generator, so that no filter above it computes the offer once more.
+    offers = cards.select(
+        *_page_columns(cards), F.explode(F.array(_OFFER[store](F.col("card")))).alias("_offer")
+    ).select(*_page_columns(cards), "_offer.*")
+    return _finished(offers, F.lit(store), complete)
+
+
+def extract_offers_ah(cards: DataFrame, complete: bool = True) -> DataFrame:
+    return _extract(cards, "ah", complete)
+
+
+def extract_offers_jumbo(cards: DataFrame, complete: bool = True) -> DataFrame:
+    return _extract(cards, "jumbo", complete)
 
 
 def extract_offers_dirk(cards: DataFrame, complete: bool = True) -> DataFrame:
-    card = F.col("card")
-    link = F.coalesce(
-        _nonempty(_start_tag(card, _has_class("bottom"), "a")),
-        _start_tag(card, _has_class("top"), "a"),
-    )
-    old = F.coalesce(
-        _nonempty(_inner(card, _has_class("old-price"))), _inner(card, _has_class("from-price"))
-    )
-    staged = cards.withColumns(
-        {
-            "_link": link,
-            "_old": old,
-            "_box": _inner(card, _has_class("price-container")),
-            "_logos": _inner(card, _has_class("logos")),
-        }
-    )
-    staged = staged.withColumn("_price", _inner(F.col("_box"), _has_class("price")))
-    staged = staged.withColumns(
-        {
-            "_large_tag": _start_tag(F.col("_price"), _has_class("price-large"), "span"),
-            "_large": _digits(F.col("_price"), _has_class("price-large")),
-            "_small": _digits(F.col("_price"), _has_class("price-small")),
-        }
-    )
-    euros = _amount(F.col("_large"), F.col("_small"))
-    cents = _nonempty(F.regexp_extract("_large", r"^([+-]?\d+)", 1)).cast("double") / 100.0
-    has_euros = F.col("_large_tag").rlike(_has_class("hasEuros"))
-    old_euros = F.coalesce(
-        _nonempty(_digits(F.col("_old"), _has_class("price-large"))),
-        _digits(F.col("_old"), _has_class("hasEuros")),
-    )
-    logo = _start_tag(F.col("_logos"), r'\salt="[^"]*"', "img")
-    offers = staged.select(
-        *_page_columns(cards),
-        _text(card, _has_class("title"), "p").alias("name"),
-        absolute_url(_attribute(F.col("_link"), "href"), "dirk").alias("link"),
-        # Below one euro a store shows cents only, and marks larger prices as having euros.
-        F.when(has_euros, euros).otherwise(cents).alias("price"),
-        _amount(old_euros, _digits(F.col("_old"), _has_class("price-small")))
-        .alias("old_price"),
-        _nonempty(_text(card, _has_class("subtitle"), "span")).alias("unit"),
-        _attribute(logo, "alt").alias("_logo"),
-    )
-    offers = offers.withColumn("brand", infer_brand(F.col("name"), "dirk", F.col("_logo"))).drop(
-        "_logo"
-    )
-    return infer_sale(_complete(offers, complete), "dirk")
+    return _extract(cards, "dirk", complete)
 
 
 def _page_columns(cards: DataFrame) -> list[str]:
@@ -340,7 +443,7 @@ EXTRACTORS = {
     "dirk": extract_offers_dirk,
 }
 
-# This spaces the arrival numbers of two pages; a page with more cards is an error.
+# This spaces the arrival numbers of two pages; cards beyond it are rejects.
 CARDS_PER_PAGE = 100_000
 
 
@@ -359,30 +462,42 @@ def attach_category(pages: DataFrame, paths: DataFrame) -> DataFrame:
     )
 
 
+def _all_offers(pages: DataFrame, complete: bool) -> DataFrame:
+    """Offers of all known stores' pages, each by its layout, in one scan of the pages."""
+    store = F.col("supermarket")
+
+    def marked(piece: Column) -> Column:
+        return _by_store(store, lambda name: _marked(name)(piece))
+
+    def offer(card: Column) -> Column:
+        return _by_store(store, lambda name: _OFFER[name](card))
+
+    columns = [c for c in pages.columns if c != "html"]
+    offers = F.transform(_cards(F.col("html"), marked), offer)
+    found = pages.filter(store.isin(*_OFFER)).select(
+        *columns, F.posexplode(offers).alias("card_pos", "_offer")
+    )
+    return _finished(found.select(*columns, "card_pos", "_offer.*"), store, complete)
+
+
 def extract_observations(pages: DataFrame) -> DataFrame:
     """Observations of all stores' pages, numbered by page and place on the page."""
-    result = None
-    for store, extract in EXTRACTORS.items():
-        cards = explode_cards(pages.filter(F.col("supermarket") == store), store)
-        offers = extract(cards).select(
-            F.when(
-                F.col("card_pos") < CARDS_PER_PAGE,
-                F.col("page_seq") * CARDS_PER_PAGE + F.col("card_pos"),
-            )
-            .otherwise(F.raise_error(F.lit("a page holds more cards than it has numbers")))
-            .alias("seq"),
+    return (
+        _all_offers(pages, complete=True)
+        .filter(F.col("card_pos") < CARDS_PER_PAGE)
+        .select(
+            (F.col("page_seq") * CARDS_PER_PAGE + F.col("card_pos")).alias("seq"),
             F.col("captured_at").alias("scraped_at"),
             "supermarket", "category", "name", "brand", "unit", F.col("link").alias("url"),
             "price", "original_price", "is_sale",
-        )
-        result = offers if result is None else result.unionByName(offers)
-    return result
+        )
+    )
 
 
 def rejected_cards(pages: DataFrame) -> DataFrame:
-    """What extract_observations leaves out: cards without name or price, pages of unknown stores.
+    """What extract_observations leaves out: pages of unknown stores, cards without name or price.
 
-    `card_pos` and `name` are NULL for a page.
+    `card_pos` and `name` are NULL for a page. Cards beyond the numbers of a page are rejects too.
     """
     unknown = pages.filter(
         F.col("supermarket").isNull() | ~F.col("supermarket").isin(*EXTRACTORS)
@@ -390,12 +505,12 @@ def rejected_cards(pages: DataFrame) -> DataFrame:
         "page_seq", "supermarket", F.lit(None).cast("int").alias("card_pos"),
         F.lit(None).cast("string").alias("name"), F.lit("unknown_store").alias("reason"),
     )
-    for store, extract in EXTRACTORS.items():
-        cards = explode_cards(pages.filter(F.col("supermarket") == store), store)
-        reason = F.when(F.col("name") == "", "name_missing").otherwise("price_missing")
-        unknown = unknown.unionByName(
-            extract(cards, complete=False).select(
-                "page_seq", "supermarket", "card_pos", "name", reason.alias("reason")
-            )
-        )
-    return unknown
+    reason = F.when(F.col("name") == "", "name_missing").otherwise("price_missing")
+    cards = _all_offers(pages, complete=False).select(
+        "page_seq", "supermarket", "card_pos", "name", reason.alias("reason")
+    )
+    beyond = _all_offers(pages, complete=True).filter(F.col("card_pos") >= CARDS_PER_PAGE)
+    late = beyond.select(
+        "page_seq", "supermarket", "card_pos", "name", F.lit("beyond_numbers").alias("reason")
+    )
+    return unknown.unionByName(cards).unionByName(late)

@@ -137,3 +137,69 @@ def test_elements_hold_all_their_descendants(spark):
     rejects = {(r.page_seq, r.card_pos, r.name, r.reason) for r in pg.rejected_cards(df).collect()}
     assert rejects == {(3, None, None, "unknown_store"), (4, None, None, "unknown_store"),
                        (9, 3, "Zonder prijs", "price_missing")}
+
+
+def odd_pages():
+    """Cards as a DOM sees them, where brackets in values, comments and cards inside cards mislead."""
+    note = "<!-- </div></article> <span class='whole'>9</span> -->"
+    promo = '<article class="promo"><div><p class="note">Nieuw</p></div></article>'
+    script = '<script>if (a < b) { x = "</article>"; }</script>'
+    return {
+        "ah": f"""<article data-label="1 > 0" data-testid="product-card">{promo}{script}
+<a href="/producten/product/1" title="Bekijk Melk > 1L"></a><div data-testid="price-amount">{note}
+<span class="integer">1</span><span class="fractional">45</span></div>
+<span data-testid="product-unit-size" data-x="a<b">1 l</span></article>
+<article data-testid="product-card"><a href="/producten/product/2" title="Bekijk Kaas"></a>
+<article data-testid="product-card"><a href="/producten/product/3" title="Bekijk Boter"></a>
+<div data-testid="price-amount"><span class="integer">3</span><span class="fractional">00</span></div></article>
+</article>""",
+        "jumbo": f"""<article aria-label="x > y" class="product-container">{promo}{note}
+<a title="2 > 1" class="title-link" href="/p/2">Cola {note}&gt; zero</a>{script}<div class="current-price">{note}
+<span class="whole" data-v="<b>">3</span><span class="fractional">49</span></div></article>""",
+        "dirk": f"""<article title="a>b" data-product-id="3">{promo}<a class="bottom" href="/p/3">
+<p title="<p>" class="title">Peer{note}</p></a><div class="price-container">{note}<div class="price">{note}
+<span class="hasEuros price-large">5</span><span class="price-small">25</span></div></div></article>""",
+    }
+
+
+def test_cards_are_read_as_tokens(spark):
+    rows = [(k, "u", store, html) for k, (store, html) in enumerate(odd_pages().items())]
+    df = spark.createDataFrame(rows, "page_seq long, url string, supermarket string, html string")
+    df = df.withColumns({"captured_at": F.lit("2026-03-11 06:00:00").cast("timestamp_ntz"),
+                         "category": F.lit("c")})
+    got = {r.name: (r.price, r.unit, r.url, r.seq) for r in pg.extract_observations(df).collect()}
+    site = {s: f"https://www.{s}.{'com' if s == 'jumbo' else 'nl'}" for s in ("ah", "jumbo", "dirk")}
+    assert got == {
+        "Melk > 1L": (1.45, "1 l", site["ah"] + "/producten/product/1", 0),
+        # The outer card's first price box is that of the card inside it, as in a DOM.
+        "Kaas": (3.0, None, site["ah"] + "/producten/product/2", 1),
+        "Boter": (3.0, None, site["ah"] + "/producten/product/3", 2),
+        "Cola > zero": (3.49, None, site["jumbo"] + "/p/2", 100_000),
+        "Peer": (5.25, None, site["dirk"] + "/p/3", 200_000),
+    }
+    cards = pg.explode_cards(df.filter("supermarket = 'ah'"), "ah")
+    assert [r.card_pos for r in cards.orderBy("card_pos").collect()] == [0, 1, 2]
+    assert pg.explode_cards(df, None).count() == 4 + 2 + 2
+
+
+def test_plain_tags(spark):
+    texts = {
+        '<a title="1 > 0">x</a>': '<a title="1 &gt; 0">x</a>',
+        "a<!-- <b> -->c<!-- open <i>": "ac",
+        '<p>1 < 2</p><style>p > a {}</style><script src="x">a < b': "<p>1 &lt; 2</p>",
+        "plain <b>text</b>": "plain <b>text</b>",
+        "": "",
+    }
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = [r.p for r in df.orderBy("i").select(pg.plain_tags(F.col("t")).alias("p")).collect()]
+    assert got == list(texts.values())
+
+
+def test_one_scan(spark):
+    path = "/root/testdata/sf0.001/pages.parquet"
+    df = spark.read.parquet(path).selectExpr(
+        "page_id AS page_seq", "url", "'ah' AS supermarket", "html", "'c' AS category",
+        "TIMESTAMP_NTZ'2026-03-11 06:00:00' AS captured_at",
+    )
+    plan = pg.extract_observations(df)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1
