@@ -147,80 +147,89 @@ def _piece_bounds(length: Column, edits: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), edits), bounds)
 
 
-def _cut(text: str, start: Column, edits: str) -> list[Column]:
-    """Take a piece out of `text`; what follows it (or, at the end, precedes it) is `rest`.
+def _rest(text: Column, start: Column, size: Column, is_last: Column) -> Column:
+    """What follows a piece; at the end, what precedes it."""
+    return F.when(is_last, F.substring(text, F.lit(1), start)).otherwise(
+        F.substring(text, start + size + 1, F.length(text))
+    )
+
+
+def _cut(start: Column) -> list[Column]:
+    """Take a piece out of `text`, and keep what a second piece is looked for in.
 
     With the piece unchanged and taken as the leftmost such piece, at most `edits - piece` edits
     fall after it; after the last piece there are none, so there the text before it is kept, with
-    at most `edits` edits.
+    at most `edits` edits. How long the base name's rest is follows from the piece's bounds alone.
     """
-    piece, size = F.col("p.piece"), F.col("p.size")
-    last = piece == F.col(edits)
-    after = F.substring(text, start + size + 1, F.length(text))
-    before = F.substring(text, F.lit(1), start)
+    text, edits, piece, size = F.col("text"), F.col("edits"), F.col("p.piece"), F.col("p.size")
+    last = piece == edits
+    base_rest = F.when(last, F.col("p.start")).otherwise(
+        F.col("base_length") - F.col("p.start") - size
+    )
     return [
-        piece.alias("piece"),
-        F.substring(text, start + 1, size).alias("piece_text"),
-        F.when(last, before).otherwise(after).alias("rest"),
-        F.when(last, F.col(edits)).otherwise(F.col(edits) - piece).alias("rest_edits"),
-    ]
+        F.col("product_id"),
+        F.xxhash64("first", "base_length", "edits", piece, F.substring(text, start + 1, size))
+        .alias("signature"),
+        _rest(text, start, size, last).alias("text"),
+        F.when(last, edits).otherwise(edits - piece).alias("edits"),
+        base_rest.cast("int").alias("base_length"),
+    ]
 
 
-def _cut_base(rows: DataFrame, text: str, edits: str) -> DataFrame:
-    """Cut `text` into edits + 1 pieces of even size, one row per piece."""
-    length = F.length(text)
-    pieces = rows.withColumn("p", F.explode(_piece_bounds(length, F.col(edits))))
-    return pieces.select(
-        *rows.columns, length.alias("base_length"), *_cut(text, F.col("p.start"), edits)
-    )
+def _cut_base(rows: DataFrame) -> DataFrame:
+    """Cut `text`, of `base_length`, into edits + 1 pieces of even size, one row per piece."""
+    bounds = _piece_bounds(F.col("base_length"), F.col("edits"))
+    return rows.withColumn("p", F.explode(bounds)).select(*_cut(F.col("p.start")))
 
 
-def _cut_probe(rows: DataFrame, text: str, edits: str) -> DataFrame:
+def _cut_probe(rows: DataFrame) -> DataFrame:
     """Cut out every text that may equal a piece of a base text of `base_length`.
 
     If at most `edits` edits lead from base to probe, one piece is unchanged; for the leftmost
     such piece at most `piece` edits come before it and at most `edits - piece` after it, which
     bounds how far it can have moved from either end.
     """
-    before, after = F.col("p.piece"), F.col(edits) - F.col("p.piece")
-    start, longer = F.col("p.start"), F.length(text) - F.col("base_length")
-    low = F.greatest(F.lit(0), start - before, start + longer - after)
-    high = F.least(F.length(text) - F.col("p.size"), start + before, start + longer + after)
-    pieces = rows.withColumn("p", F.explode(_piece_bounds(F.col("base_length"), F.col(edits))))
+    length, piece = F.length("text"), F.col("p.piece")
+    start, longer = F.col("p.start"), length - F.col("base_length")
+    after = F.col("edits") - piece
+    low = F.greatest(F.lit(0), start - piece, start + longer - after)
+    high = F.least(length - F.col("p.size"), start + piece, start + longer + after)
+    bounds = _piece_bounds(F.col("base_length"), F.col("edits"))
+    pieces = rows.filter(F.abs(longer) <= F.col("edits")).withColumn("p", F.explode(bounds))
     starts = pieces.withColumn(
         "_start", F.explode(F.when(low <= high, F.sequence(low, high)))
     )
-    return starts.select(*rows.columns, *_cut(text, F.col("_start"), edits))
+    return starts.select(*_cut(F.col("_start")))
 
 
 def _base_pieces(base: DataFrame) -> DataFrame:
     """Pieces of base names, for each number of edits their partners' lengths allow."""
-    length = F.length("match_key")
+    length = F.length("text")
     options = F.array_distinct(
         F.array(allowed_edits(length), allowed_edits(length + MAX_EDITS))
     )
-    rows = base.filter(length > 0).withColumn("edits", F.explode(options))
-    return _signed(_cut_base(rows, "match_key", "edits"))
+    return _cut_base(
+        _carriers(base).withColumn("base_length", length).withColumn("edits", F.explode(options))
+    )
 
 
 def _probe_pieces(others: DataFrame) -> DataFrame:
     """Texts of other names that may equal a piece, for each possible base length."""
-    length = F.length("match_key")
+    length = F.length("text")
     lengths = F.sequence(F.greatest(F.lit(1), length - MAX_EDITS), length + MAX_EDITS)
-    rows = (
-        others.filter(length > 0)
+    longest = F.greatest(length, F.col("base_length"))
+    return _cut_probe(
+        _carriers(others)
         .withColumn("base_length", F.explode(lengths))
-        .withColumn("edits", allowed_edits(F.greatest(length, F.col("base_length"))))
-        .filter(F.abs(length - F.col("base_length")) <= F.col("edits"))
+        .withColumn("edits", allowed_edits(longest))
     )
-    return _signed(_cut_probe(rows, "match_key", "edits"))
 
 
-def _signed(pieces: DataFrame) -> DataFrame:
-    # One number per (block, lengths, piece): a narrow join key. A collision only adds a pair
-    # that the distance check then drops.
-    return pieces.withColumn(
-        "signature", F.xxhash64("block", "base_length", "edits", "piece", "piece_text")
+def _carriers(names: DataFrame) -> DataFrame:
+    """What is cut: the name's text and its block as a number. A collision of signatures only adds
+    a pair that the check of the names drops."""
+    return names.filter(F.length("match_key") > 0).select(
+        "product_id", F.xxhash64("block").alias("first"), F.col("match_key").alias("text")
     )
 
 
@@ -236,37 +245,18 @@ def _dense_signatures(base: DataFrame, probes: DataFrame, limit: int) -> DataFra
     )
 
 
-def _refined(base: DataFrame, probes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Cut the rest of dense pieces once more, so that pairs must share a second piece."""
-    carried = [*_NAME_FIELDS, F.col("signature").alias("first"), F.col("rest").alias("text"),
-               F.col("rest_edits").alias("edits")]
-    b = _cut_base(base.select(*carried), "text", "edits")
-    length, edits = F.length("text"), F.col("edits")
-    lengths = F.sequence(F.greatest(F.lit(0), length - edits), length + edits)
-    o = probes.select(*carried).withColumn("base_length", F.explode(lengths))
-    o = _cut_probe(o, "text", "edits")
-    key = F.xxhash64("first", "base_length", "edits", "piece", "piece_text")
-    return b.withColumn("signature", key), o.withColumn("signature", key)
-
-
-_NAME_FIELDS = ["block", "match_key", "product_id", "unit_type", "place", "store_rank"]
-
-
 def similar_pairs(base: DataFrame, others: DataFrame, dense_pairs: int = DENSE_PAIRS) -> DataFrame:
-    """Pairs of names of one block within the allowed edit distance.
+    """Pairs of names of one block within the allowed edit distance, each once.
 
     Both frames have `block`, `match_key`, `product_id`, `unit_type`, `place`, `store_rank`.
     A name is cut into one piece more than edits are allowed, so two similar names share a piece:
     an equi-join on pieces finds every pair, without comparing all names of a block. Where very
     many names share a piece, they must share one more piece, by the same argument applied to the
-    rest of the name, and so on. A pair may appear more than once.
+    rest of the name, and so on. Only ids and numbers of pieces are joined; names come back for the
+    check, once for each pair.
     """
-    return _pairs(
-        _base_pieces(base.select(*_NAME_FIELDS)),
-        _probe_pieces(others.select(*_NAME_FIELDS)),
-        dense_pairs,
-        MAX_SHARED_PIECES,
-    )
+    pairs = _pairs(_base_pieces(base), _probe_pieces(others), dense_pairs, MAX_SHARED_PIECES)
+    return _verified(pairs.distinct(), base, others)
 
 
 def _pairs(base: DataFrame, probes: DataFrame, dense_pairs: int, rounds: int) -> DataFrame:
@@ -277,21 +267,30 @@ def _pairs(base: DataFrame, probes: DataFrame, dense_pairs: int, rounds: int) ->
     if dense.isEmpty():
         return _joined(base, probes)
     sparse = [side.join(dense, "signature", "left_anti") for side in (base, probes)]
-    common = [side.join(dense, "signature", "left_semi") for side in (base, probes)]
-    return _joined(*sparse).unionByName(_pairs(*_refined(*common), dense_pairs, rounds - 1))
+    common = [
+        # Equal rests of a name at other places need no second look.
+        side.join(dense, "signature", "left_semi").withColumnRenamed("signature", "first").distinct()
+        for side in (base, probes)
+    ]
+    refined = _cut_base(common[0]), _cut_probe(common[1])
+    return _joined(*sparse).unionByName(_pairs(*refined, dense_pairs, rounds - 1))
 
 
 def _joined(base: DataFrame, probes: DataFrame) -> DataFrame:
+    b = base.select("signature", F.col("product_id").alias("base_id"))
+    o = probes.select("signature", F.col("product_id").alias("other_id"))
+    return b.join(o, "signature").select("base_id", "other_id")
+
+
+def _verified(pairs: DataFrame, base: DataFrame, others: DataFrame) -> DataFrame:
     b = base.select(
-        "signature",
         "block",
         F.col("match_key").alias("base_key"),
         F.col("product_id").alias("base_id"),
         F.col("unit_type").alias("base_unit"),
         F.col("place").alias("base_place"),
     )
-    o = probes.select(
-        "signature",
+    o = others.select(
         F.col("block").alias("other_block"),
         F.col("match_key").alias("other_key"),
         F.col("product_id").alias("other_id"),
@@ -301,13 +300,13 @@ def _joined(base: DataFrame, probes: DataFrame) -> DataFrame:
     longest = F.greatest(F.length("base_key"), F.length("other_key"))
     distance = F.levenshtein("base_key", "other_key", MAX_EDITS)
     return (
-        b.join(o, "signature")
+        pairs.join(b, "base_id").join(o, "other_id")
         .filter(F.col("block") == F.col("other_block"))
         .filter(units_compatible(F.col("base_unit"), F.col("other_unit")))
-        .filter(distance.between(0, allowed_edits(longest)))
         .withColumn("distance", distance)
-        .drop("signature", "other_block", "base_unit", "other_unit")
-    )
+        .filter(F.col("distance").between(0, allowed_edits(longest)))
+        .drop("other_block", "base_unit", "other_unit")
+    )
 
 
 def match_fuzzy(pool: DataFrame, dense_pairs: int = DENSE_PAIRS) -> DataFrame:

@@ -192,3 +192,33 @@ def test_published_groups(groups):
     # By unit price ah is cheaper, although the table goes by price; units of dirk differ.
     assert (table[1].diff_pct, table[3].diff_pct) == (-50, 26)
     assert {r.cheapest_store for r in table.values()} == {"jumbo"}
+
+
+def test_names_with_one_long_prefix(spark):
+    """Dense pieces are refined on ids and numbers alone: few rows a name, and the same pairs."""
+    rng = random.Random(9)
+    prefix = "halfvolle biologische melk uit de wei "
+    rows = [
+        ("x", 1 + k % 3, prefix + "".join(rng.choices("abcd", k=5)) + str(k), k, None, ("", k))
+        for k in range(150)
+    ]
+    df = spark.createDataFrame(rows, POOL)
+    base, others = df.filter("store_rank = 1"), df.filter("store_rank > 1")
+    pairs = matching.similar_pairs(base, others, 20)
+    got = sorted((r.base_id, r.other_id, r.distance) for r in pairs.collect())
+    want = sorted(
+        (a[3], b[3], similar(a, b))
+        for a in rows for b in rows
+        if a[1] == 1 and b[1] > 1 and similar(a, b) is not None
+    )
+    assert want and got == want
+    b, o = matching._base_pieces(base), matching._probe_pieces(others)
+    for _ in range(matching.MAX_SHARED_PIECES - 1):
+        assert o.count() < 200 * others.count()
+        assert set(o.columns) == {"product_id", "signature", "text", "edits", "base_length"}
+        dense = matching._dense_signatures(b, o, 20)
+        b, o = (
+            side.join(dense, "signature", "left_semi").withColumnRenamed("signature", "first").distinct()
+            for side in (b, o)
+        )
+        b, o = matching._cut_base(b), matching._cut_probe(o)
