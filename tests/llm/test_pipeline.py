@@ -108,3 +108,16 @@ def test_odd_documents(spark):
     # Copies and near copies of document 6 go, one of the repeated rows of 12 stays.
     assert left[6] == 1 and left[7] == 0 and left[12] == 1 and left[None] == 2
     assert corpus_pipeline.STAGES[-1][1](spark, df, SF).count() == sum(left.values())
+
+
+def test_texts_of_one_id(spark):
+    """Different texts of an id all stay; of equal ones the row that is least in the other columns."""
+    text = " ".join(f"word{k}" for k in range(40))
+    rows = [(1, text, "en", "b", 1), (1, text, "en", "a", 1), (1, "quite another text of it", "en", "z", 1),
+            (2, text, "en", "a", 1), (3, None, "en", "a", 1), (3, None, "de", "a", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.drop_near_duplicates(spark, df.repartition(4), SF)
+    assert out.columns == df.columns
+    assert sorted(map(tuple, out.collect())) == [
+        (1, "quite another text of it", "en", "z", 1), (1, text, "en", "a", 1), (3, None, "de", "a", 1),
+    ]
