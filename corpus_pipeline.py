@@ -3,13 +3,15 @@
 Toxic documents go, one document of each group of near-duplicates stays, documents that contain a benchmark
 item go, secrets are blanked out, and what is left is encoded. Every stage but the last returns the columns
 of its input. Rows with null id go through the stages like others; they belong to no group that could name
-them, so near-duplicate removal and decontamination leave them in. Repeated rows of an id are copies: one
-of them stays after near-duplicate removal. Empty tables pass through as empty tables.
+them, so near-duplicate removal and decontamination leave them in. Repeated rows of an id and text are copies: the
+least of them stays after near-duplicate removal; different texts of an id that stays all stay. Empty
+tables pass through as empty tables.
 """
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from pricetrail.llm import byte_bpe, containment, secret_scan, simhash, toxicity
 from pricetrail.llm.common import WorkFolder, table
@@ -29,10 +31,12 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """Of each group of SimHash near-duplicates, the document with the smallest id stays."""
     groups = simhash.near_duplicates(docs, SIMHASH_WIDTH, SIMHASH_DISTANCE)
     kept = groups.where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
-    return named.join(kept, "doc_id", "left_semi").select(docs.columns).union(
-        docs.where("doc_id IS NULL")
-    )
+    known = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi")
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    one = known.groupBy("doc_id", "text").agg(F.min(F.struct(*others)).alias("_others"))
+    return one.select(
+        *(F.col(c if c in ("doc_id", "text") else f"_others.{c}") for c in docs.columns)
+    ).union(docs.where("doc_id IS NULL"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
