@@ -144,7 +144,8 @@ def publish_run(
 
 def export_run(products: DataFrame, prices: DataFrame, target: str, day: dt.date) -> None:
     """Write the full history as JSON (a dated and a latest copy) and as CSV."""
-    history = publish.export_history(products, prices)
+    # Both copies are written from one pass over the prices.
+    history = cut_lineage(publish.export_history(products, prices))
     order = ("supermarket", "category", "name", "id", "part")
     for name in (f"prices_{day.isoformat()}", "prices_latest"):
         write_json(history, f"{target}/{name}", order=order)
