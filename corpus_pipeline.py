@@ -30,13 +30,24 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of SimHash near-duplicates, the document with the smallest id stays."""
     groups = simhash.near_duplicates(docs, SIMHASH_WIDTH, SIMHASH_DISTANCE)
-    kept = groups.where("doc_id = component_id").select("doc_id").distinct()
-    known = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi")
+    ids = groups.groupBy("doc_id").agg(
+        F.bool_or(F.col("doc_id") == F.col("component_id")).alias("stays"), F.count("*").alias("n")
+    )
+    kept = WorkFolder(spark, "near-dedup").write(ids.where("stays"), "kept")
+    out = docs.join(kept.where("n = 1"), "doc_id", "left_semi").select(docs.columns)
+    out = out.union(docs.where("doc_id IS NULL"))
+    repeated = kept.where("n > 1")
+    if repeated.isEmpty():
+        return out
+    # Only rows of repeated ids are compared as texts.
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    one = known.groupBy("doc_id", "text").agg(F.min(F.struct(*others)).alias("_others"))
-    return one.select(
-        *(F.col(c if c in ("doc_id", "text") else f"_others.{c}") for c in docs.columns)
-    ).union(docs.where("doc_id IS NULL"))
+    one = (
+        docs.join(repeated, "doc_id", "left_semi")
+        .groupBy("doc_id", "text").agg(F.min(F.struct(*others)).alias("_others"))
+    )
+    return out.union(
+        one.select(*(F.col(c if c in ("doc_id", "text") else f"_others.{c}") for c in docs.columns))
+    )
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
