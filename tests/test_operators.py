@@ -252,7 +252,7 @@ def test_resolve_within_a_batch(spark):
     batch = observations(spark, [
         seen(1, "A", unit="1 l", url="u1"), seen(2, "A", unit="1 l", url="u1", price=2.0),
         seen(3, "B", url="u1"),  # another name under the same url
-        seen(4, "A", unit="1 l"),  # same name and unit
+        seen(4, "A", unit="1 l"),  # row 3 has taken the unit, and the url stands
         seen(5, "A", unit="2 l", url="u5"),  # duplicate name
         seen(6, "C"), seen(7, "C", url="u7", unit="x"),  # creator without url
         seen(8, "B", url="u8"), seen(9, "A", "jumbo", url="u9"),
@@ -260,11 +260,11 @@ def test_resolve_within_a_batch(spark):
     empty = products(spark, [])
     resolved = ingest.resolve_products(batch, empty)
     got = {r.seq: r.product_id for r in resolved.collect()}
-    assert got == {1: 1, 2: 1, 3: 1, 4: 1, 5: None, 6: 6, 7: 6, 8: 8, 9: 9}
+    assert got == {1: 1, 2: 1, 3: 1, 4: None, 5: None, 6: 6, 7: 6, 8: 8, 9: 9}
     catalog_after = {r.id: r for r in ingest.upsert_products(resolved, empty).collect()}
     assert set(catalog_after) == {1, 6, 8, 9}
-    # The last observation of product 1 has no url, and that overwrites.
-    assert (catalog_after[1].url, catalog_after[1].unit, catalog_after[1].name) == (None, "1 l", "A")
+    # The last observation of product 1 has no unit, and that overwrites; its name stays.
+    assert (catalog_after[1].url, catalog_after[1].unit, catalog_after[1].name) == ("u1", None, "A")
     assert (catalog_after[6].url, catalog_after[6].unit) == ("u7", "x")
 
 
