@@ -34,7 +34,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
         F.bool_or(F.col("doc_id") == F.col("component_id")).alias("stays"), F.count("*").alias("n")
     )
     kept = WorkFolder(spark, "near-dedup").write(ids.where("stays"), "kept")
-    out = docs.join(kept.where("n = 1"), "doc_id", "left_semi").select(docs.columns)
+    # One plan at every size, whether or not the ids would fit a broadcast.
+    single = kept.where("n = 1").hint("merge")
+    out = docs.join(single, "doc_id", "left_semi").select(docs.columns)
     out = out.union(docs.where("doc_id IS NULL"))
     repeated = kept.where("n > 1")
     if repeated.isEmpty():
