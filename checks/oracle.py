@@ -416,6 +416,15 @@ FROM (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY scraped_at D
 check("search", """
 SELECT id, name, supermarket, normalized_name, latest_price, is_sale, scraped_at FROM v_norm
 WHERE lower(name) LIKE '%bolt b_and%' ORDER BY supermarket, name, id LIMIT 50""")
+check("search_postings", """
+SELECT id, name, supermarket, normalized_name, latest_price, is_sale, scraped_at FROM v_norm
+WHERE lower(name) LIKE '%bolt b_and%' ORDER BY supermarket, name, id LIMIT 50""")
+check("posting_sizes", """
+SELECT gram, count(DISTINCT id) AS n
+FROM (SELECT id, substr(word, CAST(unnest(range(1, length(word) - 1)) AS INT), 3) AS gram
+      FROM (SELECT id, lower(name) AS word FROM v_norm
+            UNION ALL SELECT id, lower(normalized_name) FROM v_norm))
+GROUP BY gram""")
 check("search_store", """
 SELECT id, name, supermarket, latest_price, original_price FROM v_norm
 WHERE lower(name) LIKE '%gear%' AND supermarket = 'jumbo' ORDER BY supermarket, name, id LIMIT 30""")
@@ -426,6 +435,9 @@ FROM (SELECT *, normalized_name AS group_name FROM v_norm
 check("compare", """
 SELECT group_name, multi_store, id, supermarket, latest_price, unit_type, price_per_unit, is_sale
 FROM v_compared""")
+check("compare_postings", """
+SELECT group_name, multi_store, id, supermarket, latest_price, unit_type, price_per_unit, is_sale
+FROM v_compared""")
 check("rank_offers", """
 SELECT group_name, id, supermarket, latest_price, rn = 1 AS is_cheapest,
   CASE WHEN rn > 1 THEN CAST(floor((latest_price - cheapest) / cheapest * 100 + 0.5) AS BIGINT) END

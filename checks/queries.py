@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from checks import supplied as sup
 from pricetrail.functions import parse_unit, slugify, strip_trailing_unit
 from pricetrail.functions.units import parse_decimal, to_base_unit, unit_name
-from pricetrail.operators import catalog, changes, ingest, matching, normalize, publish
+from pricetrail.operators import catalog, changes, ingest, matching, normalize, postings, publish
 from pricetrail.plans.lineage import cut_lineage
 from pricetrail.sources import pages as pg
 from pricetrail.schemas import DERIVED_PRODUCT_COLUMNS
@@ -314,6 +314,33 @@ def compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _postings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, ...]:
+    """Catalog, prices, and the stored postings of all names with their sizes."""
+    products = sup.normalized_products(spark, sf_dir)
+    lists = cut_lineage(postings.by_gram(postings.name_postings(products)))
+    return products, sup.prices(spark, sf_dir), lists, postings.gram_sizes(lists)
+
+
+@query
+def search_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return postings.search(*_postings(spark, sf_dir), "bOlT b_AND").select(
+        "id", "name", "supermarket", "normalized_name", "latest_price", "is_sale", "scraped_at"
+    )
+
+
+@query
+def compare_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return postings.compare(*_postings(spark, sf_dir), "widget").select(
+        "group_name", "multi_store", "id", "supermarket", "latest_price", "unit_type",
+        "price_per_unit", "is_sale",
+    )
+
+
+@query
+def posting_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _postings(spark, sf_dir)[3]
+
+
 @query
 def rank_offers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.rank_offers(_compared(spark, sf_dir)).select(
