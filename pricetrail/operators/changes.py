@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from pricetrail.functions import exact_mean, moment_key, pct_change, round_half
 from pricetrail.operators.catalog import in_category, percent, with_canonical_category
+from pricetrail.plans.joins import join_large
 from pricetrail.schemas import STORES
 
 MOVER_FIELDS = (
@@ -65,7 +66,7 @@ def _report(
         changes = changes.filter(F.abs("pct") >= min_change)
     difference = F.col("latest_price") - F.col("first_price")
     return (
-        products.join(changes, "id")
+        join_large(products, changes, "id")
         .withColumn("pct_change", F.coalesce(round_half(F.col("pct"), 2), F.lit(0.0)))
         .withColumn("abs_change", round_half(difference, 2))
         .select(*MOVER_FIELDS)
@@ -151,7 +152,7 @@ def inflation_by_category(
         slim = in_category(slim, category_map, category)
     if changed is None:
         changed = changed_prices(prices, days, as_of)
-    changes = slim.join(changed, "id")
+    changes = join_large(slim, changed, "id")
     return (
         with_canonical_category(changes, category_map)
         .groupBy(F.col("canonical_category").alias("category"))
@@ -171,8 +172,7 @@ def inflation_by_store(
     if changed is None:
         changed = changed_prices(prices, days, as_of)
     return (
-        products.select("id", "supermarket")
-        .join(changed, "id")
+        join_large(products.select("id", "supermarket"), changed, "id")
         .groupBy("supermarket")
         .agg(*_inflation_measures(with_max=False))
         .orderBy(F.desc("avg_change_pct"), "supermarket")
@@ -196,25 +196,24 @@ def fake_sales(products: DataFrame, prices: DataFrame, min_sale_pct: float = 80.
         .withColumn("sale_pct", percent(F.col("sale_count"), F.col("total_prices"), 1))
         .filter((F.col("total_prices") >= 3) & (F.col("sale_pct") >= min_sale_pct))
     )
-    return (
-        products.select("id", "name", "supermarket", "category", "unit")
-        .join(permanent, "id")
-        .orderBy(F.desc("sale_pct"), F.desc("total_prices"), "id")
+    info = products.select("id", "name", "supermarket", "category", "unit")
+    return join_large(info, permanent, "id").orderBy(
+        F.desc("sale_pct"), F.desc("total_prices"), "id"
     )
 
 
 def shrinkflation(products: DataFrame, unit_changes: DataFrame) -> DataFrame:
     """Changes of the pack size text, newest first."""
     info = products.select(F.col("id").alias("product_id"), "name", "supermarket", "category")
-    return unit_changes.join(info, "product_id").orderBy(F.desc("detected_at"), "id")
+    return join_large(unit_changes, info, "product_id").orderBy(F.desc("detected_at"), "id")
 
 
 def price_index(products: DataFrame, prices: DataFrame) -> DataFrame:
     """Mean price and number of prices per day and store."""
     stores = products.select(F.col("id").alias("product_id"), "supermarket")
+    dated = prices.select("product_id", "price", F.to_date("scraped_at").alias("date"))
     return (
-        prices.select("product_id", "price", F.to_date("scraped_at").alias("date"))
-        .join(stores, "product_id")
+        join_large(dated, stores, "product_id")
         .groupBy("date", "supermarket")
         .agg(
             round_half(exact_mean(F.col("price")), 4).alias("avg_price"),

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from pricetrail.functions import missing
 from pricetrail.plans.components import connected_components
+from pricetrail.plans.joins import join_large
 from pricetrail.plans.lineage import cut_lineage
 
 NAME = ["name", "supermarket"]
@@ -39,14 +40,14 @@ def resolve(observations: DataFrame, products: DataFrame) -> DataFrame:
     names = cut_lineage(_names(seen, products, linked))
     stored, first = F.col("_stored"), F.col("_first")
     # Both joins read the same exchange of the observations.
-    settled = observations.join(names.filter("_settled"), NAME).select(
+    settled = join_large(observations, names.filter("_settled"), NAME).select(
         *observations.columns,
         F.coalesce(stored["id"], first).alias("product_id"),
         stored["unit"].alias("stored_unit"),
         (stored["id"].isNull() & (F.col("seq") == first)).alias("is_new"),
         F.lit(None).cast("string").alias("reason"),
     )
-    walked = observations.join(names.filter("NOT _settled").select(*NAME, "_group"), NAME)
+    walked = join_large(observations, names.filter("NOT _settled").select(*NAME, "_group"), NAME)
     in_order = _in_order(
         walked.select(*observations.columns, "_group"), _products_met(products, names, linked)
     )
@@ -97,11 +98,11 @@ def _names(seen: DataFrame, products: DataFrame, linked: DataFrame | None) -> Da
     )
     # (name, supermarket) is unique in the catalog.
     stored = products.groupBy(*NAME).agg(F.min(F.struct("id", "unit", "url")).alias("_stored"))
-    names = by_name.join(stored, NAME, "left").withColumn("_key", _key())
+    names = join_large(by_name, stored, NAME, "left").withColumn("_key", _key())
     if linked is None:
         names = names.withColumn("_group", F.lit(None).cast("long"))
     else:
-        names = names.join(linked, "_key", "left")
+        names = join_large(names, linked, "_key", "left")
     url, stored_url = F.col("_url"), F.col("_stored.url")
     fits = F.when(url.isNull(), stored_url.isNull()).otherwise(
         (url != "") & (stored_url.isNull() | (stored_url == url))
@@ -118,7 +119,7 @@ def _products_met(products: DataFrame, names: DataFrame, linked: DataFrame | Non
     by_name = names.filter("NOT _settled").select(*NAME, "_group")
     met = products.select("id", *NAME, "unit", "url")
     if linked is None:
-        return met.join(by_name, NAME)
+        return join_large(met, by_name, NAME)
     by_url = linked.select("_key", F.col("_group").alias("_linked"))
     return (
         met.withColumn("_key", _key())
