@@ -8,10 +8,13 @@ the rows after it see.
 Most names never need that order: all rows of a name and store have one url that no other name has, or all
 have none, and the stored product does not differ. These are settled by aggregates and one join. The others
 form components, rows and stored products that names or urls connect, and only those are gone through in
-order, each in one task as a stream of rows, keeping unit and url of the products of the component.
+order, each in one task as a stream of rows, keeping unit and url of the products of the component. Large
+ones are gone through in slices of time, so that no task sorts more rows than a slice has.
 """
 
 from collections.abc import Iterator
+from functools import reduce
+from math import ceil
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -20,18 +23,29 @@ from pyspark.sql import functions as F
 
 from pricetrail.functions import missing
 from pricetrail.plans.components import connected_components
-from pricetrail.plans.joins import join_large
+from pricetrail.plans.joins import join_counted, join_large
 from pricetrail.plans.lineage import cut_lineage
 
 NAME = ["name", "supermarket"]
 RESULT = "product_id long, stored_unit string, is_new boolean, reason string"
+RESULT_COLUMNS = ("product_id", "stored_unit", "is_new", "reason")
 
+# What goes by in a walk, in this order: stored products, products created by earlier rows, rows.
+STORED, CREATED, ROW = range(3)
+# Rows of large groups that are sorted at once; a task takes about 150 bytes for each.
+SLICE_ROWS = 4_000_000
+PRODUCTS_AT_ONCE = 10_000
 
-def resolve(observations: DataFrame, products: DataFrame) -> DataFrame:
+
+def resolve(
+    observations: DataFrame, products: DataFrame, slice_rows: int = SLICE_ROWS
+) -> DataFrame:
     """Observations with `product_id`, `stored_unit`, `is_new` and `reason`; see ingest.resolve_products."""
     # One row for all rows of a name and url: what the steps before the walk need to know of the batch.
     seen = cut_lineage(
-        observations.groupBy(*NAME, "url").agg(F.min("seq").alias("_first"))
+        observations.groupBy(*NAME, "url").agg(
+            F.min("seq").alias("_first"), F.count("*").alias("_rows")
+        )
     )
     has_name = F.col("name").isNotNull() & F.col("supermarket").isNotNull()
     all_named = seen.filter(~has_name).isEmpty()
@@ -40,17 +54,18 @@ def resolve(observations: DataFrame, products: DataFrame) -> DataFrame:
     names = cut_lineage(_names(seen, products, linked))
     stored, first = F.col("_stored"), F.col("_first")
     # Both joins read the same exchange of the observations.
-    settled = join_large(observations, names.filter("_settled"), NAME).select(
+    settled = join_counted(observations, names.filter("_settled"), NAME).select(
         *observations.columns,
         F.coalesce(stored["id"], first).alias("product_id"),
         stored["unit"].alias("stored_unit"),
         (stored["id"].isNull() & (F.col("seq") == first)).alias("is_new"),
         F.lit(None).cast("string").alias("reason"),
     )
-    walked = join_large(observations, names.filter("NOT _settled").select(*NAME, "_group"), NAME)
+    walked = join_counted(observations, names.filter("NOT _settled").select(*NAME, "_group"), NAME)
     in_order = _in_order(
-        walked.select(*observations.columns, "_group"), _products_met(products, names, linked)
-    )
+        walked.select(*observations.columns, "_group"), _products_met(products, names, linked),
+        join_large(seen.select(*NAME, "_rows"), names.filter("NOT _settled"), NAME), slice_rows,
+    )
     placed = settled.unionByName(in_order)
     if all_named:
         return placed
@@ -138,9 +153,11 @@ class Shelf:
         self.by_name: dict[tuple, list] = {}
         self.by_url: dict[str, dict[tuple, list]] = {}
 
-    def add(self, name: tuple, order: tuple, unit: str | None, url: str | None, stored: bool) -> list:
-        # order, unit and url now, unit stored before the batch
-        product = [order, unit, None, unit if stored else None]
+    def add(
+        self, name: tuple, order: tuple, unit: str | None, url: str | None, kept: str | None
+    ) -> list:
+        # order, unit and url now, unit stored before the batch, name
+        product = [order, unit, None, kept, name]
         self.by_name[name] = product
         self._set_url(product, url)
         return product
@@ -163,44 +180,107 @@ class Shelf:
         elif namesake:
             return None, None, False, "duplicate_name"
         else:
-            return self.add(name, (1, seq), unit, url, False)[0][1], None, True, None
+            return self.add(name, (CREATED, seq), unit, url, None)[0][1], None, True, None
         product[1] = unit
         self._set_url(product, url)
         return product[0][1], product[3], False, None
 
+    def left(self, group: int | None) -> list[dict]:
+        """The products that rows can still meet, as a walk takes them in; the one of a name comes last."""
+        named = {id(p): p for p in self.by_name.values()}
+        others = {id(p): p for by in self.by_url.values() for p in by.values() if id(p) not in named}
+        # Places that are not known, of products without an id, go first.
+        every = sorted(
+            [*others.values(), *named.values()],
+            key=lambda p: (p[0][0], p[0][1] is not None, p[0][1] or 0),
+        )
+        return [
+            dict(_group=group, _rank=order[0], _id=order[1], _pos=pos, name=name[0],
+                 supermarket=name[1], unit=unit, url=url, _kept=kept)
+            for pos, (order, unit, url, kept, name) in enumerate(every)
+        ]
+
 
-def _in_order(rows: DataFrame, products: DataFrame) -> DataFrame:
-    """Rows of each group in order of `seq`, its stored products before them."""
+def _in_order(
+    rows: DataFrame, products: DataFrame, counts: DataFrame, slice_rows: int
+) -> DataFrame:
+    """Rows of each group in order of `seq`, its stored products before them. `counts`: `_rows` by `_group`."""
     columns = [c for c in rows.columns if c != "_group"]
+    sizes = counts.groupBy("_group").agg(F.sum("_rows").alias("n"))
+    # One row per `slice_rows` rows of the batch at most.
+    large = [row["_group"] for row in sizes.filter(F.col("n") > slice_rows).collect()]
+    products = products.select(
+        "*", F.lit(STORED).alias("_rank"), F.lit(0).alias("_pos"), F.col("unit").alias("_kept")
+    )
+    if not large:
+        return _walk(rows, products, False).select(*columns, *RESULT_COLUMNS)
+    in_large = F.col("_group").isin(large)
+    small = _walk(rows.filter(~in_large), products.filter(~in_large), False)
+    sliced = _in_slices(rows.filter(in_large), products.filter(in_large), slice_rows)
+    return reduce(DataFrame.unionByName, (x.select(*columns, *RESULT_COLUMNS) for x in [small, *sliced]))
+
+
+def _in_slices(rows: DataFrame, products: DataFrame, slice_rows: int) -> list[DataFrame]:
+    """Rows of large groups, some time at a time: a slice has `slice_rows` rows or about that, whatever
+    the size of the groups, and begins with the products as the slice before left them."""
+    rows = cut_lineage(rows)
+    slices = ceil(rows.count() / slice_rows)
+    ends = rows.approxQuantile("seq", [i / slices for i in range(1, slices)], 0.1 / slices)
+    ends = sorted({int(end) for end in ends})
+    spread = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * slices)
+    # In order of seq, so that a slice reads its own files only.
+    rows = cut_lineage(rows.repartitionByRange(spread, "seq"))
+    seq, out = F.col("seq"), []
+    for start, end in zip([None, *ends], [*ends, None]):
+        within = F.lit(True) if end is None else F.coalesce(seq < end, F.lit(start is None))
+        if start is not None:
+            within = within & (seq >= start)
+        elif end is not None:
+            within = within | seq.isNull()
+        walked = cut_lineage(_walk(rows.filter(within), products, True))
+        out.append(walked.filter(F.col("_rank") == ROW))
+        products = walked.filter(F.col("_rank") != ROW).select(products.columns)
+    return out
+
+
+def _walk(rows: DataFrame, products: DataFrame, leave: bool) -> DataFrame:
+    """Rows (`_rank` ROW) with what they belong to; if `leave`, also the products as the rows left them."""
     stream = (
-        rows.withColumn("_id", F.lit(None).cast("long"))
+        rows.withColumns({"_id": F.lit(None).cast("long"), "_rank": F.lit(ROW)})
         .unionByName(products.withColumnRenamed("id", "_id"), allowMissingColumns=True)
         .repartition("_group")
-        .sortWithinPartitions("_group", F.col("_id").asc_nulls_last(), "seq")
+        .sortWithinPartitions("_group", "_rank", "_id", "_pos", "seq")
     )
-    read = ("_group", "_id", "seq", *NAME, "unit", "url")
+    read = ("_group", "_rank", "_id", "seq", *NAME, "unit", "url", "_kept")
+    types = (pa.int64(), pa.string(), pa.bool_(), pa.string())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, shelf = None, Shelf()
+        group, shelf, schema = None, Shelf(), None
         for batch in batches:
-            out = []
-            for now, id_, seq, name, store, unit, url in zip(
+            out, left = [], []
+            given = [pa.field(f.name, f.type) for f in batch.schema]
+            schema = pa.schema([*given, *map(pa.field, RESULT_COLUMNS, types)])
+            for now, rank, id_, seq, name, store, unit, url, kept in zip(
                 *(batch.column(c).to_pylist() for c in read)
             ):
                 if now != group:
+                    left += shelf.left(group) if leave else []
                     group, shelf = now, Shelf()
-                if id_ is not None:
-                    shelf.add((name, store), (0, id_), unit, url, True)
-                else:
+                if rank == ROW:
                     out.append(shelf.place(seq, (name, store), unit, url))
-            kept = batch.filter(pc.is_null(batch.column("_id"))).select(columns)
-            if len(kept):
-                found = list(zip(*out))
-                types = (pa.int64(), pa.string(), pa.bool_(), pa.string())
-                yield pa.RecordBatch.from_arrays(
-                    [*kept.columns, *(pa.array(x, t) for x, t in zip(found, types))],
-                    names=[*columns, "product_id", "stored_unit", "is_new", "reason"],
-                )
-
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_group"]
-    return stream.mapInArrow(run, ", ".join([*fields, RESULT]))
+                else:
+                    shelf.add((name, store), (rank, id_), unit, url, kept)
+            placed = batch.filter(pc.equal(batch.column("_rank"), ROW))
+            if len(placed):
+                found = [pa.array(x, t) for x, t in zip(zip(*out), types)]
+                yield pa.RecordBatch.from_arrays([*placed.columns, *found], schema=schema)
+            yield from told(left, schema)
+        if leave and schema is not None:
+            yield from told(shelf.left(group), schema)
+
+    def told(left: list[dict], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+        for at in range(0, len(left), PRODUCTS_AT_ONCE):
+            yield pa.RecordBatch.from_pylist(left[at : at + PRODUCTS_AT_ONCE], schema)
+
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in stream.schema]
+    return stream.mapInArrow(run, ", ".join([*fields, RESULT])).withColumnRenamed("_id", "id")

@@ -119,3 +119,31 @@ def test_components(spark):
     got = {r.node: r.component for r in connected_components(df).collect()}
     want = {k: 0 for k in range(41)} | {100: 100, 101: 100, 103: 100, 150: 150, 200: 150}
     assert got == want
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_large_components_are_gone_through_in_slices(spark, seed):
+    pick = random.Random(seed)
+    urls = [None, "", "U1", "U2", "U3"]
+    stored = [shop(n, f"N{n}", pick.choice([None, "1 l"]), pick.choice(urls)) for n in range(1, 4)]
+    rows = [
+        seen(100 + k, f"N{pick.randint(1, 6)}", pick.choice([None, "1 l", "2 l"]), pick.choice(urls))
+        for k in range(60)
+    ]
+    got = identity.resolve(observations(spark, rows), products(spark, stored), slice_rows=7).collect()
+    units = {p["id"]: p["unit"] for p in stored}
+    assert all(r.stored_unit == units.get(r.product_id) for r in got)
+    assert len(got) == 60 and {r.seq: (r.product_id, r.is_new, r.reason) for r in got} == walk(stored, rows)
+
+
+def test_no_slice_holds_more_rows_than_it_may(spark, monkeypatch):
+    sizes, plain = [], identity._walk
+
+    def counted(rows, *others):
+        sizes.append(rows.count())
+        return plain(rows, *others)
+
+    monkeypatch.setattr(identity, "_walk", counted)
+    rows = [seen(k, f"N{k % 5}", "1 l", f"U{k % 3}") for k in range(1, 81)]
+    got = identity.resolve(observations(spark, rows), products(spark, []), slice_rows=20)
+    assert got.count() == 80 and sum(sizes) == 80 and max(sizes) <= 25
