@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from checks import supplied as sup
 from checks.queries import QUERIES
 from pricetrail.operators import changes
+from pricetrail.plans import joins
 from pricetrail.plans.joins import join_large
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -24,11 +25,14 @@ def test_a_table_of_small_files_is_not_broadcast(spark):
 
 
 @pytest.mark.parametrize("name", ["fake_sales", "shrinkflation"])
-def test_reports_join_all_products_by_shuffle(spark, name):
+def test_reports_join_all_products_by_shuffle(spark, name, monkeypatch):
+    monkeypatch.setattr(joins, "MAX_BROADCAST_ROWS", 100)
     assert "BroadcastHashJoin" not in plan(QUERIES[name](spark, SF_DIR))
 
 
-def test_observations_join_all_products_by_shuffle(spark):
+def test_observations_join_many_products_by_shuffle(spark, monkeypatch):
+    assert "BroadcastHashJoin" in plan(sup.observations(spark, SF_DIR))
+    monkeypatch.setattr(joins, "MAX_BROADCAST_ROWS", 100)
     assert "BroadcastHashJoin" not in plan(sup.observations(spark, SF_DIR))
 
 
