@@ -6,6 +6,7 @@ import re
 import pytest
 
 from checks import supplied as sup
+from checks.queries import QUERIES
 from pricetrail.operators import catalog, changes, ingest, matching
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -78,3 +79,17 @@ def test_names_are_matched_by_equi_join(spark):
     )
     text = plan(matching.match_fuzzy(pool))
     assert re.search(r"(HashJoin|SortMergeJoin) \[[^]]*signature", text)
+
+
+@pytest.mark.parametrize("name", ["similar_pairs", "match_groups"])
+def test_texts_of_products_are_parsed_once_for_matching(spark, name, monkeypatch):
+    plans, first = [], matching.first_per_key
+
+    def noted(candidates):
+        plans.append(candidates._jdf.queryExecution().optimizedPlan().toString())
+        return first(candidates)
+
+    monkeypatch.setattr(matching, "first_per_key", noted)
+    QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert len(plans) == 3
+    assert not any("regexp_replace" in plan for plan in plans)
