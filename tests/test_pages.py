@@ -203,3 +203,17 @@ def test_one_scan(spark):
     )
     plan = pg.extract_observations(df)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan") == 1
+
+
+def test_parts_of_a_card_are_read_once(spark):
+    """Unit, link and old euros are in the plan once, not once for each use of theirs."""
+    pages = spark.createDataFrame([(1, "")], "page_seq long, html string")
+
+    def plan(store):
+        offers = pg.EXTRACTORS[store](pg.explode_cards(pages, store))
+        return offers._jdf.queryExecution().optimizedPlan().toString()
+
+    jumbo = plan("jumbo")
+    assert jumbo.count('testid="jum') == 1
+    assert jumbo.count("href=") == 1
+    assert plan("dirk").count("hasEuros") == 2  # the tag of the price, the old euros
