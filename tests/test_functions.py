@@ -1,7 +1,11 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from pricetrail import functions as fn
+from pricetrail.functions import units
+from pricetrail.functions.text import SPACE, SPACES
 
 UNITS = {
     "500 g": (500.0, "g"),
@@ -165,3 +169,20 @@ def test_unit_compatibility_and_distance(spark):
     df = spark.createDataFrame(pairs, "a string, b string")
     got = [r[0] for r in df.select(fn.within_distance(F.col("a"), F.col("b"), 2)).collect()]
     assert got == [0, 1, None, None]
+
+
+def test_space_class_holds_the_space_characters():
+    held = {chr(k) for k in range(0x10000) if re.fullmatch(SPACE, chr(k))}
+    assert held == set(SPACES)
+
+
+def test_numbers_and_notes(spark):
+    texts = {"1,5": 1.5, ".5": 0.5, "1.": 1.0, "1,2,3": 1.2, "0": None, "0,0": None, "": None, ",5": 0.5,
+             "abc": None, None: None, "1.2.3": 1.2}
+    notes = {"2+ dagen houdbaar • 500 g": "500 g", "1,5 L, verpakt": "1,5 L", "1 kg (ca. 10 stuks)": "1 kg",
+             "500\u00a0g ": "500 g", "6 x 1,5 l • met prik": "6 x 1,5 l", "per stuk": "per stuk", None: None,
+             "": ""}
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert {r.t: r.n for r in df.select("t", units.parse_decimal(F.col("t")).alias("n")).collect()} == texts
+    df = spark.createDataFrame([(t,) for t in notes], "t string")
+    assert {r.t: r.n for r in df.select("t", units.clean_unit(F.col("t")).alias("n")).collect()} == notes

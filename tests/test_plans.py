@@ -7,7 +7,8 @@ import pytest
 
 from checks import supplied as sup
 from checks.queries import QUERIES
-from pricetrail.operators import catalog, changes, ingest, matching
+from pricetrail.operators import catalog, changes, ingest, matching, normalize
+from pricetrail.plans.lineage import cut_lineage
 
 SF_DIR = "/root/testdata/sf0.001"
 AS_OF = dt.date(2001, 11, 4)
@@ -81,6 +82,37 @@ def test_names_are_matched_by_equi_join(spark):
     assert re.search(r"(HashJoin|SortMergeJoin) \[[^]]*signature", text)
 
 
+def test_pieces_of_names_are_not_broadcast(spark, tmp_path):
+    """A small file of names has many pieces: they meet by shuffle, whatever the file's size is."""
+    rows = [("b", 1 + k % 3, f"melk {k}", k, None, ("melk", k)) for k in range(50)]
+    schema = ("block string, store_rank int, match_key string, product_id long, unit_type string, "
+              "place struct<normalized_name: string, id: long>")
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/pool")
+    text = plan(matching.match_fuzzy(spark.read.parquet(f"{tmp_path}/pool")))
+    assert re.search(r"SortMergeJoin \[[^]]*signature", text)
+
+
+def test_numbers_of_sizes_are_read_once(spark):
+    products = spark.createDataFrame([(1, "1,5 l")], "id int, unit string")
+    text = normalize.with_pack_size(products)._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("regexp_extract(") == 1
+
+
+def test_parsing_is_written_in_compiled_methods(spark, monkeypatch):
+    """The parsing of a product is more than one method that the JVM compiles; the setting comes back."""
+    name, seen = "spark.sql.codegen.hugeMethodLimit", []
+    before = spark.conf.get(name)
+    spark.conf.set(name, "65535")
+    writer = type(spark.range(1).write)
+    written = writer.parquet
+    monkeypatch.setattr(writer, "parquet", lambda *a: seen.append(spark.conf.get(name)) or written(*a))
+    try:
+        assert cut_lineage(spark.range(3)).count() == 3
+        assert seen == ["8000"] and spark.conf.get(name) == "65535"
+    finally:
+        spark.conf.set(name, before)
+
+
 @pytest.mark.parametrize("name", ["similar_pairs", "match_groups"])
 def test_texts_of_products_are_parsed_once_for_matching(spark, name, monkeypatch):
     plans, first = [], matching.first_per_key
