@@ -265,3 +265,28 @@ def test_no_word_of_the_supplied_texts_is_added(spark):
         added = secret_scan.added_spans(secret_scan.judged(planted, base), network)
         found += (len(head) + 1, len(head) + 1 + len(key), 3) in added
     assert found >= 180, found
+
+
+def test_every_window_is_trained_on_or_held_out(spark, monkeypatch):
+    """No candidate is left out, however many there are, and the parts do not change with the tasks."""
+    seen = []
+    rows = mixed_rows(240)
+    scanned = secret_scan.scan(documents(spark, rows))
+    windows = {w for _, text in rows
+               for s in [secret_scan.base_spans(text)] for w in (bytes(c["window"]) for c in secret_scan.judged(text, s))}
+    write = WorkFolder.write
+
+    def noted(self, df, name, *rest):
+        out = write(self, df, name, *rest)
+        if name == "cut":
+            seen.extend(r.window for r in out.collect())
+        return out
+
+    monkeypatch.setattr(WorkFolder, "write", noted)
+    monkeypatch.setattr(secret_scan, "SHARD", 50)
+    monkeypatch.setattr(secret_scan, "EPOCHS", 2)
+    networks = [secret_scan.fit(scanned.repartition(k), 10) for k in (1, 5)]
+    assert {bytes(w) for w in seen} == windows and len(windows) > 60
+    for name, weight in networks[0].weights.items():
+        assert np.array_equal(weight, networks[1].weights[name])
+    assert networks[0].threshold == pytest.approx(networks[1].threshold)
