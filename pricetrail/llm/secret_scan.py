@@ -19,8 +19,9 @@ is nothing to learn and only the patterns report. Other columns are not read.
 
 import hashlib
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +36,7 @@ _ASSIGN = re.compile(
 )
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")
-ASSIGN_CHARS, ACCESS_CHARS = 12, 18
+ASSIGN_CHARS, ACCESS_CHARS, HEX_CHARS = 12, 18, 16
 KINDS = ("assign", "access", "hex", "model")
 
 _RUN = re.compile(r"[A-Za-z0-9+/_.=-]{12,}")
@@ -51,13 +52,23 @@ EMPHASIS = 3000
 #: Windows that one task trains on between two averages of the weights.
 SHARD = 20_000
 EPOCHS = 8
+#: Windows of several texts that the network reads together, at least, when it looks for secrets.
+TOGETHER = 2048
 RECALL = 0.99
 
 Span = tuple[int, int, int]
 
 
-def base_spans(text: str) -> list[Span]:
-    """(start, end, kind) of the patterns' findings, ordered by start, then kind."""
+def key_runs(text: str) -> list[tuple[int, int]]:
+    """(start, end) of each run of key characters."""
+    return [run.span() for run in _RUN.finditer(text)]
+
+
+def base_spans(text: str, within: list[tuple[int, int]] | None = None) -> list[Span]:
+    """(start, end, kind) of the patterns' findings, ordered by start, then kind.
+
+    `within`: the text's key runs, where they are known.
+    """
     spans = []
     if "=" in text or ":" in text:
         spans += [
@@ -71,15 +82,19 @@ def base_spans(text: str) -> list[Span]:
             for m in _ACCESS.finditer(text)
             if m.end() - m.start() >= ACCESS_CHARS
         ]
-    spans += [(m.start(), m.end(), 2) for m in _HEX.finditer(text)]
+    # Hex digits are key characters, and their runs are longer than the shortest key run.
+    for start, end in key_runs(text) if within is None else within:
+        if end - start >= HEX_CHARS:
+            spans += [(m.start(), m.end(), 2) for m in _HEX.finditer(text, start, end)]
     return sorted(spans, key=lambda s: (s[0], s[2]))
 
 
-def runs(text: str, spans: list[Span]) -> Iterator[tuple[int, int, list[Span]]]:
+def runs(
+    text: str, spans: list[Span], within: list[tuple[int, int]] | None = None
+) -> Iterator[tuple[int, int, list[Span]]]:
     """(start, end, overlapping findings) of each run of key characters."""
     k = 0
-    for run in _RUN.finditer(text):
-        start, end = run.span()
+    for start, end in key_runs(text) if within is None else within:
         while k < len(spans) and spans[k][1] <= start:
             k += 1
         # Later findings may start earlier than one that ends late: look on from the first open one.
@@ -102,7 +117,8 @@ def window(text: str, start: int, end: int) -> bytes:
     before = text[max(0, start - BEFORE) : start].rjust(BEFORE, "\0")
     inside = text[start:end].ljust(INSIDE, "\0")
     after = text[end : end + AFTER].ljust(AFTER, "\0")
-    return bytes(min(ord(c), 127) for c in before + inside + after)
+    shown = before + inside + after
+    return shown.encode() if shown.isascii() else bytes(min(ord(c), 127) for c in shown)
 
 
 def parts(start: int, end: int) -> range:
@@ -117,15 +133,16 @@ def example(text: str, start: int, end: int, spans: list[Span]) -> bytes:
     return window(text, places[min((first - start) // STEP, len(places) - 1)], end)
 
 
-def judged(text: str, spans: list[Span]) -> list[dict]:
+def judged(text: str, spans: list[Span], within: list[tuple[int, int]] | None = None) -> list[dict]:
     """The candidates as the network sees them: an example to learn from, and all windows to score."""
     found = []
-    for start, end, own in runs(text, spans):
+    for start, end, own in runs(text, spans, within):
         whole = any(a <= start and end <= b for a, b, _ in own)
         scored = [] if whole else [window(text, at, end) for at in parts(start, end)]
         found.append({"start": start, "end": end, "found": bool(own),
                       "digit": bool(_DIGIT.search(text, start, end)),
-                      "window": example(text, start, end, own), "scored": b"".join(scored)})
+                      "window": example(text, start, end, own) if own else scored[0],
+                      "scored": b"".join(scored)})
     return found
 
 
@@ -158,17 +175,23 @@ class Network:
                 for k, s in shapes.items()
             }
 
-    def _forward(self, codes: np.ndarray) -> tuple[np.ndarray, ...]:
+    def _embedding(self) -> np.ndarray:
+        """The embedding of every code; nothing, code 0, lies at the origin."""
+        table = self.weights["embed"].copy()
+        table[0] = 0
+        return table
+
+    def _forward(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         w = self.weights
-        places = codes.shape[1] - self.reach + 1
-        seen = w["embed"][codes]
-        seen[codes == 0] = 0
-        view = np.lib.stride_tricks.sliding_window_view(seen, self.reach, axis=1)
-        columns = view.transpose(0, 1, 3, 2).reshape(len(codes) * places, -1)
-        maps = (columns @ w["conv"] + w["bias"]).reshape(len(codes), places, -1)
+        n, width = codes.shape
+        places, span = width - self.reach + 1, self.reach * self.size
+        seen = np.take(self._embedding(), codes, axis=0).reshape(n, -1)
+        # What the convolution sees at a place is one stretch of the embedded text.
+        view = np.lib.stride_tricks.sliding_window_view(seen, span, axis=1)[:, :: self.size]
+        maps = (view.reshape(n * places, span) @ w["conv"]).reshape(n, places, -1)
         best = maps.argmax(axis=1)
-        pooled = np.maximum(np.take_along_axis(maps, best[:, None], 1)[:, 0], 0)
-        return pooled @ w["out"] + w["zero"][0], pooled, best, columns
+        pooled = np.maximum(np.take_along_axis(maps, best[:, None], 1)[:, 0] + w["bias"], 0)
+        return pooled @ w["out"] + w["zero"][0], pooled, best
 
     def logits(self, codes: np.ndarray) -> np.ndarray:
         parts = [self._forward(codes[at : at + 512])[0] for at in range(0, len(codes), 512)]
@@ -218,21 +241,23 @@ class Network:
     def _gradients(
         self, codes: np.ndarray, labels: np.ndarray, share: np.ndarray | float = 1.0
     ) -> dict[str, np.ndarray]:
-        w, places = self.weights, codes.shape[1] - self.reach + 1
-        logit, pooled, best, columns = self._forward(codes)
+        w, (reach, size, filters) = self.weights, (self.reach, self.size, self.filters)
+        logit, pooled, best = self._forward(codes)
         error = (_sigmoid(logit) - labels) * share / len(codes)
         to_pool = error[:, None] * w["out"] * (pooled > 0)
-        rows = np.arange(len(codes))[:, None] * places + best
-        inputs = columns[rows]  # document, filter, reach * size
-        conv = np.einsum("nf,nfk->kf", to_pool, inputs)
-        embed = np.zeros_like(w["embed"])
-        back = np.einsum("nf,kf->nfk", to_pool, w["conv"]).reshape(-1, self.reach, self.size)
-        at = (best[:, :, None] + np.arange(self.reach)).reshape(len(codes), -1)
-        np.add.at(
-            embed, np.take_along_axis(codes, at, 1).ravel(), back.reshape(-1, self.size)
-        )
+        # Both layers below are linear in the characters at the best places: errors are summed by character,
+        # place in the reach and filter, and meet the weights as one small table.
+        at = (best[:, :, None] + np.arange(reach)).reshape(len(codes), -1)
+        cell = np.take_along_axis(codes, at, 1).reshape(-1, filters, reach).astype(np.intp)
+        cell = (cell * reach + np.arange(reach)) * filters + np.arange(filters)[:, None]
+        sums = np.bincount(cell.ravel(), np.repeat(to_pool.ravel(), reach), len(w["embed"]) * reach * filters)
+        sums = sums.astype(w["conv"].dtype).reshape(-1, reach * filters)
+        conv = (self._embedding().T @ sums).reshape(size, reach, filters)
+        by_place = w["conv"].reshape(reach, size, filters).transpose(0, 2, 1)
+        embed = sums @ by_place.reshape(reach * filters, size)
         embed[0] = 0
-        return {"out": pooled.T @ error, "zero": error.sum(keepdims=True), "conv": conv,
+        return {"out": pooled.T @ error, "zero": error.sum(keepdims=True),
+                "conv": conv.transpose(1, 0, 2).reshape(w["conv"].shape),
                 "bias": to_pool.sum(0), "embed": embed}
 
     def calibrate(
@@ -462,12 +487,12 @@ def scan(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
             spans, others = [], []
             for value in batch.column("_text"):
                 content = value.as_py() or ""
-                found = base_spans(content)
-                spans.append([dict(zip(("start", "end", "kind"), s)) for s in found])
-                others.append(judged(content, found))
+                within = key_runs(content)
+                found = base_spans(content, within)
+                spans.append(found)
+                others.append(judged(content, found, within))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(key), pa.array(spans, pa.list_(span)),
-                 pa.array(others, pa.list_(seen))],
+                [batch.column(key), _lists(spans, span), _lists([map(dict.values, o) for o in others], seen)],
                 names=[key, "spans", "candidates"],
             )
 
@@ -480,15 +505,52 @@ def scan(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     )
 
 
+def _lists(rows: list, kind: pa.StructType) -> pa.ListArray:
+    """Lists of structs from the values of their fields, column by column."""
+    rows = [list(row) for row in rows]
+    columns = list(zip(*(values for row in rows for values in row))) or [()] * kind.num_fields
+    cells = pa.StructArray.from_arrays(
+        [pa.array(c, field.type) for c, field in zip(columns, kind)], fields=list(kind)
+    )
+    return pa.ListArray.from_arrays(np.cumsum([0, *map(len, rows)], dtype="i4"), cells)
+
+
 def added_spans(found: list[dict], network: Network | None) -> list[Span]:
     """Candidates that the network holds for secrets and no finding covers wholly."""
-    free = [c for c in found if c["scored"]]
+    return next(added_by_text([found], network))
+
+
+def added_by_text(texts: Iterable[list[dict]], network: Network | None) -> Iterator[list[Span]]:
+    """`added_spans` of each text; the network reads the candidates of many texts together."""
+    waiting, windows = [], 0
+    for found in texts:
+        free = [c for c in found if c["scored"]]
+        waiting.append(free)
+        windows += sum(len(c["scored"]) for c in free) // WIDTH
+        if windows >= TOGETHER:
+            yield from _added(waiting, network)
+            waiting, windows = [], 0
+    yield from _added(waiting, network)
+
+
+def _added(texts: list[list[dict]], network: Network | None) -> list[list[Span]]:
+    free = [c for found in texts for c in found]
     if network is None or not free:
-        return []
+        return [[] for _ in texts]
     sure = network.probability(_codes([c["scored"] for c in free])) >= network.threshold
     sizes = np.array([len(c["scored"]) // WIDTH for c in free])
-    some = np.logical_or.reduceat(sure, np.cumsum(sizes) - sizes)
-    return [(c["start"], c["end"], 3) for c, yes in zip(free, some) if yes]
+    some = iter(np.logical_or.reduceat(sure, np.cumsum(sizes) - sizes))
+    return [[(c["start"], c["end"], 3) for c, yes in zip(found, islice(some, len(found))) if yes]
+            for found in texts]
+
+
+def _scored(candidates: pa.ListArray) -> Iterator[list[dict]]:
+    """Per text the candidates with what `added_spans` reads of them."""
+    cells, sizes = candidates.flatten(), candidates.value_lengths().to_pylist()
+    starts, ends = (cells.field(name).to_pylist() for name in ("start", "end"))
+    rows = zip(starts, ends, cells.field("scored"))
+    for n in sizes:
+        yield [{"start": a, "end": b, "scored": scored.as_py()} for a, b, scored in islice(rows, n)]
 
 
 def _joined(spans: list[Span]) -> str:
@@ -501,9 +563,10 @@ def report(scanned: DataFrame, network: Network | None, key: str = "doc_id") ->
     def run(batches: Batches) -> Batches:
         for batch in batches:
             out = [[], [], [], [], []]
-            for spans, found in zip(batch.column("spans"), batch.column("candidates")):
+            added = added_by_text(_scored(batch.column("candidates")), network)
+            for spans, more in zip(batch.column("spans"), added):
                 base = [(s["start"], s["end"], s["kind"]) for s in spans.as_py()]
-                every = sorted(base + added_spans(found.as_py(), network), key=lambda s: (s[0], s[2]))
+                every = sorted(base + more, key=lambda s: (s[0], s[2]))
                 for k in range(3):
                     out[k].append(sum(s[2] == k for s in base))
                 out[3].append(hashlib.sha256(_joined(base).encode()).hexdigest())
@@ -532,13 +595,13 @@ def redact(df: DataFrame, network: Network | None, mark: str = "[SECRET]") -> Da
     def run(batches: Batches) -> Batches:
         for batch in by_rows(batches):
             texts = []
-            for value in batch.column("text"):
-                content = value.as_py()
+            contents = [(value.as_py(), key_runs(value.as_py() or "")) for value in batch.column("text")]
+            found = [base_spans(content or "", within) for content, within in contents]
+            seen = (judged(text or "", base, within) for (text, within), base in zip(contents, found))
+            for (content, _), base, more in zip(contents, found, added_by_text(seen, network)):
                 if content:
-                    base = base_spans(content)
-                    seen = judged(content, base)
                     parts, at = [], 0
-                    for start, end, _ in sorted(base + added_spans(seen, network)):
+                    for start, end, _ in sorted(base + more):
                         if start >= at:
                             parts += [content[at:start], mark]
                         at = max(at, end)
