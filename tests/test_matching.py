@@ -222,3 +222,25 @@ def test_names_with_one_long_prefix(spark):
             for side in (b, o)
         )
         b, o = matching._cut_base(b), matching._cut_probe(o)
+
+
+def test_names_with_many_pairs_a_row_are_refined(spark):
+    """A piece that fewer than DENSE_PAIRS pairs share, but many for each name, is not enough for a pair."""
+    rng = random.Random(4)
+    rows = [
+        ("x", 1 + k % 3, "halfvolle biologische " + "".join(rng.choices("abcdefghijklmn", k=22)), k, None, ("", k))
+        for k in range(150)
+    ]
+    rows += [("x", 2, row[2][:30] + "q" + row[2][31:], 200 + row[3], None, ("", row[3])) for row in rows[:20]]
+    df = spark.createDataFrame(rows, POOL)
+    base, others = df.filter("store_rank = 1"), df.filter("store_rank > 1")
+    pieces = matching._base_pieces(base), matching._probe_pieces(others)
+    pairs = matching._pairs(*pieces, matching.DENSE_PAIRS, matching.MAX_SHARED_PIECES).distinct()
+    assert pairs.count() < base.count() * others.count() / 20
+    got = sorted((r.base_id, r.other_id, r.distance) for r in matching.similar_pairs(base, others).collect())
+    want = sorted(
+        (a[3], b[3], similar(a, b))
+        for a in rows for b in rows
+        if a[1] == 1 and b[1] > 1 and similar(a, b) is not None
+    )
+    assert want and got == want
