@@ -10,12 +10,16 @@ have none, and the stored product does not differ. These are settled by aggregat
 form components, rows and stored products that names or urls connect, and only those are gone through in
 order, each in one task as a stream of rows, keeping unit and url of the products of the component. Large
 ones are gone through in slices of time, so that no task sorts more rows than a slice has.
+
+What goes through a task in order are numbers of rows and names, units and urls; the other columns of the rows
+are joined by the number of the row at last.
 """
 
 from collections.abc import Iterator
 from functools import reduce
 from math import ceil
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -27,11 +31,16 @@ from pricetrail.plans.joins import join_counted, join_large
 from pricetrail.plans.lineage import cut_lineage
 
 NAME = ["name", "supermarket"]
-RESULT = "product_id long, stored_unit string, is_new boolean, reason string"
-RESULT_COLUMNS = ("product_id", "stored_unit", "is_new", "reason")
+# What a walk finds for a row, and a product as a walk takes it in; `_order` is its id.
+PLACED = {"_row": "long", "product_id": "long", "stored_unit": "string", "is_new": "boolean", "reason": "string"}
+MET = {"_group": "long", "_rank": "int", "_order": "long", "_pos": "int", "_name": "long", "unit": "string",
+       "url": "string", "_kept": "string"}
+ARROW = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_()}
 
 # What goes by in a walk, in this order: stored products, products created by earlier rows, rows.
 STORED, CREATED, ROW = range(3)
+# Of stored products whose name no row has.
+NO_NAME = -1
 # Rows of large groups that are sorted at once; a task takes about 150 bytes for each.
 SLICE_ROWS = 4_000_000
 PRODUCTS_AT_ONCE = 10_000
@@ -41,36 +50,40 @@ def resolve(
     observations: DataFrame, products: DataFrame, slice_rows: int = SLICE_ROWS
 ) -> DataFrame:
     """Observations with `product_id`, `stored_unit`, `is_new` and `reason`; see ingest.resolve_products."""
+    # Read for each step below; `_row` is a number that stays, whatever `seq` is.
+    rows = cut_lineage(observations.withColumn("_row", F.monotonically_increasing_id()))
+    products = cut_lineage(products.select("id", *NAME, "unit", "url"))
     # One row for all rows of a name and url: what the steps before the walk need to know of the batch.
     seen = cut_lineage(
-        observations.groupBy(*NAME, "url").agg(
-            F.min("seq").alias("_first"), F.count("*").alias("_rows")
-        )
+        rows.groupBy(*NAME, "url").agg(F.min("seq").alias("_first"), F.count("*").alias("_rows"))
     )
     has_name = F.col("name").isNotNull() & F.col("supermarket").isNotNull()
     all_named = seen.filter(~has_name).isEmpty()
     seen = seen.filter(has_name)
     linked = _linked_names(seen, products)
-    names = cut_lineage(_names(seen, products, linked))
+    names = _names(seen, products, linked).withColumn("_name", F.monotonically_increasing_id())
+    names = cut_lineage(names)
     stored, first = F.col("_stored"), F.col("_first")
-    # Both joins read the same exchange of the observations.
-    settled = join_counted(observations, names.filter("_settled"), NAME).select(
+    columns = [*observations.columns, "product_id", "stored_unit", "is_new", "reason"]
+    placed = join_counted(rows, names.filter("_settled"), NAME).select(
         *observations.columns,
         F.coalesce(stored["id"], first).alias("product_id"),
         stored["unit"].alias("stored_unit"),
         (stored["id"].isNull() & (F.col("seq") == first)).alias("is_new"),
         F.lit(None).cast("string").alias("reason"),
     )
-    walked = join_counted(observations, names.filter("NOT _settled").select(*NAME, "_group"), NAME)
-    in_order = _in_order(
-        walked.select(*observations.columns, "_group"), _products_met(products, names, linked),
-        join_large(seen.select(*NAME, "_rows"), names.filter("NOT _settled"), NAME), slice_rows,
-    )
-    placed = settled.unionByName(in_order)
+    tangled = names.filter("NOT _settled").select(*NAME, "_group", "_name")
+    if not tangled.isEmpty():
+        walked = join_counted(rows.select("_row", "seq", *NAME, "unit", "url"), tangled, NAME)
+        found = _in_order(
+            walked.drop(*NAME), _products_met(products, tangled, linked),
+            join_large(seen.select(*NAME, "_rows"), tangled, NAME), slice_rows,
+        )
+        placed = placed.unionByName(join_large(rows, found, "_row").select(columns))
     if all_named:
         return placed
-    nameless = observations.filter(~has_name).select(
-        "*", F.lit(None).cast("long").alias("product_id"),
+    nameless = rows.filter(~has_name).select(
+        *observations.columns, F.lit(None).cast("long").alias("product_id"),
         F.lit(None).cast("string").alias("stored_unit"), F.lit(False).alias("is_new"),
         F.lit("name_missing").alias("reason"),
     )
@@ -84,16 +97,16 @@ def _key() -> Column:
 def _linked_names(seen: DataFrame, products: DataFrame) -> DataFrame | None:
     """`_key, _group` of names that share a url with another name, None if there are none.
 
-    Keys are hashes: names that collide would only be gone through together.
+    Keys and urls are hashes: names that collide would only be gone through together.
     """
     known = seen.select(*NAME, "url").union(products.select(*NAME, "url"))
-    pairs = known.filter(~missing(F.col("url"))).select(_key(), "url")
-    shared = (
+    pairs = known.filter(~missing(F.col("url"))).select(_key(), F.xxhash64("url").alias("url"))
+    shared = cut_lineage(
         pairs.groupBy("url")
         .agg(F.min("_key").alias("least"), F.max("_key").alias("most"))
         .filter("least != most")
     )
-    links = pairs.join(shared, "url").select(F.col("_key").alias("a"), F.col("least").alias("b"))
+    links = join_counted(pairs, shared, ["url"]).select(F.col("_key").alias("a"), F.col("least").alias("b"))
     links = cut_lineage(links.filter("a != b").distinct())
     if links.isEmpty():
         return None
@@ -129,75 +142,101 @@ def _names(seen: DataFrame, products: DataFrame, linked: DataFrame | None) -> Da
     )
 
 
-def _products_met(products: DataFrame, names: DataFrame, linked: DataFrame | None) -> DataFrame:
-    """Stored products that rows gone through in order can meet, with their group."""
-    by_name = names.filter("NOT _settled").select(*NAME, "_group")
-    met = products.select("id", *NAME, "unit", "url")
+def _products_met(products: DataFrame, tangled: DataFrame, linked: DataFrame | None) -> DataFrame:
+    """Stored products that rows gone through in order can meet, with their group, as a walk takes them in."""
     if linked is None:
-        return join_large(met, by_name, NAME)
-    by_url = linked.select("_key", F.col("_group").alias("_linked"))
-    return (
-        met.withColumn("_key", _key())
-        .join(by_name, NAME, "left")
-        .join(by_url, "_key", "left")
-        .withColumn("_group", F.coalesce("_linked", "_group"))
-        .filter("_group IS NOT NULL")
-        .drop("_key", "_linked")
-    )
+        met = join_large(products, tangled, NAME)
+    else:
+        by_url = linked.select("_key", F.col("_group").alias("_linked"))
+        met = (
+            products.withColumn("_key", _key())
+            .join(tangled, NAME, "left")
+            .join(by_url, "_key", "left")
+            .withColumn("_group", F.coalesce("_linked", "_group"))
+            .filter("_group IS NOT NULL")
+        )
+    return met.select(
+        "_group", F.lit(STORED).alias("_rank"), F.col("id").alias("_order"), F.lit(0).alias("_pos"),
+        F.coalesce("_name", F.lit(NO_NAME)).alias("_name"), "unit", "url", F.col("unit").alias("_kept"),
+    )
+
+
+class Product:
+    """A product on the shelf: unit and url now, its unit stored before the batch."""
+
+    __slots__ = ("rank", "id", "unit", "url", "kept", "name")
+
+    def __init__(
+        self, rank: int, id_: int | None, unit: str | None, url: str | None, kept: str | None, name: int
+    ):
+        self.rank, self.id, self.unit, self.url, self.kept, self.name = rank, id_, unit, url, kept, name
+
+    def order(self) -> tuple:
+        """Places that are not known, of products without an id, go first."""
+        return self.rank, self.id is not None, self.id or 0
 
 
 class Shelf:
     """The products of a component while its rows come by."""
 
     def __init__(self):
-        self.by_name: dict[tuple, list] = {}
-        self.by_url: dict[str, dict[tuple, list]] = {}
-
-    def add(
-        self, name: tuple, order: tuple, unit: str | None, url: str | None, kept: str | None
-    ) -> list:
-        # order, unit and url now, unit stored before the batch, name
-        product = [order, unit, None, kept, name]
-        self.by_name[name] = product
-        self._set_url(product, url)
+        self.by_name: dict[int, Product] = {}
+        # The first product that has a url, and all of them where there were several at the start.
+        self.by_url: dict[str, Product] = {}
+        self.shared: dict[str, dict[tuple, Product]] = {}
+
+    def add(self, product: Product) -> Product:
+        if product.name != NO_NAME:
+            self.by_name[product.name] = product
+        url = product.url
+        if url:
+            holder = self.by_url.setdefault(url, product)
+            if holder is not product:
+                held = self.shared.setdefault(url, {holder.order(): holder})
+                held[product.order()] = product
+                self.by_url[url] = held[min(held)]
         return product
 
-    def _set_url(self, product: list, url: str | None) -> None:
-        if product[2]:
-            del self.by_url[product[2]][product[0]]
-        product[2] = url
+    def _move(self, product: Product, url: str | None) -> None:
+        """To a url that no product has."""
+        old = product.url
+        held = self.shared.get(old) if self.shared else None
+        if held:
+            held.pop(product.order(), None)
+            if held:
+                self.by_url[old] = held[min(held)]
+            else:
+                del self.by_url[old], self.shared[old]
+        elif old:
+            del self.by_url[old]
+        product.url = url
         if url:
-            self.by_url.setdefault(url, {})[product[0]] = product
-
-    def place(self, seq: int, name: tuple, unit: str | None, url: str | None) -> tuple:
-        """Product, its unit stored before the batch, whether it is new, and why a row has none."""
-        with_url = self.by_url.get(url) if url else None
-        namesake = self.by_name.get(name)
-        if with_url:
-            product = with_url[min(with_url)]
-        elif namesake and (unit and namesake[1] == unit or namesake[2] is None):
-            product = namesake
-        elif namesake:
-            return None, None, False, "duplicate_name"
-        else:
-            return self.add(name, (CREATED, seq), unit, url, None)[0][1], None, True, None
-        product[1] = unit
-        self._set_url(product, url)
-        return product[0][1], product[3], False, None
+            self.by_url[url] = product
+
+    def place(self, name: int, unit: str | None, url: str | None) -> Product | None | bool:
+        """The product of a row, None for a duplicate name, False for a name that has no product."""
+        product = self.by_url.get(url) if url else None
+        if product is None:
+            product = self.by_name.get(name)
+            if product is None:
+                return False
+            if not (unit and product.unit == unit or product.url is None):
+                return None
+            if product.url != url:
+                self._move(product, url)
+        product.unit = unit
+        return product
 
     def left(self, group: int | None) -> list[dict]:
         """The products that rows can still meet, as a walk takes them in; the one of a name comes last."""
         named = {id(p): p for p in self.by_name.values()}
-        others = {id(p): p for by in self.by_url.values() for p in by.values() if id(p) not in named}
-        # Places that are not known, of products without an id, go first.
-        every = sorted(
-            [*others.values(), *named.values()],
-            key=lambda p: (p[0][0], p[0][1] is not None, p[0][1] or 0),
-        )
+        held = [*self.by_url.values(), *(p for by in self.shared.values() for p in by.values())]
+        others = {id(p): p for p in held if id(p) not in named}
+        every = sorted([*others.values(), *named.values()], key=Product.order)
         return [
-            dict(_group=group, _rank=order[0], _id=order[1], _pos=pos, name=name[0],
-                 supermarket=name[1], unit=unit, url=url, _kept=kept)
-            for pos, (order, unit, url, kept, name) in enumerate(every)
+            dict(_group=group, _rank=p.rank, _order=p.id, _pos=pos, _name=p.name, unit=p.unit, url=p.url,
+                 _kept=p.kept)
+            for pos, p in enumerate(every)
         ]
 
 
@@ -205,19 +244,15 @@ def _in_order(
     rows: DataFrame, products: DataFrame, counts: DataFrame, slice_rows: int
 ) -> DataFrame:
     """Rows of each group in order of `seq`, its stored products before them. `counts`: `_rows` by `_group`."""
-    columns = [c for c in rows.columns if c != "_group"]
     sizes = counts.groupBy("_group").agg(F.sum("_rows").alias("n"))
     # One row per `slice_rows` rows of the batch at most.
     large = [row["_group"] for row in sizes.filter(F.col("n") > slice_rows).collect()]
-    products = products.select(
-        "*", F.lit(STORED).alias("_rank"), F.lit(0).alias("_pos"), F.col("unit").alias("_kept")
-    )
     if not large:
-        return _walk(rows, products, False).select(*columns, *RESULT_COLUMNS)
+        return _walk(rows, products, False)
     in_large = F.col("_group").isin(large)
     small = _walk(rows.filter(~in_large), products.filter(~in_large), False)
     sliced = _in_slices(rows.filter(in_large), products.filter(in_large), slice_rows)
-    return reduce(DataFrame.unionByName, (x.select(*columns, *RESULT_COLUMNS) for x in [small, *sliced]))
+    return reduce(DataFrame.unionByName, [small, *sliced])
 
 
 def _in_slices(rows: DataFrame, products: DataFrame, slice_rows: int) -> list[DataFrame]:
@@ -238,49 +273,69 @@ def _in_slices(rows: DataFrame, products: DataFrame, slice_rows: int) -> list[Da
         elif end is not None:
             within = within | seq.isNull()
         walked = cut_lineage(_walk(rows.filter(within), products, True))
-        out.append(walked.filter(F.col("_rank") == ROW))
-        products = walked.filter(F.col("_rank") != ROW).select(products.columns)
+        out.append(walked.filter(F.col("_rank") == ROW).select(*PLACED))
+        products = walked.filter(F.col("_rank") != ROW).select(*MET)
     return out
 
 
 def _walk(rows: DataFrame, products: DataFrame, leave: bool) -> DataFrame:
-    """Rows (`_rank` ROW) with what they belong to; if `leave`, also the products as the rows left them."""
+    """What rows belong to, by `_row`; if `leave`, also the products as the rows left them, of lower `_rank`."""
     stream = (
-        rows.withColumns({"_id": F.lit(None).cast("long"), "_rank": F.lit(ROW)})
-        .unionByName(products.withColumnRenamed("id", "_id"), allowMissingColumns=True)
+        rows.withColumnRenamed("seq", "_order")
+        .withColumn("_rank", F.lit(ROW))
+        .unionByName(products, allowMissingColumns=True)
         .repartition("_group")
-        .sortWithinPartitions("_group", "_rank", "_id", "_pos", "seq")
+        .sortWithinPartitions("_group", "_rank", "_order", "_pos")
     )
-    read = ("_group", "_rank", "_id", "seq", *NAME, "unit", "url", "_kept")
-    types = (pa.int64(), pa.string(), pa.bool_(), pa.string())
+    fields = PLACED | MET if leave else PLACED
+    schema = pa.schema([(name, ARROW[kind]) for name, kind in fields.items()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, shelf, schema = None, Shelf(), None
+        group, shelf = None, Shelf()
         for batch in batches:
-            out, left = [], []
-            given = [pa.field(f.name, f.type) for f in batch.schema]
-            schema = pa.schema([*given, *map(pa.field, RESULT_COLUMNS, types)])
-            for now, rank, id_, seq, name, store, unit, url, kept in zip(
-                *(batch.column(c).to_pylist() for c in read)
-            ):
+            # Lists by way of numpy: a value at a time, Arrow takes many times as long.
+            groups, ranks, names, units, urls = (
+                batch.column(c).to_numpy(zero_copy_only=False).tolist()
+                for c in ("_group", "_rank", "_name", "unit", "url")
+            )
+            order, kept = batch.column("_order"), batch.column("_kept")
+            found, new, left, place = [], [], [], shelf.place
+            for at, (now, rank, name, unit, url) in enumerate(zip(groups, ranks, names, units, urls)):
                 if now != group:
                     left += shelf.left(group) if leave else []
                     group, shelf = now, Shelf()
+                    place = shelf.place
                 if rank == ROW:
-                    out.append(shelf.place(seq, (name, store), unit, url))
+                    product = place(name, unit, url)
+                    if product is False:
+                        new.append(len(found))
+                        product = shelf.add(Product(CREATED, order[at].as_py(), unit, url, None, name))
+                    found.append(product)
                 else:
-                    shelf.add((name, store), (rank, id_), unit, url, kept)
-            placed = batch.filter(pc.equal(batch.column("_rank"), ROW))
-            if len(placed):
-                found = [pa.array(x, t) for x, t in zip(zip(*out), types)]
-                yield pa.RecordBatch.from_arrays([*placed.columns, *found], schema=schema)
-            yield from told(left, schema)
-        if leave and schema is not None:
-            yield from told(shelf.left(group), schema)
-
-    def told(left: list[dict], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+                    shelf.add(Product(rank, order[at].as_py(), unit, url, kept[at].as_py(), name))
+            if found:
+                yield given(batch.filter(pc.equal(batch.column("_rank"), ROW)).column("_row"), found, new)
+            yield from told(left)
+        if leave:
+            yield from told(shelf.left(group))
+
+    def given(numbers: pa.Array, found: list[Product | None], new: list[int]) -> pa.RecordBatch:
+        created = np.zeros(len(found), bool)
+        created[new] = True
+        rejected = pa.array([p is None for p in found])
+        out = {
+            "_row": numbers,
+            "product_id": pa.array([None if p is None else p.id for p in found], pa.int64()),
+            "stored_unit": pa.array([None if p is None else p.kept for p in found], pa.string()),
+            "is_new": pa.array(created),
+            "reason": pc.if_else(rejected, "duplicate_name", pa.scalar(None, pa.string())),
+            "_rank": pa.repeat(pa.scalar(ROW, pa.int32()), len(found)),
+        }
+        columns = [out[f.name] if f.name in out else pa.nulls(len(found), f.type) for f in schema]
+        return pa.RecordBatch.from_arrays(columns, schema=schema)
+
+    def told(left: list[dict]) -> Iterator[pa.RecordBatch]:
         for at in range(0, len(left), PRODUCTS_AT_ONCE):
             yield pa.RecordBatch.from_pylist(left[at : at + PRODUCTS_AT_ONCE], schema)
 
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in stream.schema]
-    return stream.mapInArrow(run, ", ".join([*fields, RESULT])).withColumnRenamed("_id", "id")
+    return stream.mapInArrow(run, ", ".join(f"{name} {kind}" for name, kind in fields.items()))

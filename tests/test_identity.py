@@ -147,3 +147,42 @@ def test_no_slice_holds_more_rows_than_it_may(spark, monkeypatch):
     rows = [seen(k, f"N{k % 5}", "1 l", f"U{k % 3}") for k in range(1, 81)]
     got = identity.resolve(observations(spark, rows), products(spark, []), slice_rows=20)
     assert got.count() == 80 and sum(sizes) == 80 and max(sizes) <= 25
+
+
+def test_large_components_side_by_side(spark):
+    """Two components above a slice, one below."""
+    pick = random.Random(9)
+    stores = ["ah"] * 4 + ["jumbo"] * 4 + ["dirk"]
+    stored = [shop(n, f"N{n % 3}", "1 l", f"{s}{n % 2}", s) for n, s in enumerate(("ah", "jumbo", "ah", "dirk"), 1)]
+    rows = []
+    for k in range(90):
+        store = pick.choice(stores)
+        url = pick.choice([None, "", f"{store}0", f"{store}1", f"{store}2"])
+        rows.append(seen(100 + k, f"N{pick.randint(0, 4)}", pick.choice([None, "1 l", "2 l"]), url, store))
+    got = identity.resolve(observations(spark, rows), products(spark, stored), slice_rows=12).collect()
+    assert len(got) == 90 and {r.seq: (r.product_id, r.is_new, r.reason) for r in got} == walk(stored, rows)
+
+
+def test_a_walk_takes_in_only_what_decides(spark, monkeypatch):
+    """The other columns of a row pass no walk: they come back by its number, also where `seq` repeats or is null."""
+    taken, plain = [], identity._walk
+
+    def noted(rows, *others):
+        taken.append(set(rows.columns))
+        return plain(rows, *others)
+
+    monkeypatch.setattr(identity, "_walk", noted)
+    rows = [seen(k // 2 if k else None, "N", "1 l", f"U{k % 3}") | dict(brand=f"B{k}") for k in range(20)]
+    got = identity.resolve(observations(spark, rows), products(spark, [shop(1, "N", "1 l", "U9")])).collect()
+    assert taken == [{"_row", "seq", "_group", "_name", "unit", "url"}]
+    assert sorted((r.brand, r.product_id, r.is_new) for r in got) == sorted((f"B{k}", 1, False) for k in range(20))
+
+
+def test_urls_that_were_left_are_forgotten():
+    shelf = identity.Shelf()
+    first = shelf.add(identity.Product(identity.STORED, 1, "1 l", "U0", "1 l", 7))
+    second = shelf.add(identity.Product(identity.STORED, 2, "1 l", "U0", "1 l", 8))
+    assert shelf.place(8, "2 l", "U0") is first
+    assert all(shelf.place(8, "1 l", f"U{k}") is second for k in range(1, 50))
+    assert shelf.place(7, "2 l", "V") is first and shelf.place(9, "1 l", "U0") is False
+    assert set(shelf.by_url) == {"U49", "V"} and not shelf.shared
